@@ -24,7 +24,7 @@ def digits_only(x: str) -> str:
 
 
 def _int(x: str, start: int, length: int) -> str:
-    return f"CAST(substring({x}, {start}, {length}) AS int)"
+    return f"TRY_CAST(substring({x}, {start}, {length}) AS int)"
 
 
 def nhs_check(x: str) -> str:
@@ -53,7 +53,7 @@ def iban_check(x: str) -> str:
     s = f"upper(regexp_replace({x}, {quoted(f'[{SP}]')}, ''))"
     letters = " || ".join(f"CAST(ascii(substring({s}, {i}, 1)) - 55 AS string)" for i in range(5, 9))
     number = f"{letters} || substring({s}, 9, 14) || '1611' || substring({s}, 3, 2)"
-    return f"(length({s}) = 22 AND CAST({number} AS decimal(38,0)) % 97 = 1)"
+    return f"(length({s}) = 22 AND TRY_CAST({number} AS decimal(38,0)) % 97 = 1)"
 
 
 def card_network(x: str) -> str:
@@ -81,7 +81,7 @@ def card_check(x: str) -> str:
 
 def ip_class(x: str) -> str:
     """loopback, reserved, private or public."""
-    a, b = (f"CAST(split_part({x}, '.', {i}) AS int)" for i in (1, 2))
+    a, b = (f"TRY_CAST(split_part({x}, '.', {i}) AS int)" for i in (1, 2))
     return f"""CASE
         WHEN {a} = 127 THEN 'loopback'
         WHEN {x} IN ('0.0.0.0', '255.255.255.255') THEN 'reserved'
@@ -91,7 +91,7 @@ def ip_class(x: str) -> str:
 
 
 def plausible_birth_year(x: str) -> str:
-    return f"(CAST({x} AS int) BETWEEN {BIRTH_YEARS[0]} AND {BIRTH_YEARS[1]})"
+    return f"(TRY_CAST({x} AS int) BETWEEN {BIRTH_YEARS[0]} AND {BIRTH_YEARS[1]})"
 
 
 def phone_national(x: str) -> str:

@@ -95,7 +95,7 @@ def normalise_confidence(raw: Column) -> Column:
     ``true``/``false`` are 0.9/0.5, values above 1 are percentages, 0 and anything that is
     not a number are 0.5, and the rest is held inside 0..1.
     """
-    number = raw.cast("double")
+    number = raw.try_cast("double")
     return (
         F.when(raw == "true", 0.9)
         .when(raw == "false", 0.5)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 OPEN, MID, CLOSE = "\ue000", "\ue001", "\ue002"
 _MARKS = OPEN + MID + CLOSE
 
+BUFFER = 256
 MATCH_TYPE = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
 
 
@@ -23,6 +24,27 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def collector(items: str) -> tuple[str, str]:
+    """Initial ``buf``/``out`` fields of an accumulator that gathers array elements.
+
+    Appending to one growing array copies it each time.  Elements go to a small buffer that
+    is moved to ``out`` when full, so gathering k elements copies far fewer than k * k.
+    """
+    return f"CAST(array() AS {items})", f"CAST(array() AS array<{items}>)"
+
+
+def push(item: str) -> str:
+    """``buf``/``out`` fields of accumulator ``acc`` with one more element."""
+    full = f"size(acc.buf) >= {BUFFER - 1}"
+    return (
+        f"'buf', CASE WHEN {full} THEN slice(acc.buf, 1, 0) ELSE acc.buf || array({item}) END, "
+        f"'out', CASE WHEN {full} THEN acc.out || array(acc.buf || array({item})) ELSE acc.out END"
+    )
+
+
+GATHERED = "flatten(acc.out || array(acc.buf))"
+
+
 def one_of(x: str, terms) -> str:
     return f"{x} IN ({', '.join(quoted(t) for t in terms)})"
 
@@ -30,12 +52,13 @@ def one_of(x: str, terms) -> str:
 def normalise_newlines(text: Column) -> Column:
     """``\\r\\n`` and lone ``\\r`` become ``\\n``; null becomes the empty string."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(F.instr(text, "\r") > 0, F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def scan_form(text: Column) -> Column:
     """Replace the delimiter characters, should a text hold them; offsets stay the same."""
-    return F.when(text.rlike(f"[{_MARKS}]"), F.translate(text, _MARKS, "\ufffd" * 3)).otherwise(text)
+    marked = text.contains(OPEN) | text.contains(MID) | text.contains(CLOSE)
+    return F.when(marked, F.translate(text, _MARKS, "\ufffd" * 3)).otherwise(text)
 
 
 def matches(text: str, pattern: str, before: int = 0, after: int = 0) -> str:
@@ -50,18 +73,19 @@ def matches(text: str, pattern: str, before: int = 0, after: int = 0) -> str:
         raise ValueError("groups inside a detector pattern must be non-capturing")
     ahead = f"(?=([\\s\\S]{{0,{after}}}))" if after else ""
     mark = f"{OPEN}{'$2' if after else ''}{MID}$1{CLOSE}"
+    buf, out = collector(MATCH_TYPE)
+    hit = """named_struct('start', acc.pos, 'end', acc.pos + length(piece), 'text', piece,
+                          'before', acc.tail, 'after', acc.ahead)"""
     tail = f"right(acc.tail || piece, {before})" if before else "''"
     return f"""aggregate(
         split(regexp_replace({text}, {quoted(f'({pattern}){ahead}')}, '{mark}'), '[{_MARKS}]'),
-        named_struct('pos', 0, 'turn', 0, 'tail', '', 'ahead', '', 'out', CAST(array() AS {MATCH_TYPE})),
+        named_struct('pos', 0, 'turn', 0, 'tail', '', 'ahead', '', 'buf', {buf}, 'out', {out}),
         (acc, piece) -> CASE acc.turn
             WHEN 0 THEN named_struct('pos', acc.pos + length(piece), 'turn', 1, 'tail', {tail},
-                                     'ahead', '', 'out', acc.out)
+                                     'ahead', '', 'buf', acc.buf, 'out', acc.out)
             WHEN 1 THEN named_struct('pos', acc.pos, 'turn', 2, 'tail', acc.tail,
-                                     'ahead', piece, 'out', acc.out)
+                                     'ahead', piece, 'buf', acc.buf, 'out', acc.out)
             ELSE named_struct('pos', acc.pos + length(piece), 'turn', 0, 'tail', {tail}, 'ahead', '',
-                 'out', acc.out || array(named_struct(
-                     'start', acc.pos, 'end', acc.pos + length(piece), 'text', piece,
-                     'before', acc.tail, 'after', acc.ahead)))
+                              {push(hit)})
         END,
-        acc -> acc.out)"""
+        acc -> {GATHERED})"""

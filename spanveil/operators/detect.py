@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import normalise_newlines, scan_form
-from .detectors import CANDIDATE_TYPE, Detector, default_detectors
+from .detectors import CANDIDATE_TYPE, Detector, all_candidates, default_detectors
 from .resolve import resolve
 
 FINDING_TYPE = (
@@ -22,12 +22,6 @@ _FINDING = """named_struct('start', c.start, 'end', c.end, 'type', c.type, 'text
     'rank', c.rank)"""
 
 
-def candidates(text: str, detectors: Sequence[Detector]) -> str:
-    """SQL for every accepted match of every pass in one text, conflicts still in."""
-    found = ",\n".join(d.candidates(text) for d in detectors)
-    return f"filter(concat({found}), c -> c.confidence IS NOT NULL)"
-
-
 def detect(
     df: DataFrame,
     text_col: str = "text",
@@ -47,7 +41,7 @@ def detect(
     passes = default_detectors(given_names) if detectors is None else list(detectors)
     df = df.withColumn(text_col, normalise_newlines(F.col(text_col)))
     df = df.withColumn(SCANNED, scan_form(F.col(text_col)))
-    found = candidates(SCANNED, passes)
+    found = all_candidates(SCANNED, passes)
     if claims:
         taken = f"""transform(`{claims}`, c -> named_struct(
             'check_start', CAST(c.start AS int), 'rank', 0, 'start', CAST(c.start AS int),

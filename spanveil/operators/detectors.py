@@ -9,8 +9,10 @@ earlier one wins.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 from ..functions import checks, lexicons
 from ..functions import patterns as P
@@ -32,6 +34,8 @@ class Detector:
     pattern: str
     score: str
     guards: tuple[str, ...] = ()
+    # A pattern implied by the guards and shared by many passes; tested once for all of them.
+    gate: str = ""
     before: int = 0
     after: int = 0
     # Characters dropped from the front of the match; the overlap test keeps the whole match.
@@ -54,8 +58,29 @@ class Detector:
             'end', m.end + length({self.extension}), 'type', {quoted(self.type)},
             'text', substring(m.text, {self.cut} + 1) || {self.extension},
             'confidence', CAST({self.score} AS double)))"""
-        guard = " AND ".join(f"{text} RLIKE {quoted(g)}" for g in self.guards) or "true"
-        return f"CASE WHEN {guard} THEN {scored} ELSE CAST(array() AS {CANDIDATE_TYPE}) END"
+        return _if_found(text, self.guards, scored)
+
+
+def _if_found(text: str, patterns: Sequence[str], then: str) -> str:
+    """``then`` for a text that holds every pattern, else no candidates."""
+    tests = [
+        f"contains({text}, {quoted(p)})" if re.fullmatch(r"[\w@ ]+", p) else _rlike(text, p)
+        for p in patterns
+        if p
+    ]
+    if not tests:
+        return then
+    return f"CASE WHEN {' AND '.join(tests)} THEN {then} ELSE CAST(array() AS {CANDIDATE_TYPE}) END"
+
+
+def all_candidates(text: str, detectors: Sequence[Detector]) -> str:
+    """SQL for every accepted match of every pass in one text, conflicts still in."""
+    by_gate = groupby(sorted(detectors, key=lambda d: d.gate), key=lambda d: d.gate)
+    groups = [
+        _if_found(text, (gate,), f"concat({', '.join(d.candidates(text) for d in passes)})")
+        for gate, passes in by_gate
+    ]
+    return f"filter(concat({', '.join(groups)}), c -> c.confidence IS NOT NULL)"
 
 
 def _rlike(x: str, pattern: str) -> str:
@@ -141,9 +166,12 @@ def default_detectors(given_names: Sequence[str] | None = None) -> list[Detector
     """The 25 passes in priority order: specific identifiers first, names last."""
     names = lexicons.checked_names(given_names)
     S = P.SP
+    # Six digits, at most one separator between neighbours: all numbers longer than a year.
+    six = rf"\d(?:[{S}\-./]?\d){{5}}"
+    digit = r"\d"
     pair_run = r"\d{2}[ \t\-]\d{2}[ \t\-]\d{2}"
-    bank = r"(?i)sort|account|bank|bacs|faster"
-    travel = "(?i)passport|travel|mrz"
+    bank = r"[SsAaBbFf](?i:ort|ccount|ank|acs|aster)"
+    travel = r"[PpTtMm](?i:assport|ravel|rz)"
     licence = r"\d{6}[A-Z]{2}[0-9A-Z][A-Z]{2}"
     valid_nhs = ({"valid": checks.nhs_check("m.text")},)
     valid_ni = (
@@ -166,49 +194,50 @@ def default_detectors(given_names: Sequence[str] | None = None) -> list[Detector
         f" AND NOT {_rlike('m.text', P.EMAIL_PLACEHOLDER_LOCAL)}", 0.97))
     return [
         Detector(1, "nhs_number", P.NHS, _nhs(),
-                 (rf"\d{{3}}[{S}\-]\d{{3}}[{S}\-]\d{{4}}",), 20, values=valid_nhs),
+                 (rf"\d{{3}}[{S}\-]\d{{3}}[{S}\-]\d{{4}}",), six, 20, values=valid_nhs),
         Detector(2, "ni_number", P.NI,
                  _cases(("m.valid AND m.context", 0.99), ("m.valid", 0.92), ("m.context", 0.75)),
-                 (r"\d{2}[ \t\-]?\d{2}[ \t\-]?\d{2}[ \t\-]?[A-Da-d]",), 80, 40, values=valid_ni),
+                 (r"\d{2}[ \t\-]?\d{2}[ \t\-]?\d{2}[ \t\-]?[A-Da-d]",), six, 80, 40,
+                 values=valid_ni),
         Detector(3, "passport", P.PASSPORT_DIGITS, _needs(P.PASSPORT_CONTEXT, 0.95),
-                 (rf"\d{{9}}|\d{{2}}[{S}]\d{{3}}[{S}]\d{{3}}[{S}]\d", travel), 60, 20),
+                 (rf"\d{{9}}|\d{{2}}[{S}]\d{{3}}[{S}]\d{{3}}[{S}]\d", travel), six, 60, 20),
         Detector(4, "passport", P.PASSPORT_ALPHA, _needs(P.PASSPORT_CONTEXT, 0.95),
-                 (r"\d{7}[A-Z]", travel), 60, 20),
-        Detector(5, "driving_licence", P.LICENCE, licence_score, (licence,), 100, 20),
+                 (r"\d{7}[A-Z]", travel), six, 60, 20),
+        Detector(5, "driving_licence", P.LICENCE, licence_score, (licence,), six, 100, 20),
         Detector(6, "driving_licence", P.LICENCE_LOOSE, _needs(P.LICENCE_CONTEXT, 0.90),
-                 (licence,), 100, 20),
-        Detector(7, "uk_vat", P.VAT, "0.97D", (rf"[Gg][Bb][{S}\-]?\d{{3}}",)),
+                 (licence,), six, 100, 20),
+        Detector(7, "uk_vat", P.VAT, "0.97D", (rf"[Gg][Bb][{S}\-]?\d{{3}}",), six),
         Detector(8, "sortcode_account", P.SORT_CODE_ACCOUNT, _needs(P.BANK_CONTEXT, 0.92),
-                 (pair_run, r"\d{8}", bank), 120, 60),
+                 (pair_run, r"\d{8}", bank), six, 120, 60),
         Detector(9, "sortcode", P.SORT_CODE, _needs(P.SORT_CODE_CONTEXT, 0.88),
-                 (pair_run, bank), 120, 60),
+                 (pair_run, bank), six, 120, 60),
         Detector(10, "account_number", P.ACCOUNT, _needs(P.ACCOUNT_CONTEXT, 0.88),
-                 (r"\d{8}", bank), 40, 20),
+                 (r"\d{8}", bank), six, 40, 20),
         Detector(11, "iban", P.IBAN, _cases((checks.iban_check("m.text"), 0.99)),
-                 (rf"[Gg][Bb][{S}]*\d{{2}}[{S}]*[A-Za-z]{{4}}",)),
+                 (rf"[Gg][Bb][{S}]*\d{{2}}[{S}]*[A-Za-z]{{4}}",), digit),
         Detector(12, "card_number", P.CARD_4_6_5, card,
-                 (rf"\d{{4}}[{S}\-]?\d{{6}}[{S}\-]?\d{{5}}",)),
+                 (rf"\d{{4}}[{S}\-]?\d{{6}}[{S}\-]?\d{{5}}",), six),
         Detector(13, "card_number", P.CARD_13_16, card,
-                 (rf"\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d",)),
+                 (rf"\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d",), six),
         Detector(14, "card_number", P.CARD_17_19, long_card,
-                 (rf"\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d",)),
+                 (rf"\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d",), six),
         Detector(15, "date_of_birth", P.DATE_DMY, _birth(-4),
-                 (r"\d[/\-.]\d{1,2}[/\-.]\d{4}",), 40, 10),
+                 (r"\d[/\-.]\d{1,2}[/\-.]\d{4}",), six, 40, 10),
         Detector(16, "date_of_birth", P.DATE_WRITTEN, _birth(-4),
-                 (r"\d [A-Za-z]{3,9} \d{4}",), 40, 10),
-        Detector(17, "date_of_birth", P.DATE_ISO, _birth(1), (r"\d{4}-\d{2}-\d{2}",), 40, 10),
-        Detector(18, "uk_phone", P.PHONE, phone, (rf"\d\d(?:[{S}\-]?\d){{8}}",), 40, 10),
+                 (r"\d [A-Za-z]{3,9} \d{4}",), digit, 40, 10),
+        Detector(17, "date_of_birth", P.DATE_ISO, _birth(1), (r"\d{4}-\d{2}-\d{2}",), six, 40, 10),
+        Detector(18, "uk_phone", P.PHONE, phone, (rf"\d\d(?:[{S}\-]?\d){{8}}",), six, 40, 10),
         Detector(19, "email", P.EMAIL, email, ("@",)),
         Detector(20, "ip_address", P.IPV4,
                  _cases(("m.kind = 'public'", 0.88), ("m.kind = 'private'", 0.75)),
-                 (r"\d\.\d{1,3}\.\d",), values=ip_kind),
+                 (r"\d\.\d{1,3}\.\d",), digit, values=ip_kind),
         Detector(21, "address", P.ADDRESS, "0.82D",
-                 (rf"\d[{S}]+[A-Za-z]{{2,}}[{S}]+[A-Za-z]",), after=30,
+                 (rf"\d[{S}]+[A-Za-z]{{2,}}[{S}]+[A-Za-z]",), digit, after=30,
                  extension=f"regexp_extract(m.after, {quoted(P.ADDRESS_CITY)}, 0)"),
         Detector(22, "uk_postcode", P.POSTCODE,
                  _cases((_rlike(AROUND, P.POSTCODE_CONTEXT), 0.99), ("true", 0.85)),
-                 (r"\d[A-Za-z\d]?[ ]?\d[A-Za-z]{2}",), 50, 10),
-        Detector(23, "name", P.NAME_TITLED, "0.92D", (rf"(?:{P.TITLES})[ \t]",)),
+                 (r"\d[A-Za-z\d]?[ ]?\d[A-Za-z]{2}",), digit, 50, 10),
+        Detector(23, "name", P.NAME_TITLED, "0.92D", (r"[DMPRC](?:r|rs|s|rof|ev|llr)\.?[ \t]",)),
         _word_pairs(names),
         _capital_words(),
     ]

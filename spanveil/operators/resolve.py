@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.spans import GATHERED, collector, push
 from .detectors import CANDIDATE_TYPE
 
 _EMPTY = f"CAST(array() AS {CANDIDATE_TYPE})"
@@ -25,14 +26,15 @@ def resolve(candidates: str) -> str:
     findings costs the sum of its small runs, not the square of the whole.  Candidates of
     rank 0 are claims made beforehand: they are always kept.  The result is in text order.
     """
+    buf, out = collector(f"array<{CANDIDATE_TYPE}>")
     runs = f"""aggregate(
         array_sort({candidates}),
-        named_struct('reach', -1, 'run', {_EMPTY}, 'runs', CAST(array() AS array<{CANDIDATE_TYPE}>)),
+        named_struct('reach', -1, 'run', {_EMPTY}, 'buf', {buf}, 'out', {out}),
         (acc, c) -> CASE WHEN c.check_start < acc.reach
             THEN named_struct('reach', greatest(acc.reach, c.end), 'run', acc.run || array(c),
-                              'runs', acc.runs)
-            ELSE named_struct('reach', c.end, 'run', array(c), 'runs', acc.runs || array(acc.run))
+                              'buf', acc.buf, 'out', acc.out)
+            ELSE named_struct('reach', c.end, 'run', array(c), {push('acc.run')})
         END,
-        acc -> acc.runs || array(acc.run))"""
+        acc -> {GATHERED} || array(acc.run))"""
     kept = f"flatten(transform({runs}, run -> CASE WHEN size(run) > 1 THEN {_greedy('run')} ELSE run END))"
     return f"CASE WHEN size({candidates}) > 1 THEN array_sort({kept}) ELSE {candidates} END"
