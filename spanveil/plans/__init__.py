@@ -1,0 +1,5 @@
+"""Registered queries and the SQL they are checked against."""
+
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
