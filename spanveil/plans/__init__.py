@@ -1,5 +1,6 @@
 """Registered queries and the SQL they are checked against."""
 
+from . import corpus  # noqa: F401  (registers its queries)
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -144,3 +144,33 @@ TEXTS: dict[str, str] = {
         "'. Kind Regards, Emily Clarke phoned Priya. '", pick(4, *q("cc: JOHN SMITH", "Thanks Ann Bee", "The End")),
     ),
 }
+
+TEXTS["mixed"] = text(
+    TEXTS["names"], "' '", TEXTS["bank"], "'; '", TEXTS["phone"], "' '", TEXTS["email"], "' '", TEXTS["nhs"],
+    "' '", TEXTS["dob"], "'; '", TEXTS["card"],
+)
+TEXTS["contact"] = text(TEXTS["phone"], "'; '", TEXTS["email"], "'; '", TEXTS["postcode"])
+
+# Model output about a contact text: right and wrong offsets, several wrappings, bad JSON.
+_entity = (
+    """'{{"type":"' || ({kind}) || '","text":"' || substr(text, {at} + 1, {n}) || '","start":' || CAST({shift} AS STRING)"""
+    """ || ',"end":' || CAST({shift} + {n} AS STRING) || {conf} || '}}'"""
+)
+_entities = " || ',' || ".join([
+    _entity.format(kind="CASE id % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'PHONE' ELSE 'Odd' END", at=0, n=6,
+                   shift="0", conf="',\"confidence\":' || CAST(id % 120 AS STRING)"),
+    _entity.format(kind="'EMAIL'", at=3, n=9, shift="CAST(3 + (id % 2) AS INT)", conf="''"),
+    _entity.format(kind="'UK_VAT'", at=40, n=5, shift="40", conf="',\"confidence\":true'"),
+    _entity.format(kind="'POSTCODE'", at=62, n=4, shift="62", conf="',\"confidence\":0.5'"),
+    """'{"type":"PERSON","text":"","start":1,"end":2}'""",
+    """'{"type":"PERSON","text":"lost"}'""",
+])
+MODEL_OUTPUT = f"""CASE id % 8
+    WHEN 0 THEN '{{"entities":[' || {_entities} || ']}}'
+    WHEN 1 THEN 'Sure:' || chr(10) || '```json' || chr(10) || '{{"entities":[' || {_entities} || ']}}' || chr(10) || '```'
+    WHEN 2 THEN 'Here it is: {{"entities":[' || {_entities} || ']}} - done'
+    WHEN 3 THEN 'no json at all'
+    WHEN 4 THEN '{{"entities":[' || {_entities}
+    WHEN 5 THEN '{{"entities":"none"}}'
+    WHEN 6 THEN '```' || chr(10) || 'broken' || chr(10) || '``` {{"entities":[' || {_entities} || ']}}'
+    ELSE '  {{"entities":[' || {_entities} || ']}}  ' END"""
