@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Three private-use characters delimit matches inside the scanned text.
@@ -49,6 +49,17 @@ def one_of(x: str, terms) -> str:
     return f"{x} IN ({', '.join(quoted(t) for t in terms)})"
 
 
+def with_computed(df: DataFrame, name: str, sql: str) -> DataFrame:
+    """Add or replace a column whose expression must run once per row.
+
+    Filters on an ordinary computed column are pushed below it, with the whole expression
+    repeated inside each of them.  A column that comes out of a one-element explode stays
+    where it is: it is computed once, however often later steps refer to it.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*kept, F.explode_outer(F.array(F.expr(sql))).alias(name))
+
+
 def normalise_newlines(text: Column) -> Column:
     """``\\r\\n`` and lone ``\\r`` become ``\\n``; null becomes the empty string."""
     text = F.coalesce(text, F.lit(""))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import normalise_newlines, scan_form
+from ..functions.spans import normalise_newlines, scan_form, with_computed
 from .detectors import CANDIDATE_TYPE, Detector, all_candidates, default_detectors
 from .resolve import resolve
 
@@ -51,7 +51,7 @@ def detect(
         # Bound to a lambda variable, the candidate array is computed once per row.
         found = f"transform(array({found}), found -> {resolve('found')})[0]"
         found = f"filter({found}, c -> c.rank > 0)"
-    return df.withColumn(out, F.expr(f"transform({found}, c -> {_FINDING})")).drop(SCANNED)
+    return with_computed(df, out, f"transform({found}, c -> {_FINDING})").drop(SCANNED)
 
 
 def explode_findings(df: DataFrame, keys: Sequence[str], findings: str = "findings") -> DataFrame:

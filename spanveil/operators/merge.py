@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons
-from ..functions.spans import one_of
+from ..functions.spans import one_of, with_computed
 from .detectors import CANDIDATE_TYPE
 from .resolve import resolve
 
@@ -29,7 +29,7 @@ def valid_offsets(df: DataFrame, secondary: str, text_col: str = "text") -> Data
     keep = f"""filter({secondary}, f -> length({text_col}) = 0 OR (
         f.start >= 0 AND f.start < f.end AND f.end <= length({text_col})
         AND substring({text_col}, f.start + 1, f.end - f.start) = f.text))"""
-    return df.withColumn(secondary, F.expr(f"coalesce({keep}, CAST(array() AS {SECONDARY_TYPE}))"))
+    return with_computed(df, secondary, f"coalesce({keep}, CAST(array() AS {SECONDARY_TYPE}))")
 
 
 def merge_findings(
@@ -55,7 +55,7 @@ def merge_findings(
         c -> named_struct('start', c.start, 'end', c.end, 'type', c.type, 'text', c.text,
             'confidence', c.confidence,
             'severity', CASE WHEN c.confidence >= 0.85D THEN 'HIGH' ELSE 'MEDIUM' END, 'rank', c.rank))"""
-    return df.withColumn(out, F.expr(merged))
+    return with_computed(df, out, merged)
 
 
 def attach_secondary(docs: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:

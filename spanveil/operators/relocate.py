@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import with_computed
+
 _MOVED = "named_struct('start', {at}, 'end', {at} + length(f.text), 'type', f.type, 'text', f.text)"
 MOVED_TYPE = "array<struct<start:int,end:int,type:string,text:string>>"
 
@@ -24,7 +26,7 @@ def relocate_ordered(df: DataFrame, findings: str, new_text: str, out: str = "mo
                               'moved', acc.moved || array({moved}))
             ELSE named_struct('pos', acc.pos, 'found', false, 'moved', acc.moved) END,
         acc -> CASE WHEN acc.found THEN acc.moved END)"""
-    return df.withColumn(out, F.expr(body))
+    return with_computed(df, out, body)
 
 
 def relocate_first(
@@ -46,7 +48,7 @@ def relocate_first(
                 THEN kept ELSE kept || array(f) END,
             kept -> array_sort(kept)) END"""
     present = f"""size(filter({findings}, f -> {old_text} = {new_text} OR locate(f.text, {new_text}) > 0))"""
-    return df.withColumn(out, F.expr(body)).withColumn(collapsed, F.expr(f"{present} - size({out})"))
+    return with_computed(df, out, body).withColumn(collapsed, F.expr(f"{present} - size({out})"))
 
 
 def relocate_one(df: DataFrame, finding: str, new_text: str, out: str = "moved") -> DataFrame:
@@ -58,7 +60,7 @@ def relocate_one(df: DataFrame, finding: str, new_text: str, out: str = "moved")
         WHEN locate({f}.text, {new_text}) > 0 THEN locate({f}.text, {new_text}) - 1 END"""
     body = f"""transform(array({place}), at -> CASE WHEN at IS NOT NULL THEN named_struct(
         'start', at, 'end', at + length({f}.text), 'type', {f}.type, 'text', {f}.text) END)[0]"""
-    return df.withColumn(out, F.expr(body))
+    return with_computed(df, out, body)
 
 
 def choose_copy(df: DataFrame, source: str, pasted: str, live: str, out: str = "chosen") -> DataFrame:

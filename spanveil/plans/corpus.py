@@ -186,7 +186,7 @@ _ENTITIES = f"""{_RAW},
         coalesce(CASE json_extract_string(e, '$.type') {_ENTITY_CASE} END, nullif(lower(json_extract_string(e, '$.type')), ''), 'pii') AS type,
         json_extract_string(e, '$.text') AS t,
         CASE WHEN {_number('start')} THEN json_extract(e, '$.start')::INT ELSE 0 END AS s,
-        CASE WHEN {_number('end')} THEN json_extract(e, '$.end')::INT ELSE length(json_extract_string(e, '$.text')) END AS e,
+        CASE WHEN {_number('end')} THEN json_extract(e, '$.end')::INT ELSE length(json_extract_string(e, '$.text'))::INT END AS e,
         CASE WHEN {_number('confidence')} THEN json_extract(e, '$.confidence')::DOUBLE ELSE 0.9::DOUBLE END AS conf
         FROM ents WHERE json_extract_string(e, '$.text') <> '' AND json_exists(e, '$.start') AND json_exists(e, '$.end'))"""
 
@@ -242,10 +242,9 @@ def merge_model_findings(spark, sf_dir):
 )
 def merge_table_findings(spark, sf_dir):
     texts = derived_text(spark, sf_dir, "contact")
-    stated = "array(struct(0 as i, 'name' as type, 0 as start, 8 as end, 0.7D as confidence), " \
-             "struct(1, 'note', 4, 10, 0.95D), struct(2, 'note', 4, 10, 0D))"
-    rows = texts.select("id", "text", F.explode(F.expr(stated)).alias("f")).where("f.i > 0 OR id % 2 = 0")
-    rows = rows.select("id", "f.*", F.expr("substring(text, f.start + 1, f.end - f.start)").alias("text"))
+    stated = "inline(array((0, 'name', 0, 8, 0.7D), (1, 'note', 4, 10, 0.95D), (2, 'note', 4, 10, 0D)))"
+    rows = texts.selectExpr("id", "text", f"{stated} AS (i, type, start, end, confidence)")
+    rows = rows.where("i > 0 OR id % 2 = 0").select("id", "i", "type", "start", "end", "confidence", F.expr("substring(text, start + 1, end - start)").alias("text"))
     joined = merge.attach_secondary(contact(spark, sf_dir), rows, ["id"], "i")
     return explode_findings(merge.merge_findings(joined), ["id"])
 
@@ -471,10 +470,10 @@ def relocate_ordered(spark, sf_dir):
 @register(
     "relocate_first",
     f"""{CONTACT}, {_EDITED},
-    o AS MATERIALIZED (SELECT f.id, type, t, CASE WHEN text = new THEN s ELSE strpos(new, t) - 1 END::INT AS at,
+    o AS MATERIALIZED (SELECT f.id, type, t, CASE WHEN text = new THEN s ELSE strpos(new, t) - 1 END::INT AS place,
         row_number() OVER (PARTITION BY f.id ORDER BY s) AS i FROM f JOIN ed ON ed.id = f.id
         WHERE text = new OR strpos(new, t) > 0),
-    p AS (SELECT id, i, type, t, at AS s, (at + length(t))::INT AS e FROM o),
+    p AS (SELECT id, i, type, t, place AS s, (place + length(t))::INT AS e FROM o),
     h0 AS (SELECT * FROM p WHERE false),
     {", ".join(f'''h{i} AS MATERIALIZED (SELECT * FROM h{i - 1} UNION ALL SELECT * FROM p x WHERE i = {i} AND NOT EXISTS (
         SELECT 1 FROM h{i - 1} k WHERE k.id = x.id AND NOT (x.e <= k.s OR x.s >= k.e)))''' for i in range(1, 13))}
@@ -489,9 +488,9 @@ def relocate_first(spark, sf_dir):
 @register(
     "relocate_one",
     f"""{CONTACT}, {_EDITED}, l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC) = 1),
-    a AS (SELECT l.id, type, t, CASE WHEN substr(new, s + 1, e - s) = t THEN s WHEN strpos(new, t) > 0 THEN strpos(new, t) - 1 END::INT AS at
+    a AS (SELECT l.id, type, t, CASE WHEN substr(new, s + 1, e - s) = t THEN s WHEN strpos(new, t) > 0 THEN strpos(new, t) - 1 END::INT AS place
         FROM l JOIN ed ON ed.id = l.id)
-    SELECT id, type, t AS text, at AS start, (at + length(t))::INT AS "end" FROM a WHERE at IS NOT NULL""",
+    SELECT id, type, t AS text, place AS start, (place + length(t))::INT AS "end" FROM a WHERE place IS NOT NULL""",
 )
 def relocate_one(spark, sf_dir):
     last = edited(spark, sf_dir).withColumn("last", F.expr("element_at(findings, -1)")).where("last is not null")

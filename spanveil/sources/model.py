@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.spans import quoted
+from ..functions.spans import quoted, with_computed
 from ..operators.merge import SECONDARY_TYPE
 
 # --- fixed values: entity names of the model and the types they stand for ---------------------
@@ -53,4 +52,4 @@ def model_findings(df: DataFrame, json_col: str, out: str = "secondary") -> Data
     parsed = f"""transform(CAST(try_parse_json('[' || {body} || ']') AS array<variant>), j ->
         transform(filter({entities}, e -> {usable}), e -> {entity}))"""
     parsed = f"transform(array({parsed}), found -> CASE WHEN size(found) = 1 THEN found[0] END)[0]"
-    return df.withColumn(out, F.expr(f"CAST(coalesce({parsed}, array()) AS {SECONDARY_TYPE})"))
+    return with_computed(df, out, f"CAST(coalesce({parsed}, array()) AS {SECONDARY_TYPE})")
