@@ -18,7 +18,15 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One given table; times without a zone are read in the session's zone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    zoneless = [f.name for f in df.schema if f.dataType.simpleString() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+
+
+def wall_time(column: str):
+    """A time as it reads in the session's zone, as the given tables hold it."""
+    return F.col(column).cast("timestamp_ntz").alias(column)
 
 
 def register(name: str, oracle: str | None = None):
