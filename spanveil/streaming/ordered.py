@@ -59,6 +59,8 @@ def ordered_by_event_time(
         pending = [t for t in (timer(memory), later[0][ts] if later else None) if t is not None]
         if pending:
             state.setTimeoutTimestamp(max(min(pending) // 1000, watermark) + 1)
+        if not rows:
+            return
         out = pd.DataFrame([(*group, *r) for r in rows], columns=columns)
         for column in times:
             out[column] = pd.to_datetime(out[column], unit="us")
