@@ -27,11 +27,16 @@ def _int(x: str, start: int, length: int) -> str:
     return f"TRY_CAST(substring({x}, {start}, {length}) AS int)"
 
 
-def nhs_check(x: str) -> str:
-    """Modulus-11 check of a ten-digit health number; remainders 0 and 1 are invalid."""
-    d = digits_only(x)
+def nhs_check(x: str, d: str | None = None) -> str:
+    """Modulus-11 check of a ten-digit health number; remainders 0 and 1 are invalid.
+
+    Here and below ``d`` names the bare digits where a caller already has them.
+    """
+    d = d or digits_only(x)
     total = " + ".join(f"{_int(d, i, 1)} * {11 - i}" for i in range(1, 10))
-    return f"(length({d}) = 10 AND ({total}) % 11 > 1 AND 11 - ({total}) % 11 = {_int(d, 10, 1)})"
+    # The check digit makes the whole sum, itself included, a multiple of 11; a remainder of
+    # 0 or 1 would need the check digits 11 and 10, and the first of these shows as 0.
+    return f"(length({d}) = 10 AND (({total}) + {_int(d, 10, 1)}) % 11 = 0 AND ({total}) % 11 > 1)"
 
 
 def ni_prefix_check(x: str) -> str:
@@ -56,9 +61,9 @@ def iban_check(x: str) -> str:
     return f"(length({s}) = 22 AND TRY_CAST({number} AS decimal(38,0)) % 97 = 1)"
 
 
-def card_network(x: str) -> str:
+def card_network(x: str, d: str | None = None) -> str:
     """Network of a card number by length and prefix; null when none fits."""
-    d = digits_only(x)
+    d = d or digits_only(x)
     size = f"length({d})"
     return f"""CASE
         WHEN {size} BETWEEN 13 AND 16 AND startswith({d}, '4') THEN 'visa'
@@ -71,12 +76,9 @@ def card_network(x: str) -> str:
         END"""
 
 
-def luhn(x: str) -> str:
-    return f"luhn_check({digits_only(x)})"
-
-
-def card_check(x: str) -> str:
-    return f"({luhn(x)} AND ({card_network(x)}) IS NOT NULL)"
+def card_check(x: str, d: str | None = None) -> str:
+    d = d or digits_only(x)
+    return f"(luhn_check({d}) AND ({card_network(x, d)}) IS NOT NULL)"
 
 
 def ip_class(x: str) -> str:

@@ -5,7 +5,8 @@ definition of each format, so they are stated here as values.  Conventions:
 
 * ``\b`` is never used: on the JVM it follows Unicode letters, while the
   formats are defined over ASCII word characters.  ``START``/``END``/``EDGE``
-  are the ASCII forms.
+  are the ASCII forms.  ``\w`` and the POSIX classes are ASCII and one test each,
+  where a bracket of ranges is one test per range.
 * ``SP`` holds every Unicode white-space character, which Java's ``\s`` lacks.
 * Repeats that cannot give characters back are possessive, so a long run of
   words or dots neither recurses nor backtracks.
@@ -13,15 +14,15 @@ definition of each format, so they are stated here as values.  Conventions:
 
 SP = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
-START = r"(?<![A-Za-z0-9_])"
-END = r"(?![A-Za-z0-9_])"
-EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+START = r"(?<!\w)"
+END = r"(?!\w)"
+EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 # Looking for the digit first lets the scan skip prose without a look-behind.
 DIGIT_START = r"(?=[0-9])" + START
 
 UPPER = "A-ZÀ-Þ"
 LOWER = "a-zà-þ"
-CAPITAL_START = r"(?:(?<![A-Za-z0-9_])[A-Z]|(?<=[A-Za-z0-9_])[À-Þ])"
+CAPITAL_START = r"(?:[A-Z](?<!\w.)|[À-Þ](?<=\w.))"
 CAPITALISED = f"[{UPPER}][{LOWER}]+"
 
 MONTHS = (
@@ -72,14 +73,14 @@ PHONE = (
     rf"(?=[+0])(?<!\d)(?:\+44[{SP}\-]?|0044[{SP}\-]?|0)[123789]\d(?:[{SP}\-]?\d){{8}}(?!\d)"
 )
 EMAIL = (
-    r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?=[.%+\-]))"
-    r"[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,13}(?:\.[a-zA-Z]{2,6})?(?![a-zA-Z])"
+    r"(?:(?=\w)(?<!\w)|(?=[.%+\-])(?<=\w))"
+    r"[\w.%+\-]++@[\p{Alnum}.\-]+\.\p{Alpha}{2,13}(?:\.\p{Alpha}{2,6})?(?!\p{Alpha})"
 )
 IPV4 = rf"(?=[0-9])(?<![\d.]){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}(?![\d.])"
 # A run of words is eaten possessively up to and including each street word, so the
 # match ends at the last street word of the run.
 ADDRESS = (
-    rf"(?i:(?:(?:flat|apt|apartment|suite|unit)[{SP}]+\d+[a-z]?[{SP},]+)?(?<!\d)\d++"
+    rf"(?=[0-9FASUfasu])(?i:(?:(?:flat|apt|apartment|suite|unit)[{SP}]+\d+[a-z]?[{SP},]+)?(?<!\d)\d++"
     rf"[{SP}]++[a-z]{{2,}}+"
     rf"(?:(?:[{SP}]++(?!(?:{STREETS}){END})[a-z]{{2,}}+)*+[{SP}]++(?:{STREETS}){END})++)"
 )

@@ -173,15 +173,15 @@ def default_detectors(given_names: Sequence[str] | None = None) -> list[Detector
     bank = r"[SsAaBbFf](?i:ort|ccount|ank|acs|aster)"
     travel = r"[PpTtMm](?i:assport|ravel|rz)"
     licence = r"\d{6}[A-Z]{2}[0-9A-Z][A-Z]{2}"
-    valid_nhs = ({"valid": checks.nhs_check("m.text")},)
+    bare = {"digits": checks.digits_only("m.text")}
+    valid_nhs = (bare, {"valid": checks.nhs_check("m.text", "m.digits")})
     valid_ni = (
         {"valid": checks.ni_prefix_check("m.text"), "context": _rlike(AROUND, P.NI_CONTEXT)},
     )
     ip_kind = ({"kind": checks.ip_class("m.text")},)
-    card = _cases((checks.card_check("m.text"), 0.95))
-    long_card = _cases(
-        (f"length({checks.digits_only('m.text')}) >= 17 AND {checks.card_check('m.text')}", 0.95)
-    )
+    valid_card = checks.card_check("m.text", "m.digits")
+    card = _cases((valid_card, 0.95))
+    long_card = _cases((f"length(m.digits) >= 17 AND {valid_card}", 0.95))
     licence_score = _cases(
         (f"{checks.licence_date_check('m.text')} AND {_rlike(AROUND, P.LICENCE_CONTEXT)}", 0.95)
     )
@@ -216,11 +216,12 @@ def default_detectors(given_names: Sequence[str] | None = None) -> list[Detector
         Detector(11, "iban", P.IBAN, _cases((checks.iban_check("m.text"), 0.99)),
                  (rf"[Gg][Bb][{S}]*\d{{2}}[{S}]*[A-Za-z]{{4}}",), digit),
         Detector(12, "card_number", P.CARD_4_6_5, card,
-                 (rf"\d{{4}}[{S}\-]?\d{{6}}[{S}\-]?\d{{5}}",), six),
+                 (rf"\d{{4}}[{S}\-]?\d{{6}}[{S}\-]?\d{{5}}",), six, values=(bare,)),
         Detector(13, "card_number", P.CARD_13_16, card,
-                 (rf"\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d",), six),
+                 (rf"\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d",), six, values=(bare,)),
         Detector(14, "card_number", P.CARD_17_19, long_card,
-                 (rf"\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d",), six),
+                 (rf"\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d{{4}}[{S}\-]?\d",), six,
+                 values=(bare,)),
         Detector(15, "date_of_birth", P.DATE_DMY, _birth(-4),
                  (r"\d[/\-.]\d{1,2}[/\-.]\d{4}",), six, 40, 10),
         Detector(16, "date_of_birth", P.DATE_WRITTEN, _birth(-4),

@@ -15,9 +15,7 @@ def read_text_corpus(spark: SparkSession, path: str, recursive: bool = True) ->
     text; split very large logs upstream if they must be processed in parallel.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", recursive)
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_name").alias("filename"),
