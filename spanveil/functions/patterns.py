@@ -91,28 +91,28 @@ NAME_WORDS = CAPITAL_START + rf"[{LOWER}]+(?:[ \t]+{CAPITALISED}){{1,2}}"
 NAME_CAPITALS = CAPITAL_START + rf"[{UPPER}]+(?:[ \t]+[{UPPER}]{{2,}}){{1,3}}"
 
 # --- fixed values: words that give a match its context ------------------------------------
-NHS_CONTEXT = rf"(?i){EDGE}nhs{EDGE}"
-NHS_LABEL = rf"(?i){EDGE}nhs[{SP}]+number{EDGE}"
-NI_CONTEXT = rf"(?i){EDGE}(?:national[{SP}]*insurance|ni[{SP}]*number|nino|n\.i\.|ni){EDGE}"
+NHS_CONTEXT = rf"(?i){START}nhs{EDGE}"
+NHS_LABEL = rf"(?i){START}nhs[{SP}]+number{EDGE}"
+NI_CONTEXT = rf"(?i){START}(?:national[{SP}]*insurance|ni[{SP}]*number|nino|n\.i\.|ni){EDGE}"
 PASSPORT_CONTEXT = (
-    rf"(?i){EDGE}(?:passport[{SP}]*(?:number|no\.?|#)?|travel[{SP}]*document|mrz){EDGE}"
+    rf"(?i){START}(?:passport[{SP}]*(?:number|no\.?|#)?|travel[{SP}]*document|mrz){EDGE}"
 )
 LICENCE_CONTEXT = (
-    rf"(?i){EDGE}(?:driving[{SP}]*licen[sc]e|d\.?l\.?[{SP}]*(?:number|no\.?|:)|dvla|"
+    rf"(?i){START}(?:driving[{SP}]*licen[sc]e|d\.?l\.?[{SP}]*(?:number|no\.?|:)|dvla|"
     rf"licence[{SP}]*(?:number|no\.?)|license[{SP}]*(?:number|no\.?)){EDGE}"
 )
 BANK_CONTEXT = (
-    rf"(?i){EDGE}(?:sort[{SP}]*code|account[{SP}]*number|account[{SP}]*:?|bank|bacs|"
+    rf"(?i){START}(?:sort[{SP}]*code|account[{SP}]*number|account[{SP}]*:?|bank|bacs|"
     rf"faster[{SP}]*payment){EDGE}"
 )
-SORT_CODE_CONTEXT = rf"(?i){EDGE}(?:sort[{SP}]*code|bank|bacs){EDGE}"
-ACCOUNT_CONTEXT = rf"(?i){EDGE}(?:account[{SP}]*number|account[{SP}]*:?|bank|bacs){EDGE}"
-BIRTH_CONTEXT = rf"(?i){EDGE}(?:date[{SP}]*of[{SP}]*birth|d\.?o\.?b\.?|born|birthday|dob){EDGE}"
+SORT_CODE_CONTEXT = rf"(?i){START}(?:sort[{SP}]*code|bank|bacs){EDGE}"
+ACCOUNT_CONTEXT = rf"(?i){START}(?:account[{SP}]*number|account[{SP}]*:?|bank|bacs){EDGE}"
+BIRTH_CONTEXT = rf"(?i){START}(?:date[{SP}]*of[{SP}]*birth|d\.?o\.?b\.?|born|birthday|dob){EDGE}"
 PHONE_CONTEXT = (
-    rf"(?i){EDGE}(?:phone|mobile|tel(?:ephone)?|call|fax|contact|number|mob){EDGE}"
+    rf"(?i){START}(?:phone|mobile|tel(?:ephone)?|call|fax|contact|number|mob){EDGE}"
 )
 POSTCODE_CONTEXT = (
-    rf"(?i){EDGE}(?:postcode|post[{SP}]+code|address|zip(?:[{SP}]+code)?){EDGE}"
+    rf"(?i){START}(?:postcode|post[{SP}]+code|address|zip(?:[{SP}]+code)?){EDGE}"
 )
 EMAIL_EXAMPLE_DOMAIN = (
     r"(?i)\A[^@]+@(?:test|domain|placeholder|invalid|localhost|email|"
@@ -123,7 +123,7 @@ EMAIL_PLACEHOLDER_LOCAL = (
     r"enter[-_.]?email|user[@])@"
 )
 NAME_CONTEXT = (
-    rf"(?i){EDGE}(?:full[{SP}]*name[{SP}]*[:\-]?|name[{SP}]*[:\-]|named?|patient[{SP}]*[:\-]?|"
+    rf"(?i){START}(?:full[{SP}]*name[{SP}]*[:\-]?|name[{SP}]*[:\-]|named?|patient[{SP}]*[:\-]?|"
     rf"from|to|dear|signed?[{SP}]*by|referred[{SP}]*by|contact|regarding|re[:{SP}]|about|"
     rf"cc[:{SP}]|for|hello|hi|sender|recipient|author|written[{SP}]*by|submitted[{SP}]*by|"
     rf"prepared[{SP}]*by|reviewed[{SP}]*by|regards|sincerely|cheers|thanks|yours|"

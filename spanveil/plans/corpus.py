@@ -42,7 +42,7 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def contact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(spread(derived_text(spark, sf_dir, "contact")), detectors=detectors(*CONTACT_RANKS))
+    return detect(derived_text(spark, sf_dir, "contact"), detectors=detectors(*CONTACT_RANKS))
 
 
 # --- detection over the corpus -----------------------------------------------------------------
@@ -118,7 +118,7 @@ def corpus_inventory(spark, sf_dir):
 
 @register("span_resolution", f"{MIXED} SELECT {FINDING_COLUMNS} FROM f")
 def span_resolution(spark, sf_dir):
-    return find_pii(spread(derived_text(spark, sf_dir, "mixed")), ["id"]).drop("severity")
+    return find_pii(derived_text(spark, sf_dir, "mixed"), ["id"]).drop("severity")
 
 
 _ALL_CANDIDATES = " UNION ALL ".join(f"SELECT rank, type FROM c{r}" for r in range(1, 26))
@@ -131,7 +131,7 @@ _ALL_CANDIDATES = " UNION ALL ".join(f"SELECT rank, type FROM c{r}" for r in ran
     SELECT c.rank, c.type, c.found, coalesce(kept, 0) AS kept FROM c LEFT JOIN kept USING (rank)""",
 )
 def span_candidates(spark, sf_dir):
-    texts = spread(derived_text(spark, sf_dir, "mixed"))
+    texts = derived_text(spark, sf_dir, "mixed")
     every = detect(texts, resolve_overlaps=False, out="every")
     rows = detect(every).select(
         F.explode_outer(
@@ -155,7 +155,7 @@ _CLAIMS = """(SELECT id, 0 AS rank, c.s AS check_start, c.s, c.e, '' AS type, ''
     f"WITH {source('contact')},\n{O.finding_ctes('src', CONTACT_RANKS, claims=_CLAIMS)} SELECT {FINDING_COLUMNS} FROM f",
 )
 def span_resolution_claimed(spark, sf_dir):
-    texts = spread(derived_text(spark, sf_dir, "contact")).withColumn(
+    texts = derived_text(spark, sf_dir, "contact").withColumn(
         "claims",
         F.expr("""CASE WHEN id % 3 < 2 THEN array(
             named_struct('start', CAST(id % 40 AS int), 'end', CAST(id % 40 AS int) + 6),
@@ -201,7 +201,7 @@ def model_output(spark, sf_dir) -> DataFrame:
 )
 def model_entities(spark, sf_dir):
     texts = derived_text(spark, sf_dir, "contact").withColumn("raw", F.expr(derived.MODEL_OUTPUT))
-    parsed = model.model_findings(spread(texts), "raw")
+    parsed = model.model_findings(texts, "raw")
     rows = parsed.select("id", F.posexplode_outer("secondary").alias("idx", "f")).where("f is not null")
     return rows.select("id", "idx", "f.type", "f.text", "f.start", "f.end", "f.confidence")
 
@@ -311,7 +311,7 @@ _LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in display.DISPLAY_LABELS.i
     FROM f WHERE conf > 0.5 AND id IN (SELECT id FROM f WHERE conf >= 0.97)""",
 )
 def severity_filter(spark, sf_dir):
-    found = detect(spread(derived_text(spark, sf_dir, "mixed")))
+    found = detect(derived_text(spark, sf_dir, "mixed"))
     found = found.where(F.exists("findings", lambda f: f["confidence"] >= 0.97))
     rows = explode_findings(found, ["id"]).where(F.col("confidence") > display.DISPLAY_MINIMUM)
     return rows.select("id", "type", "start", "severity", display.severity3(F.col("confidence")).alias("severity3"))
@@ -324,7 +324,7 @@ def severity_filter(spark, sf_dir):
         CASE WHEN length(t) > 40 THEN left(t, 40) || '…' ELSE t END AS preview FROM f""",
 )
 def display_fields(spark, sf_dir):
-    found = find_pii(spread(derived_text(spark, sf_dir, "mixed")), ["id"])
+    found = find_pii(derived_text(spark, sf_dir, "mixed"), ["id"])
     return found.select(
         "id", "start", display.display_label(F.col("type")).alias("label"),
         display.mask_snippet(F.col("text")).alias("masked"), display.preview(F.col("text")).alias("preview"),
@@ -402,7 +402,7 @@ def redact_corpus(spark, sf_dir):
 
 @register("redact_padded", _redaction_oracle(MIXED, True))
 def redact_padded(spark, sf_dir):
-    return redact.redact(detect(spread(derived_text(spark, sf_dir, "mixed")))).select("id", "redacted")
+    return redact.redact(detect(derived_text(spark, sf_dir, "mixed"))).select("id", "redacted")
 
 
 @register(
@@ -411,7 +411,7 @@ def redact_padded(spark, sf_dir):
     SELECT id, type, s AS start, e AS "end", n::INT AS number, {O.placeholder_case('type', 'n')} AS placeholder FROM num""",
 )
 def redact_placeholders(spark, sf_dir):
-    return redact.placeholders(detect(spread(derived_text(spark, sf_dir, "mixed"))), ["id"])
+    return redact.placeholders(detect(derived_text(spark, sf_dir, "mixed")), ["id"])
 
 
 @register(
@@ -524,7 +524,7 @@ _TURN = """CASE WHEN turn % 2 = 1 THEN '900' || lpad(CAST(conv_id % 1000 AS STRI
 
 
 def turns(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", f"{_TURN} AS text"))
+    return spread(table(spark, sf_dir, "conversations")).selectExpr("conv_id", "turn", f"{_TURN} AS text")
 
 
 _TURNS = f"t AS MATERIALIZED (SELECT conv_id, turn, {NEWLINES.format(_TURN)} AS text FROM conversations)"
@@ -572,7 +572,7 @@ _SEGMENTS = f"""h AS (SELECT page_id, string_split(regexp_replace({_HTML},
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{_HTML} AS html"))
+    return spread(table(spark, sf_dir, "pages")).selectExpr("page_id", "url", f"{_HTML} AS html")
 
 
 @register(
@@ -610,6 +610,6 @@ _CRLF = "replace(replace(text, '; ', chr(13) || chr(10)), ' ', CASE WHEN id % 2
 )
 def raw_offsets(spark, sf_dir):
     raw = derived_text(spark, sf_dir, "contact").selectExpr("id", f"{_CRLF} AS raw")
-    found = detect(spread(raw.withColumn("text", F.col("raw"))), detectors=detectors(*CONTACT_RANKS))
+    found = detect(raw.withColumn("text", F.col("raw")), detectors=detectors(*CONTACT_RANKS))
     rows = found.select("id", "raw", F.explode_outer("findings").alias("f")).where("f is not null")
     return rows.select("id", "f.type", "f.start", F.expr(segments.raw_offset("raw", "f.start")).alias("raw_start"))

@@ -34,11 +34,12 @@ def scan_key():
 
 
 def scans(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr(
+    keys = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    rows = keys.selectExpr(
         "o_orderkey AS id", f"{_BODY} AS text", f"{_SPARK_TS} AS ts", f"{_SOURCE} AS source", f"{_FILE} AS filename"
     )
     rows = rows.withColumn("scan_id", scan_key())
-    return detect(spread(rows), detectors=detectors(*CONTACT_RANKS))
+    return detect(rows, detectors=detectors(*CONTACT_RANKS))
 
 
 def log(spark, sf_dir) -> DataFrame:
@@ -182,8 +183,8 @@ _PAGE_COUNTS = f"""src AS MATERIALIZED (SELECT page_id AS id, {NEWLINES.format(_
 
 
 def page_counts(spark, sf_dir) -> DataFrame:
-    given = table(spark, sf_dir, "pages").selectExpr("page_id", f"{_PAGE_TEXT} AS text", f"{_PAGE_URL} AS url")
-    found = detect(spread(given), detectors=detectors(18, 19, 20))
+    given = spread(table(spark, sf_dir, "pages").select("page_id", "url")).selectExpr("page_id", f"{_PAGE_TEXT} AS text", f"{_PAGE_URL} AS url")
+    found = detect(given, detectors=detectors(18, 19, 20))
     return found.select("page_id", page_domain(F.col("url")).alias("domain"), *stats.scan_counts("findings"))
 
 

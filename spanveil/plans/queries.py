@@ -40,10 +40,9 @@ def register(name: str, oracle: str | None = None):
 
 
 def derived_text(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    texts = table(spark, sf_dir, "orders").selectExpr(
-        f"{derived.KEY} AS id", f"{derived.TEXTS[kind]} AS text"
-    )
-    return texts
+    """Texts of one kind; only the keys are moved, the texts are made where they are used."""
+    keys = spread(table(spark, sf_dir, "orders").select(derived.KEY))
+    return keys.selectExpr(f"{derived.KEY} AS id", f"{derived.TEXTS[kind]} AS text")
 
 
 FINDING_COLUMNS = "id, type, t AS text, s AS start, e AS \"end\", conf AS confidence"
@@ -71,7 +70,7 @@ DETECTOR_QUERIES = {
 def _detector_query(kind: str, ranks: tuple[int, ...]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         chosen = [d for d in default_detectors() if d.rank in ranks]
-        found = find_pii(spread(derived_text(spark, sf_dir, kind)), ["id"], detectors=chosen)
+        found = find_pii(derived_text(spark, sf_dir, kind), ["id"], detectors=chosen)
         return found.drop("severity")
 
     return query
