@@ -2,7 +2,7 @@
 
 Events may arrive out of order.  Each key buffers its events in state until the watermark has
 passed them, then handles them in order, so the result does not depend on arrival.  Timers of
-the state machine run in event time.  Rows later than the watermark are dropped by Spark.
+the state machine run in event time.  Rows behind the watermark are late and are dropped.
 """
 
 from __future__ import annotations
@@ -34,12 +34,14 @@ def ordered_by_event_time(
 
     def handle(group: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory, waiting = json.loads(state.get[0]) if state.exists else ({}, [])
+        watermark = max(state.getCurrentWatermarkMs(), 0)
+        limit = watermark * 1000
         if not state.hasTimedOut:
             for frame in frames:
                 frame = frame.assign(**{ts: frame[ts].astype("datetime64[us]").astype("int64")})
-                waiting.extend(json.loads(frame.drop(columns=[key]).to_json(orient="records")))
-        watermark = max(state.getCurrentWatermarkMs(), 0)
-        limit = watermark * 1000
+                # What the watermark has passed was handled already; such a row is late.
+                frame = frame[frame[ts] > limit].drop(columns=[key])
+                waiting.extend(json.loads(frame.to_json(orient="records")))
         waiting.sort(key=lambda e: (e[ts], e.get(tie) if tie else 0))
         rows: list[tuple] = []
 

@@ -31,7 +31,7 @@ def test_model_output(spark):
     entity = '{"type":"PERSON","text":"Ann Lee","start":0,"end":7}'
     outputs = [
         '{"entities":[%s]}' % entity, "```json\n{\"entities\":[%s]}\n```" % entity, "ok: {\"entities\":[%s]} bye" % entity,
-        "none", '{"entities":3}', '{"entities":[%s]} and {' % entity, '{"entities":[%s]} {"a":1}' % entity, None,
+        "none", '{"entities":3}', '{"entities":[%s]} and }' % entity, '{"entities":[%s]} {"a":1}' % entity, None,
         '{"entities":[{"type":"Odd","text":"q","start":null,"end":"7","confidence":true}]}',
     ]
     df = spark.createDataFrame(list(enumerate(outputs)), "id int, raw string")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ def file_stream(spark, folder, schema, batches):
     folder.mkdir()
     for i, rows in enumerate(batches):
         target = folder / f"{i:03d}.parquet"
-        spark.createDataFrame(rows, schema).toPandas().to_parquet(target, coerce_timestamps="us", index=False)
+        written = folder.parent / f"{folder.name}-{i}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(written))
+        shutil.copy(next(written.glob("*.parquet")), target)
         os.utime(target, (1e9 + i, 1e9 + i))
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
