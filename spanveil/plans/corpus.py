@@ -485,6 +485,24 @@ def relocate_first(spark, sf_dir):
     return rows.select("id", "f.type", "f.text", "f.start", "f.end")
 
 
+@register(
+    "redact_after_edit",
+    f"""{CONTACT}, {_EDITED},
+    o AS MATERIALIZED (SELECT f.id, type, t, CASE WHEN text = new THEN s ELSE strpos(new, t) - 1 END::INT AS place,
+        row_number() OVER (PARTITION BY f.id ORDER BY s) AS i FROM f JOIN ed ON ed.id = f.id
+        WHERE text = new OR strpos(new, t) > 0),
+    p AS (SELECT id, i, type, t, place AS s, (place + length(t))::INT AS e FROM o),
+    h0 AS (SELECT * FROM p WHERE false),
+    {", ".join(f'''h{i} AS MATERIALIZED (SELECT * FROM h{i - 1} UNION ALL SELECT * FROM p x WHERE i = {i} AND NOT EXISTS (
+        SELECT 1 FROM h{i - 1} k WHERE k.id = x.id AND NOT (x.e <= k.s OR x.s >= k.e)))''' for i in range(1, 13))},
+    live AS (SELECT id, new AS text FROM ed), {O.redacted_cte('live', 'h12', True)} SELECT id, redacted FROM red""",
+)
+def redact_after_edit(spark, sf_dir):
+    """Redact everything in the edited text: relocate, number, splice."""
+    moved = relocate.relocate_first(edited(spark, sf_dir), "findings", "text", "new_text")
+    return redact.redact(moved, "new_text", "moved").select("id", "redacted")
+
+
 @register(
     "relocate_one",
     f"""{CONTACT}, {_EDITED}, l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC) = 1),

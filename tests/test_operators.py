@@ -151,3 +151,22 @@ def test_log_holds_no_text(spark, tmp_path):
     risklog.export_dsar(log, str(tmp_path / "export"))
     assert spark.read.text(str(tmp_path / "export" / "header")).first().value == risklog.EXPORT_HEADER
     assert spark.read.text(str(tmp_path / "export" / "lines")).first().value == line
+
+
+def test_scan_and_sinks(spark, tmp_path):
+    from spanveil import sinks
+    from spanveil.operators.scan import scan_corpus
+
+    df = spark.createDataFrame([(1, "mail ann@nhs.uk"), (2, "nothing")], "id int, text string")
+    scans = scan_corpus(df, ["id"])
+    rows = {r.id: r for r in scans.collect()}
+    assert (rows[1].risk_level, rows[1].signature, rows[1].risks_found) == ("HIGH", "email:ann@nhs.uk", 1)
+    assert (rows[2].risk_level, rows[2].signature, rows[2].risks_found) == (None, "", 0)
+    sinks.write_redacted(redact.redact(scans.select("id", "text", "findings"), pad=False), str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.columns == ["id", "text"]
+    assert {tuple(r) for r in written.collect()} == {(1, "mail [EMAIL_1]"), (2, "nothing")}
+    from spanveil.operators.detect import explode_findings
+
+    sinks.write_findings(explode_findings(scans, ["id"]), str(tmp_path / "found"))
+    assert spark.read.parquet(str(tmp_path / "found")).count() == 1
