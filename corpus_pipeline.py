@@ -1,18 +1,47 @@
-"""The corpus pipeline: each stage takes the documents that the one before kept."""
+"""The corpus pipeline: each stage takes the documents that the one before kept.
+
+Toxic documents go, one of each group of exact copies and one of each group of near duplicates
+stays, the rest is mixed to target weights (a document that the mix draws from twice is there
+twice, with the words of each pass), and the mix is encoded.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanveil.llm import exact_dups, mixing, near_dups
+from spanveil.llm import bpe, exact_dups, mixing, near_dups, toxicity
 from spanveil.llm.common import table, written
 
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the cut of 0.3."""
+    scored = toxicity.scored(docs.select(*docs.columns), table(spark, sf_dir, "labels"), columns=docs.columns)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dups.without_exact_duplicates(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.without_near_duplicates(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digested(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
-    ("exact dedup", lambda spark, docs, sf_dir: exact_dups.without_exact_duplicates(docs)),
-    ("SimHash near-dedup", lambda spark, docs, sf_dir: near_dups.without_near_duplicates(docs)),
-    ("mixing sources to target weights", lambda spark, docs, sf_dir: mixing.mixed(docs)),
+    ("toxicity", without_toxic), ("exact dedup", without_copies), ("SimHash near-dedup", without_near_copies),
+    ("mixing sources to target weights", mixed), ("BPE encoding and decoding", encoded),
 ]
 
+#: A trained classifier and a tokenizer can't be written in SQL; the tests compare with a plain version.
 ORACLE_SQL = None
 
 

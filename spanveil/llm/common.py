@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,18 +57,55 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary() if large else pa.binary()).to_pylist()]
 
 
+#: Rows that are worked on at a time, to keep the memory of a worker small.
+SLICE = 512
+
+
 def per_batch(build, columns: list[str], text: str = "text"):
-    """A ``mapInArrow`` function: ``build(texts)`` gives the new columns of a batch, in order.
+    """A ``mapInArrow`` function: ``build(texts)`` gives the new columns of some rows, in order.
 
     Columns other than the text are passed on as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [n for n in batch.schema.names if n != text]
-            made = build(texts_of(batch.column(batch.schema.names.index(text))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.names.index(n)) for n in kept] + made, names=kept + columns
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                kept = [n for n in batch.schema.names if n != text]
+                made = build(texts_of(batch.column(batch.schema.names.index(text))))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(batch.schema.names.index(n)) for n in kept] + made, names=kept + columns
+                )
 
     return run
+
+
+class Kept(dict):
+    """A bounded cache: ``make(key)`` for what it lacks, and the keys of the last two generations.
+
+    When ``size`` keys are new, they become the old generation, and the one before is forgotten.
+    """
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: bytes):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 256:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+#: The word pattern of the tokenizer file, for lower-case ASCII without white space.
+PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def plain_pieces(raw: bytes) -> list[bytes] | None:
+    """The pre-split words of an ASCII string without a special string; None if it isn't such a string."""
+    return PIECES.findall(raw.lower()) if raw.isascii() and b"<|" not in raw else None

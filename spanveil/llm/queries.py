@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dups, mixing, near_dups, sharding
+from . import bpe, exact_dups, mixing, near_dups, sharding, token_counts, toxicity
 from .common import table
 
 
+def tokenizer() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digested(table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dups.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,6 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_sharding": op1_sharding, "op4_near_dups": op4_near_dups, "op9_exact_dups": op9_exact_dups, "op10_mixing": op10_mixing,
+    "op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op4_near_dups": op4_near_dups, "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity, "op9_exact_dups": op9_exact_dups, "op10_mixing": op10_mixing,
 }
 ORACLES = {"op1_sharding": sharding.ORACLE, "op9_exact_dups": exact_dups.ORACLE}
