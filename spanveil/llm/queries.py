@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dups, mixing, near_dups, sharding, token_counts, toxicity
+from . import bpe, exact_dups, licenses, mixing, near_dups, quality, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -21,10 +21,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digested(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -42,7 +50,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op4_near_dups": op4_near_dups, "op7_bpe": op7_bpe,
+    "op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_licenses": op3_licenses,
+    "op4_near_dups": op4_near_dups, "op6_quality": op6_quality, "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity, "op9_exact_dups": op9_exact_dups, "op10_mixing": op10_mixing,
 }
-ORACLES = {"op1_sharding": sharding.ORACLE, "op9_exact_dups": exact_dups.ORACLE}
+ORACLES = {"op1_sharding": sharding.ORACLE, "op6_quality": quality.ORACLE, "op9_exact_dups": exact_dups.ORACLE}
