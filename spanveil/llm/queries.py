@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dups, licenses, mixing, near_dups, quality, sharding, token_counts, toxicity
+from . import bpe, exact_dups, licenses, mixing, near_dups, pii, quality, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_licenses": op3_licenses,
-    "op4_near_dups": op4_near_dups, "op6_quality": op6_quality, "op7_bpe": op7_bpe,
-    "op8_toxicity": op8_toxicity, "op9_exact_dups": op9_exact_dups, "op10_mixing": op10_mixing,
+    "op4_near_dups": op4_near_dups, "op5_pii": op5_pii, "op6_quality": op6_quality,
+    "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_exact_dups": op9_exact_dups, "op10_mixing": op10_mixing,
 }
 ORACLES = {"op1_sharding": sharding.ORACLE, "op6_quality": quality.ORACLE, "op9_exact_dups": exact_dups.ORACLE}
