@@ -31,9 +31,9 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 NAMES = [
     ("apache-1.0", "apache", r"apache (?:software )?licen[sc]e (?:version |v )?1 0", "apache 1 0"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e (?:version |v )?1 1", "apache 1 1"),
-    ("apache-2.0", "apache", r"apache (?:software )?licen[sc]e (?:version |v )?v?2(?: 0)?|al2 0", "apache 2 0"),
+    ("apache-2.0", "apache", r"apache (?:software )?licen[sc]e (?:version |v )?v?2(?: 0)?", "apache 2 0"),
     ("apache", "apache", r"apache (?:software )?licen[sc]e", "apache"),
-    ("mit", "mit", r"(?:mit|expat|x11) (?:style )?licen[sc]e", "mit"),
+    ("mit", "licen", r"(?:mit|expat|x11) (?:style )?licen[sc]e", "mit"),
     ("mit-0", "mit", r"mit no attribution(?: licen[sc]e)?", "mit 0"),
     ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd (?:style )?licen[sc]e|bsd 2 clause(?: licen[sc]e)?", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd (?:style )?licen[sc]e|bsd 3 clause(?: licen[sc]e)?", "bsd 3 clause"),
@@ -68,7 +68,7 @@ NAMES = [
     ("bsl-1.0", "boost", r"boost software licen[sc]e", "bsl 1 0"),
     ("unlicense", "unlicense", r"the unlicense", "unlicense"),
     ("wtfpl", "public", r"do what the fuck you want to public licen[sc]e", "wtfpl"),
-    ("psf-2.0", "python", r"(?:python software foundation|psf) licen[sc]e", "psf 2 0"),
+    ("psf-2.0", "licen", r"(?:python software foundation|psf) licen[sc]e", "psf 2 0"),
     ("ofl-1.1", "font", r"(?:sil )?open font licen[sc]e", r"ofl 1 [01]"),
     ("ms-pl", "microsoft", r"microsoft public licen[sc]e", "ms pl"),
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[sc]e", "ms rl"),
@@ -130,7 +130,7 @@ CLAUSES = [
     ("copyright", 80, 0.2, "copyright", r"(?:copyright (?:notice|holders?|owners?)|copyrighted)"),
     ("proprietary", 45, 0.7, "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", 46, 0.6, "proprietary", r"proprietary (?:software )?licen[sc]e"),
-    ("no-warranty", 75, 0.3, "warranty", r"(?:without (?:any )?warranty|as is without (?:any )?warranty|without warranties or conditions)"),
+    ("no-warranty", 75, 0.3, "warrant", r"(?:without (?:any )?warranty|as is without (?:any )?warranty|without warranties or conditions)"),
 ]
 #: Forms in which a name is found: priority, strength, and the pattern around the name.
 FORMS = [
@@ -146,8 +146,8 @@ RULES = [
     *((label, 10, 1.0, "identifier", SPDX.format(spdx)) for label, _, _, spdx in NAMES),
 ]
 
-#: A text in which none of these stands holds no rule's keyword and no base phrase.
-GATE = r"(?i)licen[sc]|spdx|cc|copyright|general|rights|public|apache|redistrib|permission|creativecommons|warrant|confidential|advertising|altered|without restriction|gpl|neither the|mit no|bsd|al2|free doc"
+#: A text in which none of these stands can't match a rule or hold a base phrase.
+GATE = "(?i)licen[sc]|spdx|cc|copyright|general|rights|public|apache|redistrib|permission|creativecommons|warrant|confidential|advertising|altered|restriction|gpl|contributors|attribution|bsd|gnu|mozilla"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
