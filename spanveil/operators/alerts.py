@@ -1,7 +1,8 @@
 """Time-dependent behaviour of scanning, over tables of past events.
 
 Every function is the batch form of a streaming operator in ``spanveil.streaming`` and gives
-the same rows.  Keys are worked on in time chunks, so one busy key is not held by one task.
+the same rows; a stream can't tell that something never came, so alerts without an outcome are
+rows of the batch form alone.  Keys are worked on in time chunks, so one busy key is not held by one task.
 """
 
 from __future__ import annotations
@@ -43,16 +44,16 @@ def alerts(
     """Scans with whether they alert.
 
     Events are ``scan`` (with a signature, empty when nothing was found), ``dismiss`` (with
-    the signature dismissed) and ``clear`` (text emptied).  A scan is silent when its signature
-    is the one dismissed last; a clear or an empty scan forgets that.
+    the signature dismissed) and ``clear`` (text emptied) or ``reset``.  A scan is silent
+    when its signature is the one dismissed last; a clear, a reset or an empty scan forgets that.
     """
     order = [ts, tie]
     is_scan = F.col(kind) == "scan"
     sign = F.coalesce(F.col(signature), F.lit(""))
     memory = F.when(F.col(kind) == "dismiss", sign).when(
-        (F.col(kind) == "clear") | (is_scan & (sign == "")), F.lit("")
+        F.col(kind).isin("clear", "reset") | (is_scan & (sign == "")), F.lit("")
     )
-    df = last_before(events, [key], order, time_chunk(ts, chunk_s), memory, "__dismissed")
+    df = last_before(events, [key], order, time_chunk(ts, chunk_s), {"__dismissed": memory})
     shown = sign != F.coalesce(F.col("__dismissed"), F.lit(""))
     return df.where(is_scan & (sign != "")).withColumn("alerted", shown).drop("__dismissed")
 
@@ -64,9 +65,10 @@ def answered(
     """Outcome of each alert: the user's action, or ``dismiss`` at the time-out.
 
     ``events`` holds ``open``/``close`` of the details, ``hide``/``show`` of the page and the
-    actions.  The clock starts with the alert and anew at each close or show while the
-    details are shut; open and hide stop it.  An alert whose clock is stopped for good, or that
-    a ``reset`` drops, has no action.
+    actions; actions before the alert don't answer it.  The clock starts with the alert and anew
+    at each close or show, but only while the page is visible and the details are shut; open and
+    hide stop it.  An alert whose clock is stopped for good, or that a ``reset`` drops, comes out
+    with no action.
     """
     control = ["open", "close", "hide", "show"]
     lines = alerts_.select(key, F.col(ts), F.lit("alert").alias("event"), F.lit(0).alias("seq")).unionByName(
@@ -74,17 +76,23 @@ def answered(
     )
     order = [ts, "seq", "event"]
     chunk = time_chunk(ts, chunk_s)
-    # Whether the details are open is carried forward; it decides if ``show`` starts the clock.
-    drawer = F.when(F.col("event") == "open", True).when(F.col("event").isin("alert", "close"), False)
-    lines = last_before(lines, [key], order, chunk, drawer, "drawer")
+    # Whether the details are open, the page hidden and the alert there is carried forward.
+    event = F.col("event")
+    lines = last_before(lines, [key], order, chunk, {
+        "drawer": F.when(event == "open", True).when(event.isin("alert", "close"), False),
+        "hidden": F.when(event == "hide", True).when(event == "show", False),
+        "alerted": F.when(event == "alert", True),
+    })
     lines = first_after(lines, [key], order, chunk, F.col(ts), "next_ts")
-    starts = F.col("event").isin("alert", "close") | (
-        (F.col("event") == "show") & ~F.coalesce("drawer", F.lit(False))
+    alerted, shut = F.coalesce("alerted", F.lit(False)), ~F.coalesce("drawer", F.lit(False))
+    visible = ~F.coalesce("hidden", F.lit(False))
+    starts = ((event == "alert") & visible) | (
+        alerted & ((event == "close") & visible | (event == "show") & shut)
     )
     due = F.timestamp_micros(F.unix_micros(F.col(ts)) + wait_ms * 1000)
     expires = starts & (F.col("next_ts").isNull() | (F.col("next_ts") >= due))
-    answer = ~F.col("event").isin("alert", "reset", *control)
-    dropped = F.col("event") == "reset"
+    answer = alerted & ~event.isin("alert", "reset", *control)
+    dropped = alerted & (event == "reset")
     # The first of time-out and action wins; a struct minimum finds it in one combinable pass.
     first = F.min(
         F.when(expires, F.struct(due.alias("at"), F.lit("dismiss").alias("action"))).when(

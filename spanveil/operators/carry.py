@@ -39,22 +39,22 @@ def running_sum(
 
 
 def last_before(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, values: dict[str, Column]
 ) -> DataFrame:
-    """Latest non-null ``value`` among the earlier rows of the key, the row not included."""
+    """Latest non-null value among the earlier rows of the key, the row not included, for each of ``values``."""
     inside, across = _windows(keys, order)
-    df = df.withColumn(CHUNK, chunk).withColumn("__value", value)
-    local = F.last("__value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    lasts = df.where("__value IS NOT NULL").groupBy(*keys, CHUNK).agg(
-        F.max_by("__value", F.struct(*order)).alias("__last")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn(CHUNK, chunk).withColumns({f"__v_{n}": v for n, v in values.items()})
+    # A chunk without a value has a null here, as ``max_by`` passes over null orders.
+    lasts = df.groupBy(*keys, CHUNK).agg(
+        *(F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.struct(*order))).alias(f"__l_{n}") for n in values)
     )
-    # Chunks without a value still need a carried one.
-    chunks = df.select(*keys, CHUNK).distinct().join(lasts, [*keys, CHUNK], "left")
-    carried = F.last("__last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-    bases = chunks.select(*keys, CHUNK, carried.alias("__carried"))
-    joined = df.withColumn("__local", local).join(bases, [*keys, CHUNK])
-    return joined.withColumn(out, F.coalesce("__local", "__carried")).drop(
-        CHUNK, "__value", "__local", "__carried"
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    bases = lasts.select(*keys, CHUNK, *(F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__c_{n}") for n in values))
+    local = df.withColumns({f"__b_{n}": F.last(f"__v_{n}", ignorenulls=True).over(before) for n in values})
+    joined = local.join(bases, [*keys, CHUNK])
+    return joined.withColumns({n: F.coalesce(f"__b_{n}", f"__c_{n}") for n in values}).drop(
+        CHUNK, *(f"__{x}_{n}" for n in values for x in "vbc")
     )
 
 

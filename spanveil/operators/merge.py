@@ -86,7 +86,11 @@ def attach_secondary(docs: DataFrame, rows: DataFrame, keys: list[str], order: s
 
 
 def drop_known_phrases(findings: DataFrame, lexicon: DataFrame, term: str = "term") -> DataFrame:
-    """Left-anti join of name findings with a table of phrases that are not names."""
-    terms = lexicon.select(F.lower(F.col(term)).alias("__term")).distinct()
-    hit = (F.col("type") == "name") & (F.lower(F.trim(F.col("text"))) == F.col("__term"))
-    return findings.join(terms, hit, "left_anti")
+    """Left-anti join of name findings with a table of phrases that are not names.
+
+    Findings of other types are set aside before the join.
+    """
+    terms = lexicon.select(F.lower(F.col(term)).alias("__term"))
+    is_name = F.coalesce(F.col("type") == "name", F.lit(False))
+    names = findings.where(is_name).join(terms, F.lower(F.trim(F.col("text"))) == F.col("__term"), "left_anti")
+    return names.unionByName(findings.where(~is_name))

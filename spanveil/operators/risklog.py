@@ -78,15 +78,19 @@ def recent(log: DataFrame, n: int = RECENT, order: str = "newest", high_only: bo
 
 
 def update_actions(log: DataFrame, actions: DataFrame) -> DataFrame:
-    """Set the latest action of each scan on its newest log entry; unknown scans do nothing."""
+    """Set the latest action of each scan on its newest log entry, and on that one alone.
+
+    Entries of equal time are told apart by their content; unknown scans do nothing.  The log is
+    read once: the action comes by the join, and the entries of a scan are then together.
+    """
     last = actions.groupBy("scan_id").agg(
         F.max(F.struct(F.col("ts").alias("at"), F.col("action").alias("what"))).alias("__last")
     )
-    # The newest entry of a scan id is found by a combinable aggregate, not by a window.
-    newest_entry = log.groupBy("scan_id").agg(F.max("ts").alias("__newest"))
-    latest = newest_entry.join(last, "scan_id")
-    hit = F.col("__last").isNotNull() & (F.col("ts") == F.col("__newest"))
-    return log.join(latest, "scan_id", "left").select(
+    newest_first = Window.partitionBy("scan_id").orderBy(
+        F.col("ts").desc(), F.xxhash64(F.to_json(F.struct("risks", "source", "filename", "user_action", "action_ts")))
+    )
+    hit = F.col("__last").isNotNull() & (F.col("__nth") == 1)
+    return log.join(last, "scan_id", "left").withColumn("__nth", F.row_number().over(newest_first)).select(
         "scan_id", "ts", "risks", "source", "filename",
         F.when(hit, F.col("__last.what")).otherwise(F.col("user_action")).alias("user_action"),
         F.when(hit, F.col("__last.at")).otherwise(F.col("action_ts")).alias("action_ts"),

@@ -53,26 +53,27 @@ _STEPS = """CASE event_type WHEN 'view' THEN 'open' WHEN 'signup' THEN 'close' W
 @register(
     "unanswered_alerts",
     f"""WITH a AS (SELECT user_id AS scan_id, min(ts) - INTERVAL 1 MINUTE AS ts FROM events GROUP BY user_id),
-    e AS (SELECT user_id AS scan_id, ts, {_STEPS} AS event, 1 AS seq FROM events WHERE event_id % 3 < 2
+    e AS (SELECT user_id AS scan_id, ts, {_STEPS} AS event, 1 AS seq FROM events
         UNION ALL SELECT scan_id, ts, 'alert', 0 FROM a),
     o AS (SELECT *, lead(ts) OVER w AS nxt, last_value(CASE WHEN event = 'open' THEN 1 WHEN event IN ('alert', 'close') THEN 0 END IGNORE NULLS)
-        OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened FROM e WINDOW w AS (PARTITION BY scan_id ORDER BY ts, seq, event)),
+        OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened,
+        last_value(CASE event WHEN 'hide' THEN 1 WHEN 'show' THEN 0 END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hidden FROM e WINDOW w AS (PARTITION BY scan_id ORDER BY ts, seq, event)),
     r AS (SELECT scan_id, ts + INTERVAL 6 HOUR AS at_, 'dismiss' AS action FROM o
-            WHERE (event IN ('alert', 'close') OR (event = 'show' AND coalesce(opened, 0) = 0)) AND (nxt IS NULL OR nxt >= ts + INTERVAL 6 HOUR)
+            WHERE ((event IN ('alert', 'close') AND coalesce(hidden, 0) = 0) OR (event = 'show' AND coalesce(opened, 0) = 0)) AND (nxt IS NULL OR nxt >= ts + INTERVAL 6 HOUR)
         UNION ALL SELECT scan_id, ts, event FROM o WHERE event IN ('fix', 'dismiss'))
     SELECT scan_id, first(action ORDER BY at_, action) AS action, min(at_) AS action_ts FROM a LEFT JOIN r USING (scan_id) GROUP BY scan_id""",
 )
 def unanswered_alerts(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events").selectExpr("event_id", "user_id AS scan_id", "ts", f"{_STEPS} AS event")
     shown = events.groupBy("scan_id").agg((F.min("ts") - F.expr("INTERVAL 1 MINUTE")).alias("ts"))
-    done = alerts.answered(shown, events.where("event_id % 3 < 2"), wait_ms=6 * 3_600_000, chunk_s=86_400)
+    done = alerts.answered(shown, events, wait_ms=6 * 3_600_000, chunk_s=86_400)
     return done.select("scan_id", "action", wall_time("action_ts"))
 
 
 @register(
     "stale_scans",
     r"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE text END AS scanned, make_timestamp(turn * 200000) AS created,
-        CASE (conv_id + turn) % 4 WHEN 0 THEN text WHEN 1 THEN '  x ' || replace(text, ' ', '  ') WHEN 2 THEN left(text, 5) ELSE NULL END AS now_text
+        CASE (conv_id + turn) % 4 WHEN 0 THEN text WHEN 1 THEN '  x ' || replace(text, ' ', '  ') WHEN 2 THEN text || ' and more' ELSE NULL END AS now_text
         FROM conversations),
     n AS (SELECT *, trim(regexp_replace(coalesce(scanned, ''), '\s+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(now_text, ''), '\s+', ' ', 'g')) AS b FROM t)
     SELECT conv_id, turn, CASE WHEN scanned IS NULL THEN true WHEN 1000 - turn * 200 < 600 THEN false
@@ -83,7 +84,7 @@ def stale_scans(spark, sf_dir) -> DataFrame:
         "conv_id", "turn", "CASE WHEN turn % 5 = 4 THEN NULL ELSE text END AS scanned",
         "timestamp_micros(turn * 200000) AS created",
         """CASE (conv_id + turn) % 4 WHEN 0 THEN text WHEN 1 THEN '  x ' || replace(text, ' ', '  ')
-            WHEN 2 THEN left(text, 5) ELSE NULL END AS now_text""",
+            WHEN 2 THEN text || ' and more' ELSE NULL END AS now_text""",
     )
     now = F.timestamp_micros(F.lit(1_000_000))
     return alerts.stale(rows, now, "scanned", "created", "now_text").select("conv_id", "turn", "stale")

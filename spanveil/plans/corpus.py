@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, display, lexicons
 from ..functions.context import context_score
+from ..functions.spans import quoted
 from ..operators import merge, redact, relocate, segments, stats
 from ..operators.detect import detect, explode_findings, find_pii, spread
 from ..operators.detectors import all_candidates, default_detectors
@@ -251,18 +252,18 @@ def merge_table_findings(spark, sf_dir):
 
 @register(
     "known_phrase_filter",
-    f"""WITH {source('names')}, w AS (SELECT id, 'name' AS type, regexp_extract(text, '[A-Za-z]+ +[A-Za-z]+') AS text FROM src)
+    f"""WITH {source('names')}, w AS (SELECT id, 'name' AS type, unnest(regexp_extract_all(text, '[A-Za-z]+ +[A-Za-z]+')) AS text FROM src)
     SELECT * FROM w WHERE NOT {O.listed('lower(trim(text))', lexicons.FALSE_POSITIVES)}""",
 )
 def known_phrase_filter(spark, sf_dir):
     rows = derived_text(spark, sf_dir, "names").select(
-        "id", F.lit("name").alias("type"), F.regexp_extract("text", "[A-Za-z]+ +[A-Za-z]+", 0).alias("text")
+        "id", F.lit("name").alias("type"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+ +[A-Za-z]+"), F.lit(0))).alias("text")
     )
     return merge.drop_known_phrases(rows, lexicon_table(spark).where("lexicon = 'false_positives'"))
 
 
 def lexicon_table(spark: SparkSession) -> DataFrame:
-    """Lexicons as a table; a few hundred rows, so Spark broadcasts it by its size."""
+    """Lexicons as a table written out in the plan: its size is known, so joins broadcast it and not the corpus."""
     lists = {
         "salutations": lexicons.SALUTATIONS,
         "common_words": lexicons.COMMON_WORDS,
@@ -270,8 +271,8 @@ def lexicon_table(spark: SparkSession) -> DataFrame:
         "false_positives": lexicons.FALSE_POSITIVES,
         "given_names": lexicons.DEFAULT_GIVEN_NAMES,
     }
-    rows = [(name, term) for name, terms in lists.items() for term in terms]
-    return spark.createDataFrame(rows, "lexicon string, term string")
+    rows = ", ".join(f"({quoted(name)}, {quoted(term)})" for name, terms in lists.items() for term in terms)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(lexicon, term)")
 
 
 _LEXICON_VALUES = ", ".join(
@@ -347,21 +348,22 @@ def confidence_forms(spark, sf_dir):
     )
 
 
+_FORMS = "text, '  ' || text || chr(10), repeat(' ', CAST(turn % 4 AS int)) || chr(10), repeat('.', CAST(turn AS int))"
+
+
 @register(
     "text_guards",
-    """WITH t AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN repeat(' ', (turn % 4)::INT) || chr(10)
-            WHEN (conv_id + turn) % 3 = 1 THEN left(text, (turn * 3)::INT) ELSE text END AS text FROM conversations)
-    SELECT conv_id, turn, length(text) > 0 AS scanned, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 AS typed,
+    f"""WITH t AS (SELECT conv_id, turn, unnest([{_FORMS}]) AS text, unnest(range(4)) AS form FROM conversations)
+    SELECT conv_id, turn, form, length(text) > 0 AS scanned, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 AS typed,
         length(text) > 10 AS rescanned FROM t""",
 )
 def text_guards(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id", "turn",
-        """CASE WHEN (conv_id + turn) % 3 = 0 THEN repeat(' ', CAST(turn % 4 AS int)) || chr(10)
-            WHEN (conv_id + turn) % 3 = 1 THEN left(text, CAST(turn * 3 AS int)) ELSE text END AS text""",
+    """The guards on every turn: as it is, with white space around it, as white space, and as a short mark."""
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.posexplode(F.expr(f"array({_FORMS})")).alias("form", "text")
     )
     return turns.select(
-        "conv_id", "turn", (F.length("text") > 0).alias("scanned"),
+        "conv_id", "turn", F.col("form").cast("long").alias("form"), (F.length("text") > 0).alias("scanned"),
         (F.length(F.expr(checks.collapse_whitespace("text"))) > 0).alias("typed"),
         (F.length("text") > 10).alias("rescanned"),
     )
@@ -516,8 +518,8 @@ def relocate_one(spark, sf_dir):
     return moved.select("id", "moved.type", "moved.text", "moved.start", "moved.end")
 
 
-_PASTED = "substr(text, 1, CAST(id % 40 AS int))"
-_LIVE = "substr(text, 1, CAST((id * 7) % 45 AS int))"
+_PASTED = "CASE WHEN id % 7 = 0 THEN '' ELSE text || repeat('.', CAST(id % 40 AS int)) END"
+_LIVE = "CASE WHEN id % 11 = 0 THEN '' ELSE text || repeat('.', CAST((id * 7) % 45 AS int)) END"
 _WHERE_FROM = "CASE id % 3 WHEN 0 THEN 'paste' WHEN 1 THEN 'typing' ELSE 'paste' END"
 
 

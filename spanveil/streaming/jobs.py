@@ -16,6 +16,7 @@ from .ordered import ordered_by_event_time
 
 # Late-data policy: rows more than this behind the newest event are dropped.
 WATERMARK = "10 minutes"
+STATS_SCHEMA = "domain string, total long, high_risk long, medium_risk long, batch long"
 
 
 def detect_stream(texts: DataFrame, keys: list[str], text_col: str = "text", **options) -> DataFrame:
@@ -33,22 +34,24 @@ def write_findings(findings: DataFrame, path: str, checkpoint: str, by: tuple[st
 
 
 def debounce_stream(
-    texts: DataFrame, key: str, ts: str, text: str, quiet_ms: dict | int | None = None, **options
+    texts: DataFrame, key: str, ts: str, text: str, quiet_ms: dict | int | None = None, reset: str | None = None, **options
 ) -> DataFrame:
     """Scan only texts that stood still; the quiet time follows the level of the last scan.
 
     Every text is scored before the state step, inside the JVM; the state only picks which
-    scores count.  Blank text cancels a waiting scan and resets the level.
+    scores count.  Blank text cancels a waiting scan and resets the level, and so does a row whose
+    ``reset`` column, if one is named, is true.
     """
     quiet = quiet_ms if isinstance(quiet_ms, dict) else (
         QUIET_MS if quiet_ms is None else dict.fromkeys(QUIET_MS, quiet_ms)
     )
-    scored = detect(texts.select(key, ts, text), text, **options).select(
-        key, ts, text, risk_level(F.col("findings")).alias("level")
+    dropped = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
+    scored = detect(texts.select(key, ts, text, dropped.alias("__reset")), text, **options).select(
+        key, ts, text, "__reset", risk_level(F.col("findings")).alias("level")
     )
 
     def step(memory: dict, event: dict) -> list[tuple]:
-        if not (event[text] or "").strip():
+        if event["__reset"] or not (event[text] or "").strip():
             memory.update(waiting=None, level=None)
         else:
             due = event["ts"] + quiet[memory.get("level")] * 1000
@@ -78,7 +81,7 @@ def alert_stream(
         sign, what = event[signature] or "", event[kind]
         if what == "dismiss":
             memory["dismissed"] = sign
-        elif what == "clear" or not sign:
+        elif what in ("clear", "reset") or not sign:
             memory["dismissed"] = ""
         else:
             return [(event["ts"], sign, sign != memory.get("dismissed", ""))]
@@ -100,27 +103,23 @@ def answer_stream(
     """
 
     def step(memory: dict, event: dict) -> list[tuple]:
-        what = event["event"]
-        if memory.get("done"):
-            return []
-        if what == "reset":
-            memory.update(done=True, due=None)
-        elif what in ("alert", "close"):
-            memory.update(due=event["ts"] + wait_ms * 1000, open=False)
-        elif what == "open":
-            memory.update(due=None, open=True)
-        elif what == "hide":
-            memory.update(due=None)
-        elif what == "show":
-            if not memory.get("open"):
-                memory.update(due=event["ts"] + wait_ms * 1000)
-        else:
-            memory.update(done=True, due=None)
-            return [(what, event["ts"])]
+        what, due = event["event"], event["ts"] + wait_ms * 1000
+        if what == "alert":
+            memory.update(alerted=True, open=False)
+        elif what in ("open", "close"):
+            memory.update(open=what == "open")
+        elif what in ("hide", "show"):
+            memory.update(hidden=what == "hide")
+        elif memory.get("alerted"):
+            # Answered or dropped: nothing is kept, and what comes later finds no alert.
+            memory.clear()
+            return [] if what == "reset" else [(what, event["ts"])]
+        running = memory.get("alerted") and not memory.get("open") and not memory.get("hidden")
+        memory.update(due=due if running else None)
         return []
 
     def fire(memory: dict, due: int) -> list[tuple]:
-        memory.update(done=True, due=None)
+        memory.clear()
         return [("dismiss", due)]
 
     key_type = events.schema[key].dataType.simpleString()
@@ -161,14 +160,21 @@ def action_join(scans: DataFrame, actions: DataFrame, within: str = "1 hour") ->
 
 
 def upsert_stats(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` writer that keeps the newest totals of each batch under its number.
+    """A ``foreachBatch`` writer that keeps the newest totals of all domains in one of two slots.
 
-    Batches are written to their own folder in overwrite mode, so a replayed batch replaces
-    itself and the totals are counted once.
+    Batch n takes the totals that batch n - 1 left in the other slot, replaces those of its own
+    domains, and overwrites its slot.  A replayed batch does the same again, so totals are counted
+    once, and storage is two rows for each domain.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark, slot = batch.sparkSession, f"{path}/slot={number % 2}"
+        fresh = batch.select("domain", "total", "high_risk", "medium_risk", F.lit(number).cast("long").alias("batch"))
+        if number:
+            kept = spark.read.schema(STATS_SCHEMA).parquet(f"{path}/slot={(number - 1) % 2}")
+            kept = kept.join(fresh.select("domain"), "domain", "left_anti").withColumn("batch", F.lit(number).cast("long"))
+            fresh = fresh.unionByName(kept.select(*fresh.columns))
+        fresh.write.mode("overwrite").parquet(slot)
 
     return write
 
@@ -176,5 +182,11 @@ def upsert_stats(path: str) -> Callable[[DataFrame, int], None]:
 def read_stats(spark, path: str) -> DataFrame:
     """Newest totals per domain from what ``upsert_stats`` wrote."""
     fields = F.struct("total", "high_risk", "medium_risk")
-    rows = spark.read.parquet(path).groupBy("domain").agg(F.max_by(fields, "batch").alias("t"))
+    rows = spark.read.schema(STATS_SCHEMA).parquet(path).groupBy("domain").agg(F.max_by(fields, "batch").alias("t"))
     return rows.select("domain", "t.*")
+
+
+def clear_stats(spark, path: str) -> None:
+    """Totals of nothing, in both slots; goes with clearing the log."""
+    for slot in (0, 1):
+        spark.createDataFrame([], STATS_SCHEMA).write.mode("overwrite").parquet(f"{path}/slot={slot}")

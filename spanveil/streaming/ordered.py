@@ -57,7 +57,12 @@ def ordered_by_event_time(
             run_timers(event[ts])
             rows.extend(step(memory, {**event, "ts": event[ts]}))
         run_timers(limit)
-        state.update((json.dumps([memory, later]),))
+        if not later and not any(memory.values()):
+            # Nothing to remember: the key is forgotten, so state does not grow with past keys.
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps([memory, later]),))
         pending = [t for t in (timer(memory), later[0][ts] if later else None) if t is not None]
         if pending:
             state.setTimeoutTimestamp(max(min(pending) // 1000, watermark) + 1)

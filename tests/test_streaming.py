@@ -130,3 +130,73 @@ def test_action_join(spark, tmp_path):
                        [[("a", "fix", at(10))], [("q", "fix", at(9_000_000))], [("q", "fix", at(9_000_001))]])
     rows = run(spark, jobs.action_join(scans, acts), "joined", tmp_path / "c").where(F.col("scan_id").isin("a", "b")).collect()
     assert {(r.scan_id, r.user_action) for r in rows} == {("a", "fix"), ("b", None)}
+
+
+def test_hidden_page_starts_no_clock(spark, tmp_path):
+    """Written-out outcomes: a clock runs only while the page is visible and the details are shut."""
+    schema = "scan_id string, ts timestamp, event string"
+    rows = [
+        ("h1", at(0), "alert"), ("h1", at(2000), "open"), ("h1", at(4000), "hide"), ("h1", at(6000), "close"),
+        ("h2", at(0), "hide"), ("h2", at(1000), "alert"), ("h2", at(50_000), "show"),
+        ("h3", at(0), "hide"), ("h3", at(1000), "alert"), ("h3", at(2000), "fix"),
+        ("h4", at(0), "fix"), ("h4", at(1000), "alert"), ("h5", at(0), "fix"),
+        ("h6", at(0), "alert"), ("h6", at(3000), "hide"), ("h6", at(4000), "show"), ("h6", at(5000), "reset"), ("h6", at(6000), "fix"),
+    ]
+    batches = [rows[::2], rows[1::2], [("z", at(7_200_000), "hide")], [("z", at(7_200_001), "show")]]
+    stream = file_stream(spark, tmp_path / "in", schema, batches)
+    out = {(r.scan_id, r.action, r.action_ts) for r in run(spark, jobs.answer_stream(stream), "hidden", tmp_path / "c").collect()}
+    assert out == {("h2", "dismiss", at(65_000)), ("h3", "fix", at(2000)), ("h4", "dismiss", at(16_000))}
+    df = spark.createDataFrame(rows, schema)
+    batch = alerts.answered(df.where("event = 'alert'").select("scan_id", "ts"), df.where("event <> 'alert'"), chunk_s=3).collect()
+    assert {(r.scan_id, r.action, r.action_ts) for r in batch if r.action} == out
+    assert {r.scan_id for r in batch if not r.action} == {"h1", "h6"}
+
+
+def test_random_answers_equal_batch_form(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    schema = "scan_id string, ts timestamp, event string"
+    rows = []
+    for k in range(40):
+        steps = [rng.choice(["open", "close", "hide", "show", "fix", "dismiss", "reset", "hide", "show"]) for _ in range(rng.randint(1, 8))]
+        steps.insert(rng.randint(0, len(steps)), "alert")
+        t = 0
+        for s in steps:
+            t += rng.choice([1000, 9000, 16_000])
+            rows.append((f"r{k}", at(t), s))
+    rng.shuffle(rows)
+    batches = [rows[::3], rows[1::3], rows[2::3], [("z", at(7_200_000), "show")], [("z", at(7_200_001), "show")]]
+    stream = file_stream(spark, tmp_path / "in", schema, batches)
+    out = {(r.scan_id, r.action, r.action_ts) for r in run(spark, jobs.answer_stream(stream), "random", tmp_path / "c").collect()}
+    df = spark.createDataFrame(rows, schema)
+    batch = alerts.answered(df.where("event = 'alert'").select("scan_id", "ts"), df.where("event <> 'alert'"), chunk_s=20).collect()
+    assert {(r.scan_id, r.action, r.action_ts) for r in batch if r.action} == out and out
+
+
+def test_resets_of_the_other_streams(spark, tmp_path):
+    schema = "k string, ts timestamp, n int, kind string, sign string"
+    steps = [("scan", "s1"), ("dismiss", "s1"), ("scan", "s1"), ("reset", None), ("scan", "s1")]
+    rows = [("a", at(1000 * i), i, kind, sign) for i, (kind, sign) in enumerate(steps)]
+    batches = [rows, [("z", at(7_200_000), 0, "clear", None)], [("z", at(7_200_001), 1, "clear", None)]]
+    stream = file_stream(spark, tmp_path / "a", schema, batches)
+    out = run(spark, jobs.alert_stream(stream, "k", "ts", "kind", "sign", "n"), "resets", tmp_path / "c1").collect()
+    assert [r.alerted for r in sorted(out)] == [True, False, True]
+    batch = alerts.alerts(spark.createDataFrame(rows, schema), "k", "ts", "n", "kind", "sign").collect()
+    assert [r.alerted for r in sorted(batch, key=lambda r: r.ts)] == [True, False, True]
+    texts = "k string, ts timestamp, text string, gone boolean"
+    typed = [[("a", at(0), "mail ann@nhs.uk", False), ("a", at(100), "more text", True), ("b", at(0), "text", None)], [("z", at(7_200_000), "x", False)], [("z", at(7_200_001), "x", False)]]
+    stream = file_stream(spark, tmp_path / "b", texts, typed)
+    out = run(spark, jobs.debounce_stream(stream, "k", "ts", "text", quiet_ms=200, reset="gone"), "resets2", tmp_path / "c2").collect()
+    assert [(r.k, r.text) for r in out if r.k != "z"] == [("b", "text")]
+
+
+def test_cleared_statistics(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    write, schema = jobs.upsert_stats(path), "domain string, total long, high_risk long, medium_risk long"
+    for number, rows in enumerate([[("a", 1, 1, 0)], [("b", 2, 0, 2)], [("a", 5, 4, 1)], [("a", 5, 4, 1)]]):
+        write(spark.createDataFrame(rows, schema), number)
+    write(spark.createDataFrame([("a", 5, 4, 1)], schema), 3)
+    assert {tuple(r) for r in jobs.read_stats(spark, path).collect()} == {("a", 5, 4, 1), ("b", 2, 0, 2)}
+    jobs.clear_stats(spark, path)
+    assert jobs.read_stats(spark, path).count() == 0
