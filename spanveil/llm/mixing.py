@@ -131,12 +131,14 @@ def draws(sources: DataFrame, output_shards: int = OUTPUT_SHARDS, seed: str = SE
             out[at] = permuted(index.to_numpy()[at], int(n.iloc[at[0]]), keys)
         return pd.Series(out)
 
+    # By number, as Spark would take these few rows together before they are expanded.
+    n_runs = max(1, min(sources.agg(F.sum(F.expr(f"draws div {RUN} + 1"))).first()[0] or 1, 1 << 17))
     runs = (
         sources.where("draws > 0").select("src", "n_blocks", F.posexplode(counts("src", "draws")).alias("shard", "k"))
         .withColumn("first", F.sum("k").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
         .where("k > 0")
         .select("src", "n_blocks", "shard", "first", "k", F.explode(F.expr(f"sequence(0L, (k - 1) div {RUN}L)")).alias("run"))
-        .repartition("src", "shard", "run")
+        .repartition(n_runs, "src", "shard", "run")
     )
     return (
         runs.select("src", "n_blocks", "shard", "first", F.explode(F.expr(f"sequence(run * {RUN}L, least(k, (run + 1) * {RUN}L) - 1)")).alias("slot"))
@@ -154,7 +156,8 @@ def pieces(documents: DataFrame, sources: DataFrame, block: int = BLOCK, output_
     parts = documents.where("size > 0").select(
         "src", "nth", "start", "size", F.explode(F.expr(f"sequence(start div {block}L, (start + size - 1) div {block}L)")).alias("block")
     )
-    return parts.join(draws(sources, output_shards, seed), ["src", "block"]).selectExpr(
+    # Spark can't tell the number of draws from the sources they are expanded from, and would broadcast them.
+    return parts.join(draws(sources, output_shards, seed).hint("merge"), ["src", "block"]).selectExpr(
         "src", "nth", "pass", "shard", "slot", f"greatest(0L, block * {block}L - start) AS first_word",
         f"least(start + size, (block + 1) * {block}L) - greatest(start, block * {block}L) AS n_words",
     )
