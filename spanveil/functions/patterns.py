@@ -72,8 +72,12 @@ DATE_ISO = DIGIT_START + r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)
 PHONE = (
     rf"(?=[+0])(?<!\d)(?:\+44[{SP}\-]?|0044[{SP}\-]?|0)[123789]\d(?:[{SP}\-]?\d){{8}}(?!\d)"
 )
+# A run of address characters is tried once: if it fails at its first possible start, it fails at
+# all later ones.  That start is the first letter or digit of the run, with nothing or only marks
+# before it; where the last match ended inside a run, the run begins anew (\\G).
 EMAIL = (
-    r"(?:(?=\w)(?<!\w)|(?=[.%+\-])(?<=\w))"
+    r"(?:(?=\w)(?:(?<![\w.%+\-])|(?<=[.%+\-])(?<=(?:\A|[^\w.%+\-])[.%+\-]{1,40})|(?<=[.%+\-]{41}))"
+    r"|\G(?:(?=\w)(?<!\w)|(?=[.%+\-])(?<=\w)))"
     r"[\w.%+\-]++@[\p{Alnum}.\-]+\.\p{Alpha}{2,13}(?:\.\p{Alpha}{2,6})?(?!\p{Alpha})"
 )
 IPV4 = rf"(?=[0-9])(?<![\d.]){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}(?![\d.])"

@@ -60,6 +60,25 @@ def with_computed(df: DataFrame, name: str, sql: str) -> DataFrame:
     return df.select(*kept, F.explode_outer(F.array(F.expr(sql))).alias(name))
 
 
+def with_starts(df: DataFrame, pieces: str, out: str) -> DataFrame:
+    """Add the place of each piece in the text that an array of pieces joins to.
+
+    ``aggregate`` copies its whole state at each step, so running sums are not gathered with it.
+    Lengths are summed by blocks of about sqrt(n) pieces; a place is a sum of blocks and of the
+    pieces before it in its own block.
+    """
+    add = "0, (a, x) -> a + x"
+    df = with_computed(df, "__lengths", f"transform({pieces}, p -> length(p))")
+    df = with_computed(df, "__block", "greatest(1, cast(sqrt(size(__lengths)) AS int))")
+    df = with_computed(
+        df, "__sums",
+        f"transform(sequence(0, size(__lengths) div __block), k -> aggregate(slice(__lengths, k * __block + 1, __block), {add}))",
+    )
+    starts = f"""transform(__lengths, (n, i) -> aggregate(slice(__sums, 1, i div __block), {add})
+        + aggregate(slice(__lengths, (i div __block) * __block + 1, i % __block), {add}))"""
+    return with_computed(df, out, starts).drop("__lengths", "__block", "__sums")
+
+
 def normalise_newlines(text: Column) -> Column:
     """``\\r\\n`` and lone ``\\r`` become ``\\n``; null becomes the empty string."""
     text = F.coalesce(text, F.lit(""))

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import normalise_newlines
+from ..functions.spans import normalise_newlines, with_computed, with_starts
 from .carry import running_sum
 from .detect import detect
 
-SEGMENT_TYPE = "array<struct<seg_no:bigint,start:int,end:int,own:boolean>>"
 BIN = 1024
+# A part's own characters, and the characters it sees of its neighbours.
+PART_CHARS = 1 << 20
+HALO_CHARS = 10_000
 
 
 def segment_offsets(df: DataFrame, key: str, order: str, text_col: str, chunk_size: int = 1024) -> DataFrame:
@@ -24,62 +26,66 @@ def segment_offsets(df: DataFrame, key: str, order: str, text_col: str, chunk_si
 
 
 def joined_parts(
-    df: DataFrame, key: str, order: str, text_col: str, *, part_size: int = 512, halo: int = 8
+    df: DataFrame, key: str, order: str, text_col: str, *, part_chars: int = PART_CHARS, halo_chars: int = HALO_CHARS
 ) -> DataFrame:
     """Join the ordered segments of each key into texts: key, part, text, segments.
 
-    ``order`` is an ordinal from 0.  A key with at most ``part_size`` segments is one text,
-    as wide as the key.  A longer key is cut into parts, each of which also carries the last
-    and first ``halo`` segments of its neighbours, so that a match across a border is seen
-    whole; ``segments.own`` tells a part's own segments from borrowed ones.
+    ``order`` is an ordinal from 0.  A key of at most ``part_chars`` characters is one text.  A
+    longer one is cut into parts at segment borders; each part also carries, on either side,
+    the neighbouring segments that hold the next ``halo_chars`` characters, however many they
+    are.  A match of up to that length less its context windows is seen whole, with its whole
+    context, by the part that owns the segment it starts in (``segments.own``).
     """
-    part, place = F.floor(F.col(order) / part_size), F.col(order) % part_size
-    parts = F.filter(
-        F.array(
-            F.struct(part.alias("part"), F.lit(True).alias("own")),
-            F.when((place < halo) & (part > 0), F.struct((part - 1).alias("part"), F.lit(False).alias("own"))),
-            F.when(place >= part_size - halo, F.struct((part + 1).alias("part"), F.lit(False).alias("own"))),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    rows = df.select(
-        key, F.col(order).alias("seg_no"), normalise_newlines(F.col(text_col)).alias("segment"),
-        F.explode(parts).alias("p"),
+    placed = segment_offsets(
+        df.select(key, F.col(order).alias("seg_no"), F.col(text_col).alias("segment")), key, "seg_no", "segment"
     )
+    own = F.floor(F.col("start") / part_chars)
+    # Parts whose stretch, widened by the halo, the segment touches; an own segment is in its part.
+    first = F.greatest(F.lit(0), F.floor((F.col("start") - halo_chars) / part_chars))
+    last = F.floor((F.col("end") + halo_chars) / part_chars)
+    rows = placed.select(
+        key, "seg_no", "segment", own.alias("home"), F.explode(F.sequence(first, last)).alias("part")
+    ).withColumn("own", F.col("home") == F.col("part"))
     grouped = (
-        rows.groupBy(key, F.col("p.part").alias("part"))
-        .agg(
-            F.array_sort(F.collect_list(F.struct("seg_no", "segment", "p.own"))).alias("s"),
-            F.max("p.own").alias("real"),
-        )
+        rows.groupBy(key, "part")
+        .agg(F.array_sort(F.collect_list(F.struct("seg_no", "segment", "own"))).alias("s"), F.max("own").alias("real"))
         .where("real")
     )
-    segments = f"""aggregate(s,
-        named_struct('pos', 0, 'out', CAST(array() AS {SEGMENT_TYPE})),
-        (acc, x) -> named_struct('pos', acc.pos + length(x.segment), 'out', acc.out || array(named_struct(
-            'seg_no', x.seg_no, 'start', acc.pos, 'end', acc.pos + length(x.segment), 'own', x.own))),
-        acc -> acc.out)"""
+    grouped = with_starts(grouped.withColumn("__segments", F.expr("transform(s, x -> x.segment)")), "__segments", "__starts")
+    segments = """transform(s, (x, i) -> named_struct('seg_no', x.seg_no, 'start', __starts[i],
+        'end', __starts[i] + length(x.segment), 'own', x.own))"""
     return grouped.select(
-        key, "part", F.expr("array_join(transform(s, x -> x.segment), '')").alias("text"),
-        F.expr(segments).alias("segments"),
+        key, "part", F.expr("array_join(__segments, '')").alias("text"), F.expr(segments).alias("segments")
     )
 
 
+def _passed(op: str, point: str) -> str:
+    """SQL for the number of segments whose end is ``op`` a point: whole blocks first, then inside one block."""
+    return f"""transform(array(size(filter(__tops, e -> e {op} {point}))),
+        k -> k * __block + size(filter(slice(__ends, k * __block + 1, __block), e -> e {op} {point})))[0]"""
+
+
 def segment_findings(df: DataFrame, key: str, order: str, text_col: str, **options) -> DataFrame:
     """Findings of segmented texts with the segment each one starts and ends in.
 
-    Offsets are local to the segments: ``start`` in ``start_seg``, ``end`` in ``end_seg``.
+    Offsets are local to the segments: ``start`` in ``start_seg``, ``end`` in ``end_seg``.  The
+    segments of a finding are looked up inside the row: by blocks of about sqrt(n) segments.
     """
-    sizes = {k: options.pop(k) for k in ("part_size", "halo") if k in options}
+    sizes = {k: options.pop(k) for k in ("part_chars", "halo_chars") if k in options}
     found = detect(joined_parts(df, key, order, text_col, **sizes), "text", **options)
-    rows = found.select(key, "segments", F.explode_outer("findings").alias("f")).where("f is not null")
-    placed = rows.withColumn("s", F.expr("filter(segments, g -> g.end > f.start)[0]")).withColumn(
-        "e", F.expr("filter(segments, g -> g.seg_no >= s.seg_no AND g.end >= f.end)[0]")
+    found = with_computed(found, "__ends", "transform(segments, g -> g.end)")
+    found = with_computed(found, "__block", "greatest(1, cast(sqrt(size(__ends)) AS int))")
+    found = with_computed(found, "__tops", "transform(slice(__ends, 1, size(__ends) div __block), (e, k) -> __ends[(k + 1) * __block - 1])")
+    placed = with_computed(
+        found, "placed",
+        f"""transform(findings, f -> named_struct('f', f, 's', segments[{_passed('<=', 'f.start')}],
+            'e', segments[{_passed('<', 'f.end')}]))""",
     )
-    return placed.where("s.own").select(
-        key, F.col("s.seg_no").alias("start_seg"), F.col("e.seg_no").alias("end_seg"),
-        "f.type", "f.text", (F.col("f.start") - F.col("s.start")).alias("start"),
-        (F.col("f.end") - F.col("e.start")).alias("end"), "f.confidence", "f.severity",
+    rows = placed.select(key, F.explode_outer("placed").alias("p")).where("p.s.own")
+    return rows.select(
+        key, F.col("p.s.seg_no").alias("start_seg"), F.col("p.e.seg_no").alias("end_seg"),
+        "p.f.type", "p.f.text", (F.col("p.f.start") - F.col("p.s.start")).alias("start"),
+        (F.col("p.f.end") - F.col("p.e.start")).alias("end"), "p.f.confidence", "p.f.severity",
     )
 
 

@@ -568,7 +568,7 @@ def conversation_turn_findings(spark, sf_dir):
 @register("conversation_findings_in_parts", _TURN_FINDINGS)
 def conversation_findings_in_parts(spark, sf_dir):
     """The same with conversations cut into parts of two turns, as very long ones are."""
-    return conversations.turn_findings(turns(spark, sf_dir), part_size=2, halo=2)
+    return conversations.turn_findings(turns(spark, sf_dir), part_chars=200)
 
 
 @register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import OPEN, normalise_newlines
+from ..functions.spans import OPEN, normalise_newlines, with_computed, with_starts
 
 # --- fixed values: elements whose text is not read -------------------------------------------
 SKIPPED = ("script", "style", "noscript", "iframe", "textarea")
@@ -64,39 +64,28 @@ def html_segments(df: DataFrame, key: str, html_col: str = "html") -> DataFrame:
 
     Offsets count in the nodes joined without a separator, after newline normalisation.
     """
-    rows = df.select(key, F.posexplode_outer(page_nodes(F.col(html_col))).alias("seg_no", "s"))
+    rows = with_nodes(df.select(key, html_col), html_col, "nodes").select(key, F.posexplode_outer("nodes").alias("seg_no", "s"))
     return rows.where("s is not null").select(
         key, F.col("seg_no").cast("bigint").alias("seg_no"), "s.start", "s.end", "s.text"
     )
 
 
-def page_nodes(html: Column) -> Column:
-    """Array of ``(start, end, text)`` for the text nodes of one page, row-local."""
-    html = F.coalesce(html, F.lit(""))
+def with_nodes(df: DataFrame, html_col: str, out: str) -> DataFrame:
+    """Add the array of ``(start, end, text)`` of each page's text nodes, inside the row."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
     clean = F.when(html.contains(OPEN), F.translate(html, OPEN, "\ufffd")).otherwise(html)
     pieces = F.split(F.regexp_replace(clean, F.lit(MARKUP), F.lit(OPEN)), OPEN)
     texts = F.transform(
         F.filter(pieces, lambda p: F.length(p) > 0), lambda p: normalise_newlines(decode_entities(p))
     )
-    kind = "array<struct<start:int,end:int,text:string>>"
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
-    return F.aggregate(
-        texts,
-        zero,
-        lambda acc, t: F.struct(
-            (acc["pos"] + F.length(t)).alias("pos"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(acc["pos"].alias("start"), (acc["pos"] + F.length(t)).alias("end"), t.alias("text"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    df = with_starts(df.withColumn("__texts", texts), "__texts", "__starts")
+    nodes = "transform(__texts, (t, i) -> named_struct('start', __starts[i], 'end', __starts[i] + length(t), 'text', t))"
+    return with_computed(df, out, nodes).drop("__texts", "__starts")
 
 
 def page_text(df: DataFrame, html_col: str = "html", text_col: str = "text", nodes: str = "nodes") -> DataFrame:
     """Add each page's text nodes and the text they join to."""
-    df = df.withColumn(nodes, page_nodes(F.col(html_col)))
+    df = with_nodes(df, html_col, nodes)
     return df.withColumn(text_col, F.array_join(F.transform(nodes, lambda n: n["text"]), ""))
 
 

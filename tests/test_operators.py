@@ -103,7 +103,7 @@ def test_two_level_windows_equal_plain_ones(spark):
     df = spark.createDataFrame(rows, "k int, o int, v string")
     chunk = F.floor(F.col("o") / 7)
     summed = carry.running_sum(df, ["k"], ["o"], chunk, F.col("o"), "s")
-    last = carry.last_before(df, ["k"], ["o"], chunk, F.col("v"), "s")
+    last = carry.last_before(df, ["k"], ["o"], chunk, {"s": F.col("v")})
     after = carry.first_after(df, ["k"], ["o"], chunk, F.col("v"), "s")
     for name, result in (("sum", summed), ("last", last), ("after", after)):
         got = {(r.k, r.o): r.s for r in result.collect()}
@@ -124,7 +124,7 @@ def test_finding_across_turns_and_parts(spark):
         [(1, i, t) for i, t in enumerate(["call 07700 ", "900", "123 bye", "", "mail a@b.com"])],
         "conv_id long, turn long, text string",
     )
-    for sizes in ({}, {"part_size": 2, "halo": 2}):
+    for sizes in ({}, {"part_chars": 5}, {"part_chars": 12, "halo_chars": 200}):
         rows = segments.segment_findings(turns, "conv_id", "turn", "text", **sizes).orderBy("start_seg").collect()
         assert [(r.start_seg, r.end_seg, r.text, r.start, r.end) for r in rows] == [
             (0, 2, "07700 900123", 5, 3), (4, 4, "a@b.com", 5, 12)
@@ -170,3 +170,46 @@ def test_scan_and_sinks(spark, tmp_path):
 
     sinks.write_findings(explode_findings(scans, ["id"]), str(tmp_path / "found"))
     assert spark.read.parquet(str(tmp_path / "found")).count() == 1
+
+
+def test_parts_lose_no_finding(spark):
+    """Turns of a few characters: every part size gives what one text gives."""
+    import random
+
+    rng = random.Random(8)
+    text = "passport number please " + "x " * 150 + "my passport 123456789 and NHS: 943 476 1239, mail ann@nhs.uk or ring 07700 900123. " * 3
+    rows = []
+    for conv in range(3):
+        at, turn = 0, 0
+        while at < len(text):
+            n = rng.randint(0, 3)
+            rows.append((conv, turn, text[at : at + n]))
+            at, turn = at + n, turn + 1
+    rows += [(9, i, "passport " if i == 500 else "123456789 " if i == 513 else "ab ") for i in range(520)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    found = [
+        sorted(map(tuple, segments.segment_findings(turns, "conv_id", "turn", "text", **sizes).collect()))
+        for sizes in ({"part_chars": 1 << 20}, {"part_chars": 2}, {"part_chars": 7}, {"part_chars": 512})
+    ]
+    assert found[0] and all(f == found[0] for f in found)
+    assert any(f[0] == 9 and "passport" in f[3] for f in found[0])
+
+
+def test_exactly_one_entry_gets_the_action(spark):
+    risks = "array(named_struct('type', 'email', 'confidence', 0.9D))"
+    log = spark.sql(f"""SELECT scan_id, timestamp_seconds(ts) AS ts, {risks} AS risks, 'file' AS source, name AS filename,
+        CAST(NULL AS string) AS user_action, CAST(NULL AS timestamp) AS action_ts
+        FROM VALUES ('a', 5, 'x'), ('a', 5, 'y'), ('a', 3, 'z'), ('b', 1, 'x'), ('b', 1, 'x'), ('c', 1, 'x') t(scan_id, ts, name)""")
+    actions = spark.sql("SELECT scan_id, action, timestamp_seconds(ts) AS ts FROM VALUES ('a', 'fix', 7), ('a', 'dismiss', 9), ('b', 'fix', 2), ('q', 'fix', 2) t(scan_id, action, ts)")
+    done = risklog.update_actions(log, actions).collect()
+    assert len(done) == 6
+    assert sorted((r.scan_id, r.user_action) for r in done if r.user_action) == [("a", "dismiss"), ("b", "fix")]
+    assert all(r.ts.timestamp() == 5 for r in done if r.scan_id == "a" and r.user_action)
+
+
+def test_lexicon_joins_broadcast_the_lexicon(spark):
+    from spanveil.plans import QUERIES
+
+    for name in ("lexicon_lookup", "known_phrase_filter"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan, name

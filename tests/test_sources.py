@@ -53,3 +53,19 @@ def test_sql_functions(spark):
 def test_domain(spark):
     df = spark.createDataFrame([("https://u@M.Example.org:8080/x",), ("nope",)], "url string")
     assert [r[0] for r in df.select(html.page_domain(F.col("url"))).collect()] == ["m.example.org", None]
+
+
+def test_many_nodes(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from spanveil.sources.html import html_segments
+
+    seconds = []
+    for n in (15_000, 15_000, 30_000):
+        pages = spark.range(1).select("id", F.expr(f"repeat(concat('<p>a', id, '</p>'), {n})").alias("html"))
+        started = time.perf_counter()
+        assert html_segments(pages, "id").agg(F.count("*"), F.max("end")).first() == (n, 2 * n)
+        seconds.append(time.perf_counter() - started)
+    assert seconds[2] < max(3.2 * seconds[1], 3)
