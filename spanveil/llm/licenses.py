@@ -5,12 +5,14 @@ non-ASCII characters replaced by one space.  Rules are regular expressions over
 has a keyword, and only rules whose keyword occurs in a text are tried on it.  Texts without any
 word that could begin a rule or a base phrase are only counted.
 
-Detections are sorted by start, longest first, then priority.  From left to right, a detection
-inside the last kept one is suppressed; of two that overlap in part, the one of higher priority
-(lower number) stays, and the earlier one if they are equal.
+Detections are sorted by start, longest first, then priority (a lower number is stronger).  A
+detection inside an earlier one of this order is suppressed.  What is left has rising starts and
+ends; of two neighbours that overlap in part, the weaker one goes, and the later if they are
+equal.
 
-The table of rules travels in the plan as one array; its evaluation is linear in the text for
-each rule whose keyword is found.  There is no shuffle.
+The table of rules travels in the plan as one array, and a text is read once for each rule whose
+keyword is found.  Running sums and maxima over n detections are taken by blocks of about sqrt(n),
+as an accumulating array would be copied at each step.  There is no shuffle.
 
 Defined cases: a null text counts as empty; a text without words gives zero counts, null first
 and last word, empty labels and score 0.  Repeated rows give repeated rows; an empty table gives
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import GATHERED, collector, push, quoted, with_computed
+from spanveil.functions.spans import quoted, with_computed
 
 #: Phrases of the base rule and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -160,41 +162,47 @@ def _whole(pattern: str) -> str:
     return f"(?<= )(?:{pattern})(?= )"
 
 
+ITEM = "struct<start:int,minus_end:int,priority:int,label:string,strength:double>"
+_ADD = "0, (a, x) -> a + x"
+_TOP = "-1, (a, x) -> greatest(a, x)"
+
+
 def _detections() -> str:
     """SQL for the detections of all rules in ``norm``: start word, minus end word, priority, label, strength."""
     table = "array(" + ", ".join(
         f"named_struct('label', {quoted(label)}, 'priority', {priority}, 'strength', {strength}D, 'key', {quoted(key)}, 'pattern', {quoted(_whole(pattern))})"
         for label, priority, strength, key, pattern in RULES
     ) + ")"
-    item = "struct<start:int,minus_end:int,priority:int,label:string,strength:double>"
-    buf, out = collector(f"array<{item}>")
-    hit = "named_struct('start', acc.at, 'minus_end', -(acc.at + acc.n), 'priority', r.priority, 'label', r.label, 'strength', r.strength)"
+    # For each match: the words between the one before and it, its own words, and the place after it by block sums.
+    gaps = f"transform(slice(split(norm, r.pattern, -1), 1, size(m)), p -> {_spaces('p')} - 1)"
+    widths = f"transform(m, x -> {_spaces('x')} + 1)"
+    sums = f"transform(sequence(0, size(v.w) div v.b), k -> aggregate(slice(v.g, k * v.b + 1, v.b), {_ADD}) + aggregate(slice(v.w, k * v.b + 1, v.b), {_ADD}))"
+    done = "(i div v.b) * v.b + 1, i % v.b"
+    start = f"aggregate(slice(s, 1, i div v.b), {_ADD}) + aggregate(slice(v.g, {done}), {_ADD}) + aggregate(slice(v.w, {done}), {_ADD}) + v.g[i]"
+    hit = "named_struct('start', at, 'minus_end', -(at + n), 'priority', r.priority, 'label', r.label, 'strength', r.strength)"
     return f"""flatten(transform(
         filter({table}, r -> contains(norm, r.key)),
-        r -> aggregate(
-            zip_with(split(norm, r.pattern, -1), regexp_extract_all(norm, r.pattern, 0),
-                     (p, m) -> named_struct('before', {_spaces('p')} - 1, 'n', {_spaces('m')} + 1)),
-            named_struct('at', 0, 'n', 0, 'buf', {buf}, 'out', {out}),
-            (acc, x) -> CASE WHEN x.n IS NULL THEN acc ELSE
-                transform(array(named_struct('at', acc.at + acc.n + x.before, 'n', x.n, 'buf', acc.buf, 'out', acc.out)),
-                          acc -> named_struct('at', acc.at, 'n', acc.n, {push(hit)}))[0] END,
-            acc -> {GATHERED})))"""
-
-
-def _kept() -> str:
-    """SQL for the detections that stay, from ``found``, sorted."""
-    item = "struct<start:int,minus_end:int,priority:int,label:string,strength:double>"
-    buf, out = collector(f"array<{item}>")
-    state = lambda last, rest: f"named_struct('last', {last}, {rest})"
-    same = "'buf', acc.buf, 'out', acc.out"
-    return f"""aggregate(
-        sort_array(found), {state(f'CAST(NULL AS {item})', f"'buf', {buf}, 'out', {out}")},
-        (acc, d) -> CASE
-            WHEN acc.last IS NULL THEN {state('d', same)}
-            WHEN d.start >= -acc.last.minus_end THEN {state('d', push('acc.last'))}
-            WHEN d.minus_end < acc.last.minus_end AND d.priority < acc.last.priority THEN {state('d', same)}
-            ELSE acc END,
-        acc -> {GATHERED} || CASE WHEN acc.last IS NULL THEN CAST(array() AS array<{item}>) ELSE array(acc.last) END)"""
+        r -> transform(array(regexp_extract_all(norm, r.pattern, 0)),
+            m -> CASE WHEN size(m) = 0 THEN CAST(array() AS array<{ITEM}>) ELSE
+              transform(array(named_struct('g', {gaps}, 'w', {widths}, 'b', greatest(1, cast(sqrt(size(m)) AS int)))),
+                v -> transform(array({sums}),
+                  s -> transform(v.w, (n, i) -> transform(array({start}), at -> {hit})[0]))[0])[0] END)[0]))"""
+
+
+def _with_kept(df: DataFrame) -> DataFrame:
+    """Add ``detections``: those of ``found`` that stay, sorted."""
+    df = with_computed(df, "sorted", f"CASE WHEN size(found) > 0 THEN sort_array(found) ELSE CAST(array() AS array<{ITEM}>) END")
+    df = with_computed(df, "ends", "transform(sorted, d -> -d.minus_end)")
+    df = with_computed(df, "block", "greatest(1, cast(sqrt(size(ends)) AS int))")
+    df = with_computed(df, "tops", f"transform(sequence(0, size(ends) div block), k -> aggregate(slice(ends, k * block + 1, block), {_TOP}))")
+    before = f"greatest(aggregate(slice(tops, 1, i div block), {_TOP}), aggregate(slice(ends, (i div block) * block + 1, i % block), {_TOP}))"
+    df = with_computed(df, "outer_ones", f"filter(sorted, (d, i) -> {before} < -d.minus_end)")
+    return with_computed(
+        df, "detections",
+        """filter(outer_ones, (d, i) ->
+            NOT coalesce(-get(outer_ones, i - 1).minus_end > d.start AND get(outer_ones, i - 1).priority <= d.priority, false)
+            AND NOT coalesce(get(outer_ones, i + 1).start < -d.minus_end AND get(outer_ones, i + 1).priority < d.priority, false))""",
+    )
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -209,11 +217,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     places = f"CASE WHEN {' OR '.join(f'contains(norm, {quoted(f" {p} ")})' for p in BASE)} THEN named_struct('pieces', split(norm, {base}, -1), 'hits', regexp_extract_all(norm, {base}, 0)) END"
     df = with_computed(df, "base", places)
     df = with_computed(df, "found", f"CASE WHEN norm <> '' THEN {_detections()} END")
-    df = with_computed(df, "detections", f"CASE WHEN size(found) > 0 THEN {_kept()} END")
-    return df.selectExpr(
-        "doc_id", "cast(n_words AS bigint) AS n_words", "base",
-        "coalesce(detections, CAST(array() AS array<struct<start:int,minus_end:int,priority:int,label:string,strength:double>>)) AS detections",
-    )
+    return _with_kept(df).selectExpr("doc_id", "cast(n_words AS bigint) AS n_words", "base", "detections")
 
 
 def licenses(docs: DataFrame) -> DataFrame:

@@ -83,12 +83,16 @@ def plain_licenses(text):
         for m in re.finditer(f"(?<= )(?:{pattern})(?= )", norm):
             start = norm.count(" ", 0, m.start()) - 1
             found.append((start, -(start + m.group().count(" ") + 1), priority, label, strength))
-    kept = []
+    outer, end = [], -1
     for d in sorted(found):
-        if not kept or d[0] >= -kept[-1][1]:
-            kept.append(d)
-        elif d[1] < kept[-1][1] and d[2] < kept[-1][2]:
-            kept[-1] = d
+        if -d[1] > end:
+            outer.append(d)
+            end = -d[1]
+    kept = [
+        d for k, d in enumerate(outer)
+        if not (k and -outer[k - 1][1] > d[0] and outer[k - 1][2] <= d[2])
+        and not (k + 1 < len(outer) and outer[k + 1][0] < -d[1] and outer[k + 1][2] < d[2])
+    ]
     base = {label for _, label in places}
     return (
         len(words), len(places), min(places)[0] if places else None, max(places)[0] if places else None,
