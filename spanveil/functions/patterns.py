@@ -92,6 +92,8 @@ ADDRESS_CITY = rf"(?i)\A[{SP},]+(?:{CITIES}){END}"
 POSTCODE = r"(?i:(?<![A-Z0-9])[A-Z]{1,2}\d[A-Z\d]?[ ]?\d[A-Z]{2})"
 NAME_TITLED = START + rf"(?:{TITLES})[ \t]+{CAPITALISED}(?:[ \t]+{CAPITALISED}){{0,2}}"
 NAME_WORDS = CAPITAL_START + rf"[{LOWER}]+(?:[ \t]+{CAPITALISED}){{1,2}}"
+# A word that may be the first of a pair.
+NAME_WORD = rf"[{UPPER}][{LOWER}]+"
 NAME_CAPITALS = CAPITAL_START + rf"[{UPPER}]+(?:[ \t]+[{UPPER}]{{2,}}){{1,3}}"
 
 # --- fixed values: words that give a match its context ------------------------------------

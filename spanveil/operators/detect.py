@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import normalise_newlines, scan_form, with_computed
+from ..functions.patterns import NAME_WORD
 from .detectors import CANDIDATE_TYPE, Detector, all_candidates, default_detectors
 from .resolve import resolve
 
@@ -28,6 +29,7 @@ def detect(
     *,
     detectors: Sequence[Detector] | None = None,
     given_names: Sequence[str] | None = None,
+    known: str | None = None,
     claims: str | None = None,
     out: str = "findings",
     resolve_overlaps: bool = True,
@@ -35,10 +37,12 @@ def detect(
     """Add an array column of findings to every row, with no shuffle.
 
     The text column is replaced by its newline-normalised form, which offsets refer to.
+    Given names are those of ``given_names`` (a short list, written into the plan), or those in
+    the array column ``known``, which ``with_known_names`` makes from a table of any size.
     ``claims`` names an optional array column of ``(start, end)`` spans that no finding may
     touch.  Rows without findings keep an empty array.
     """
-    passes = default_detectors(given_names) if detectors is None else list(detectors)
+    passes = default_detectors(given_names, known) if detectors is None else list(detectors)
     df = df.withColumn(text_col, normalise_newlines(F.col(text_col)))
     df = df.withColumn(SCANNED, scan_form(F.col(text_col)))
     found = all_candidates(SCANNED, passes)
@@ -54,6 +58,21 @@ def detect(
     return with_computed(df, out, f"transform({found}, c -> {_FINDING})").drop(SCANNED)
 
 
+def with_known_names(
+    df: DataFrame, keys: Sequence[str], names: DataFrame, column: str, text_col: str = "text", out: str = "known_names"
+) -> DataFrame:
+    """Add the capitalised words of each text that are in a gazetteer table, lower-cased.
+
+    The words of the texts are joined with the table, so it may have any size; an array holds
+    words of its own text only.  ``keys`` tell the rows apart and are not null.
+    """
+    terms = names.select(F.lower(F.trim(F.col(column))).alias("__term")).where("__term <> ''").distinct()
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(NAME_WORD), F.lit(0)), F.lower))
+    words = df.select(*keys, F.explode(found).alias("__term")).join(terms, "__term")
+    known = words.groupBy(*keys).agg(F.collect_set("__term").alias(out))
+    return df.join(known, list(keys), "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
 def explode_findings(df: DataFrame, keys: Sequence[str], findings: str = "findings") -> DataFrame:
     """One row per finding.  The outer form keeps Spark from testing the array beforehand,
     which would run every detector twice."""

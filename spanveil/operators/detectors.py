@@ -110,10 +110,11 @@ def _nhs() -> str:
     )
 
 
-def _word_pairs(names: Sequence[str]) -> Detector:
+def _word_pairs(names: Sequence[str], known: str | None) -> Detector:
     """Capitalised word pairs and triples, judged by their words and surroundings.
 
-    A leading salutation is cut off and counts as context.
+    A leading salutation is cut off and counts as context.  ``known`` names an array column that
+    holds the text's given names; without it, ``names`` are the given names.
     """
     never = lexicons.FALSE_POSITIVES
 
@@ -141,7 +142,7 @@ def _word_pairs(names: Sequence[str]) -> Detector:
             {"cut": "CASE WHEN m.salutation THEN instr(m.text, ' ') ELSE 0 END"},
             {"own": r"CASE WHEN m.cut > 0 THEN split(substring(m.lower, m.cut + 1), '[ \t]+') ELSE m.words END"},
             {
-                "known": one_of("m.own[0]", names) if names else "false",
+                "known": f"array_contains(`{known}`, m.own[0])" if known else one_of("m.own[0]", names) if names else "false",
                 "context": f"(m.salutation OR {_rlike('m.before', P.NAME_CONTEXT)})",
             },
         ),
@@ -162,9 +163,9 @@ def _capital_words() -> Detector:
     )
 
 
-def default_detectors(given_names: Sequence[str] | None = None) -> list[Detector]:
+def default_detectors(given_names: Sequence[str] | None = None, known: str | None = None) -> list[Detector]:
     """The 25 passes in priority order: specific identifiers first, names last."""
-    names = lexicons.checked_names(given_names)
+    names = lexicons.inline_names(given_names)
     S = P.SP
     # Six digits, at most one separator between neighbours: all numbers longer than a year.
     six = rf"\d(?:[{S}\-./]?\d){{5}}"
@@ -239,6 +240,6 @@ def default_detectors(given_names: Sequence[str] | None = None) -> list[Detector
                  _cases((_rlike(AROUND, P.POSTCODE_CONTEXT), 0.99), ("true", 0.85)),
                  (r"\d[A-Za-z\d]?[ ]?\d[A-Za-z]{2}",), digit, 50, 10),
         Detector(23, "name", P.NAME_TITLED, "0.92D", (r"[DMPRC](?:r|rs|s|rof|ev|llr)\.?[ \t]",)),
-        _word_pairs(names),
+        _word_pairs(names, known),
         _capital_words(),
     ]

@@ -91,10 +91,14 @@ CASES = [
 ]
 
 
+# Given names that the cases take as known.
+GIVEN_NAMES = ["mark", "max", "elizabeth", "sarah", "hodan", "abdi", "maria"]
+
+
 @pytest.mark.parametrize("group", sorted(RANKS))
 def test_cases(spark, group):
     cases = [c for c in CASES if c[0] == group]
-    chosen = [d for d in default_detectors() if d.rank in RANKS[group]]
+    chosen = [d for d in default_detectors(GIVEN_NAMES) if d.rank in RANKS[group]]
     df = spark.createDataFrame([(i, c[1]) for i, c in enumerate(cases)], "id int, text string")
     found = {r.id: r.findings for r in detect(df, detectors=chosen).collect()}
     for i, (_, text, expected) in enumerate(cases):
@@ -171,3 +175,16 @@ def test_email_pattern_is_the_plain_one_but_linear(spark):
         row.select(F.regexp_count("t", F.lit(patterns.EMAIL))).collect()
         seconds.append(time.perf_counter() - started)
     assert seconds[1] < max(2.6 * seconds[0], 2)
+
+
+def test_a_gazetteer_is_a_table_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    from spanveil.operators.detect import detect, explode_findings, with_known_names
+
+    texts = spark.createDataFrame([(1, "so Hodan Jama came"), (2, "so Zqx Jama came"), (3, "dear Hodan Jama"), (4, None)], "id int, text string")
+    names = spark.range(300_000).select(F.concat(F.lit("Name"), "id").alias("n")).unionByName(spark.createDataFrame([(" Hodan ",), ("Abdi",)], "n string"))
+    known = with_known_names(texts, ["id"], names, "n")
+    found = {(r.id, r.text, r.confidence) for r in explode_findings(detect(known, known="known_names"), ["id"]).collect()}
+    inline = {(r.id, r.text, r.confidence) for r in explode_findings(detect(texts, given_names=["hodan", "abdi"]), ["id"]).collect()}
+    assert found == inline and (1, "Hodan Jama", 0.78) in found and not any(r[0] == 2 for r in found)
