@@ -205,3 +205,50 @@ def mixed(docs: DataFrame) -> DataFrame:
     made = packed.join(wanted, ["k", "src", "size", "copy"]).withColumn("made", F.expr(text))
     new = {"text": F.col("made"), "n_chars": F.char_length("made").cast("long")}
     return made.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
+
+
+def _oracle() -> str:
+    weights = f"[{', '.join(f'{w}.0::DOUBLE' for w in WEIGHTS)}]"
+    # One Feistel round after another, each as a query around the last.
+    network = "SELECT *, v >> half AS l0, v & low AS r0 FROM walk WHERE step = 0 OR v >= n_blocks"
+    for k in range(ROUNDS):
+        network = f"SELECT *, r{k} AS l{k + 1}, xor(l{k}, (((r{k} * 40503 + keys[{k + 1}]) * 9973) >> 11) & low) AS r{k + 1} FROM ({network})"
+    keys = ", ".join(f"('0x' || substr(md5('{SEED}:' || src || ':' || pass || ':{k}'), 1, 7))::BIGINT" for k in range(ROUNDS))
+    return rf"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, coalesce('s' || source, 't') AS src, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+placed AS (
+  SELECT *, row_number() OVER w AS nth, (sum(size) OVER w - size)::BIGINT AS start
+  FROM sized WINDOW w AS (PARTITION BY src ORDER BY h, size, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING)),
+totals AS (SELECT src, sum(size)::BIGINT AS source_size FROM sized GROUP BY src),
+weighed AS (SELECT *, {weights}[(row_number() OVER (ORDER BY src) - 1) % {len(WEIGHTS)} + 1] AS weight FROM totals),
+capped AS (SELECT *, source_size * {CAP}.0::DOUBLE AS most, source_size * {CAP}.0::DOUBLE / weight AS full_at FROM weighed),
+filled AS (
+  SELECT *, (sum(source_size) OVER () * {SHARE}::DOUBLE
+             - (sum(most) OVER (ORDER BY full_at, src ROWS UNBOUNDED PRECEDING) - most))
+            / sum(weight) OVER (ORDER BY full_at DESC, src DESC ROWS UNBOUNDED PRECEDING) AS level FROM capped),
+levelled AS (
+  SELECT *, CASE WHEN level < full_at THEN weight * (SELECT level FROM filled WHERE level < full_at ORDER BY full_at, src LIMIT 1) ELSE most END AS target FROM filled),
+sources AS (
+  SELECT src, source_size, target, (source_size + {BLOCK - 1}) // {BLOCK} AS n_blocks,
+         CASE WHEN source_size = 0 THEN 0 ELSE round(target * ((source_size + {BLOCK - 1}) // {BLOCK}) / source_size)::BIGINT END AS draws FROM levelled),
+numbered AS (SELECT src, n_blocks, unnest(range(draws)) AS j FROM sources),
+walk AS (
+  SELECT src, j // n_blocks AS pass, j, n_blocks, j % n_blocks AS v, 0 AS step, [{keys.replace('pass', '(j // n_blocks)')}] AS keys,
+         greatest(1, (length(bin(greatest(n_blocks, 2) - 1)) + 1) // 2)::INTEGER AS half,
+         (1::BIGINT << greatest(1, (length(bin(greatest(n_blocks, 2) - 1)) + 1) // 2)::INTEGER) - 1 AS low
+  FROM numbered
+  UNION ALL
+  SELECT src, pass, j, n_blocks, (l{ROUNDS} << half) | r{ROUNDS}, step + 1, keys, half, low FROM ({network})),
+times AS (SELECT src, v AS block, count(*) AS n FROM walk WHERE step > 0 AND v < n_blocks GROUP BY ALL),
+parts AS (SELECT src, nth, start, size, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM placed WHERE size > 0),
+taken AS (
+  SELECT src, nth, sum(n * (least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK})))::BIGINT AS taken
+  FROM parts JOIN times USING (src, block) GROUP BY ALL)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken
+FROM placed JOIN sources USING (src) LEFT JOIN taken USING (src, nth)
+"""
+
+
+ORACLE = _oracle()

@@ -58,4 +58,6 @@ QUERIES = {
     "op4_near_dups": op4_near_dups, "op5_pii": op5_pii, "op6_quality": op6_quality,
     "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_exact_dups": op9_exact_dups, "op10_mixing": op10_mixing,
 }
-ORACLES = {"op1_sharding": sharding.ORACLE, "op6_quality": quality.ORACLE, "op9_exact_dups": exact_dups.ORACLE}
+ORACLES = {
+    "op1_sharding": sharding.ORACLE, "op10_mixing": mixing.ORACLE, "op6_quality": quality.ORACLE, "op9_exact_dups": exact_dups.ORACLE,
+}
