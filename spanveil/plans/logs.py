@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import display
 from ..operators import risklog, stats
 from ..operators.detect import detect, spread
+from ..operators.detectors import default_detectors
+from ..operators.scan import scan_corpus
 from ..sources.html import page_domain
 from . import derived
 from . import oracle as O
@@ -168,6 +170,41 @@ def log_badges(spark, sf_dir):
     )
 
 
+@register(
+    "daily_badges",
+    """WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, list(event_type || '_' || (event_id % 3)::VARCHAR ORDER BY ts, event_id) AS types FROM events GROUP BY ALL),
+    d AS (SELECT *, [x FOR x, i IN types IF list_position(types, x) = i] AS u FROM e)
+    SELECT user_id, day, array_to_string([replace(x, '_', ' ') FOR x IN u[1:4]], ',')
+        || CASE WHEN len(u) > 4 THEN ',+' || (len(u) - 4)::VARCHAR ELSE '' END AS badges FROM d""",
+)
+def daily_badges(spark, sf_dir):
+    """Badges of each user's day, four shown: the events stand for findings, as texts seldom have five types."""
+    kind = F.concat("event_type", F.lit("_"), (F.col("event_id") % 3).cast("string"))
+    days = table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.array_sort(F.collect_list(F.struct("ts", "event_id", kind.alias("type")))).alias("risks")
+    )
+    return days.select("user_id", "day", F.array_join(display.type_badges(F.col("risks")), ",").alias("badges"))
+
+
+@register(
+    "document_scans",
+    f"""WITH src AS MATERIALIZED (SELECT doc_id AS id, {NEWLINES.format('text')} AS text FROM documents), {O.finding_ctes('src', (18, 19, 20))},
+    a AS (SELECT id, list(type || ':' || t ORDER BY type || ':' || t) AS pairs, count(*)::INT AS risks_found,
+        count_if(conf >= 0.85)::INT AS high_risk, count_if(conf < 0.85)::INT AS medium_risk FROM f GROUP BY id)
+    SELECT doc_id, 'scan_' || md5(doc_id::VARCHAR || '|' || source) AS scan_id, coalesce(risks_found, 0)::INT AS risks_found,
+        coalesce(high_risk, 0)::INT AS high_risk, coalesce(medium_risk, 0)::INT AS medium_risk,
+        coalesce(array_to_string(pairs, '|'), '') AS signature,
+        CASE WHEN high_risk > 0 THEN 'HIGH' WHEN risks_found > 0 THEN 'MEDIUM' END AS risk_level
+    FROM documents LEFT JOIN a ON a.id = doc_id""",
+)
+def document_scans(spark, sf_dir):
+    """One scan per document, with what the log and the statistics need."""
+    chosen = [d for d in default_detectors() if d.rank in (18, 19, 20)]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = scan_corpus(docs, ["doc_id", "source"], detectors=chosen)
+    return found.select("doc_id", "scan_id", "risks_found", "high_risk", "medium_risk", "signature", "risk_level")
+
+
 # --- statistics by domain --------------------------------------------------------------------------
 
 _PAGE_TEXT = """CASE WHEN page_id % 3 = 0 THEN url ELSE 'ask p' || CAST(page_id AS STRING) || '@site.org or 8.8.4.4, 07700 9'
