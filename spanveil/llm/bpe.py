@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, per_batch, plain_pieces
+from .common import Kept, held, in_small_batches, per_batch, plain_pieces
 
 #: New strings and looked-up arcs that a worker keeps at a time.
-CACHE = 150_000
-ARCS = 1_000_000
+CACHE = 80_000
+ARCS = 250_000
 
 
 class Automaton:
@@ -60,7 +60,7 @@ class Automaton:
         for step, (u, v) in enumerate(model["merges"], 1):
             self._gadget(step, self.ids[u], self.ids[v], self.ids[u + v])
         self.longest = max(len(t.removesuffix(self.end)) for t in self.ids)
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
 
     def _gadget(self, step: int, u: int, v: int, w: int) -> None:
         self.merged[u, v] = step
@@ -85,11 +85,12 @@ class Automaton:
                 return True
 
     def follows(self, x: int, y: int) -> bool:
-        found = self.table.get((x, y))
+        arc = x << 20 | y
+        found = self.table.get(arc)
         if found is None:
             if len(self.table) >= ARCS:
                 self.table.clear()
-            found = self.table[x, y] = self._follows(x, y)
+            found = self.table[arc] = self._follows(x, y)
         return found
 
     def word(self, symbols: str) -> list[int]:
@@ -177,14 +178,9 @@ class Encoder:
         return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])[:-1]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One per worker and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(f"bpe:{path}", lambda: Encoder(path))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -196,7 +192,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         return [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(per_batch(build, ["ids", "decoded"]), "doc_id long, ids binary, decoded string")
+    return in_small_batches(rows).mapInArrow(per_batch(build, ["ids", "decoded"]), "doc_id long, ids binary, decoded string")
 
 
 def digested(docs: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -37,6 +39,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch: texts differ by orders of magnitude in length, so rows are no measure.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering its session's Arrow batch size where it is above ``BATCH_BYTES``.
+
+    A batch is held several times over, by the executor and by the Python worker of each core.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
+    if int(re.sub(r"\D", "", spark.conf.get(name)) or 0) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,15 +82,18 @@ SLICE = 512
 def per_batch(build, columns: list[str], text: str = "text"):
     """A ``mapInArrow`` function: ``build(texts)`` gives the new columns of some rows, in order.
 
-    Columns other than the text are passed on as they are.
+    Columns other than the text are passed on as they are.  With ``text = "row.text"`` the text is
+    read from the struct column ``row``, which is passed on too.
     """
+    outer, _, inner = text.partition(".")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                kept = [n for n in batch.schema.names if n != text]
-                made = build(texts_of(batch.column(batch.schema.names.index(text))))
+                kept = [n for n in batch.schema.names if inner or n != text]
+                column = batch.column(batch.schema.names.index(outer))
+                made = build(texts_of(column.field(inner) if inner else column))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.names.index(n)) for n in kept] + made, names=kept + columns
                 )
@@ -102,6 +123,27 @@ class Kept(dict):
         return value
 
 
+_held: dict[str, object] = {}
+
+
+def returned() -> None:
+    """Gives memory that is no longer used back to the machine, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def held(key: str, make):
+    """A worker's one large object: that of another key is dropped first, as workers outlive a query."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+        returned()
+    return _held[key]
+
+
 #: The word pattern of the tokenizer file, for lower-case ASCII without white space.
 PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 

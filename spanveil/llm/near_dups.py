@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_batch, written
+from .common import in_small_batches, per_batch, written
 from .components import components
 
 BITS = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")
     )
-    return rows.mapInArrow(per_batch(_fingerprints, ["fp"]), "doc_id long, text_hash long, fp long")
+    return in_small_batches(rows).mapInArrow(per_batch(_fingerprints, ["fp"]), "doc_id long, text_hash long, fp long")
 
 
 def _masks(base: list[int]) -> list[int]:
@@ -152,7 +152,7 @@ def _linked(members: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links ``hi, lo`` of distinct fingerprints whose components are those of all pairs within ``BITS``."""
-    first = ", ".join(f"struct({k} AS posting, fp & {m}L AS joint)" for k, m in enumerate(BYTES)).replace("& --", "& -")
+    first = ", ".join(f"struct({k} AS posting, fp & {m}L AS joint)" for k, m in enumerate(BYTES))
     one = written(_linked(fps.select("fp", F.explode(F.expr(f"array({first})")).alias("p")).select("p.posting", "p.joint", "fp")), "postings")
     halves = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in masks) + ")" for masks in HALVES) + ")"
     again = (

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import held, in_small_batches, per_batch
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, PER_DOC = 1500, 8
@@ -123,17 +123,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """A bidirectional LSTM over character classes with linear-chain CRF transitions."""
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, parameters: dict[str, np.ndarray] | None = None, seed: int = 5):
         rng = np.random.default_rng(seed)
         h = HIDDEN
-        self.p: dict[str, np.ndarray] = {}
-        for d in "fb":
+        self.p: dict[str, np.ndarray] = dict(parameters or {})
+        for d in "fb" if parameters is None else "":
             self.p["x" + d] = rng.normal(0, 0.3, (CLASSES, 4 * h)).astype(np.float32)
             self.p["h" + d] = rng.normal(0, h**-0.5, (h, 4 * h)).astype(np.float32)
             self.p["c" + d] = np.repeat(np.array([0, 1, 0, 0], np.float32), h)
-        self.p["out"] = rng.normal(0, (2 * h) ** -0.5, (2 * h, TAGS)).astype(np.float32)
-        self.p["bias"] = np.zeros(TAGS, np.float32)
-        self.p["move"] = np.zeros((TAGS, TAGS), np.float32)
+        if parameters is None:
+            self.p["out"] = rng.normal(0, (2 * h) ** -0.5, (2 * h, TAGS)).astype(np.float32)
+            self.p["bias"] = np.zeros(TAGS, np.float32)
+            self.p["move"] = np.zeros((TAGS, TAGS), np.float32)
 
     def _run(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
         """States over time (n, time, hidden); gates in the order input, forget, output, new."""
@@ -395,28 +396,22 @@ def learned(docs: DataFrame) -> Tagger | None:
     return tagger
 
 
-_taggers: dict[str, Tagger] = {}
-
-
 def personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of each row; ``spans`` holds base and added ones."""
     tagger = learned(docs)
     shared, key = docs.sparkSession.sparkContext.broadcast(tagger.p if tagger else None), uuid.uuid4().hex
 
     def build(raw: list[bytes]) -> list[pa.Array]:
-        if shared.value is not None and key not in _taggers:
-            _taggers.clear()
-            _taggers[key] = Tagger()
-            _taggers[key].p = shared.value
+        tagger = shared.value and held(key, lambda: Tagger(shared.value))
         texts = [r.decode("utf-8", "replace") for r in raw]
         base = [base_spans(t) for t in texts]
-        added = added_spans(_taggers[key], texts, base) if shared.value is not None else [[] for _ in texts]
+        added = added_spans(tagger, texts, base) if tagger else [[] for _ in texts]
         counts = [pa.array([sum(k == kind for k, _, _ in b) for b in base], pa.int64()) for kind in range(len(KINDS))]
         digests = pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b in base], pa.string())
         return [*counts, digests, pa.array([listed(b + a) for b, a in zip(base, added, strict=True)], pa.string())]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-    return rows.mapInArrow(
+    return in_small_batches(rows).mapInArrow(
         per_batch(build, names), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     )

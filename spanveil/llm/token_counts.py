@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, per_batch, plain_pieces, texts_of, written
+from .common import Kept, held, in_small_batches, per_batch, plain_pieces, texts_of, written
 
 FREQUENT = 1 << 15
 #: Counters of one summary, summaries merged at a time, and new strings that a worker's cache holds.
 COUNTERS = 1 << 14
 FAN = 32
-CACHE = 150_000
+CACHE = 100_000
 
 
 def _reduced(counts: Counter, k: int) -> Counter:
@@ -77,7 +77,7 @@ _SUMMARY = "part long, strings binary, numbers binary"
 
 def frequent_strings(docs: DataFrame, n: int = FREQUENT) -> list[bytes]:
     """At most ``n`` strings with the largest counters of a merged summary of all rows."""
-    parts = written(docs.select(F.col("text").cast("string")).mapInArrow(summarised, _SUMMARY), "strings")
+    parts = written(in_small_batches(docs.select(F.col("text").cast("string"))).mapInArrow(summarised, _SUMMARY), "strings")
     while (left := parts.count()) > FAN:
         parts = written(parts.repartition(-(-left // FAN), "part").mapInArrow(_merged, _SUMMARY), "strings")
     counts: Counter = Counter()
@@ -120,9 +120,6 @@ class Lengths(dict):
         return self.strings[raw]
 
 
-_lengths: dict[str, Lengths] = {}
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each row."""
     strings = frequent_strings(docs, frequent)
@@ -132,12 +129,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, frequent: int =
     key = uuid.uuid4().hex
 
     def build(texts: list[bytes]) -> list[pa.Array]:
-        if key not in _lengths:
-            _lengths.clear()
-            _lengths[key] = Lengths(shared.value, path)
-        lookup = _lengths[key].__getitem__
+        lookup = held(key, lambda: Lengths(shared.value, path)).__getitem__
         return [pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(map(lookup, t.split())) for t in texts], pa.int64())]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = rows.mapInArrow(per_batch(build, ["n_bytes", "n_tokens"]), "doc_id long, n_bytes long, n_tokens long")
+    counted = in_small_batches(rows).mapInArrow(per_batch(build, ["n_bytes", "n_tokens"]), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
