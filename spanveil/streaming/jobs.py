@@ -11,12 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.display import risk_level
 from ..operators.alerts import ANSWER_MS, QUIET_MS
 from ..operators.detect import detect, explode_findings
+from ..operators.risklog import update_actions
 from ..operators.stats import scan_counts
 from .ordered import ordered_by_event_time
 
 # Late-data policy: rows more than this behind the newest event are dropped.
 WATERMARK = "10 minutes"
 STATS_SCHEMA = "domain string, total long, high_risk long, medium_risk long, batch long"
+ACTIONS_SCHEMA = "scan_id string, action string, ts timestamp, batch long"
 
 
 def detect_stream(texts: DataFrame, keys: list[str], text_col: str = "text", **options) -> DataFrame:
@@ -142,10 +144,12 @@ def stats_stream(texts: DataFrame, domain: str = "domain", text_col: str = "text
 
 
 def action_join(scans: DataFrame, actions: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Left outer join of a scan stream with an action stream by scan id.
+    """Left outer join of a scan stream with an action stream by scan id: the live view.
 
-    A scan without an action inside the interval comes out with a null action once the
-    watermark has passed it.
+    ``within`` bounds the state alone.  Every action stamped at most so long before or after its
+    scan comes out as a row; a scan without one comes out with a null action once the watermark
+    has passed it, which says that no action was seen yet.  Actions outside the interval or later
+    than the watermark are in what ``keep_actions`` wrote, and ``answered_log`` has the last one.
     """
     s = scans.withWatermark("ts", WATERMARK).alias("s")
     a = actions.select(
@@ -153,12 +157,32 @@ def action_join(scans: DataFrame, actions: DataFrame, within: str = "1 hour") ->
     ).withWatermark("action_ts", WATERMARK)
     near = (
         (F.col("s.scan_id") == F.col("a_id"))
-        & (F.col("action_ts") >= F.col("s.ts"))
+        & (F.col("action_ts") >= F.col("s.ts") - F.expr(f"INTERVAL {within}"))
         & (F.col("action_ts") <= F.col("s.ts") + F.expr(f"INTERVAL {within}"))
     )
     return s.join(a, near, "left_outer").drop("a_id")
 
 
+def keep_actions(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer that keeps the last action of each scan and batch, however late.
+
+    The action stream needs no watermark for it, and no scan needs to be there yet.  A batch has a
+    folder of its own, which a replayed batch writes again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        last = F.max(F.struct("ts", "action")).alias("last")
+        rows = batch.groupBy("scan_id").agg(last).select("scan_id", "last.action", "last.ts")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def answered_log(log: DataFrame, path: str) -> DataFrame:
+    """The log with the last of all actions that ``keep_actions`` wrote, with no limit of time."""
+    return update_actions(log, log.sparkSession.read.schema(ACTIONS_SCHEMA).parquet(path))
+
+
 def upsert_stats(path: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer that keeps the newest totals of all domains in one of two slots.
 

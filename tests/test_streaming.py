@@ -200,3 +200,30 @@ def test_cleared_statistics(spark, tmp_path):
     assert {tuple(r) for r in jobs.read_stats(spark, path).collect()} == {("a", 5, 4, 1), ("b", 2, 0, 2)}
     jobs.clear_stats(spark, path)
     assert jobs.read_stats(spark, path).count() == 0
+
+
+def test_actions_of_any_time_reach_the_log(spark, tmp_path):
+    """Hours late, before the scan, older than the watermark, and several: the last action is kept."""
+    hour = 3_600_000
+    ids = "abcdz"
+    scans = [(i, at(hour), [("email", 0.9)], "paste", None, None, None) for i in ids]
+    log = spark.createDataFrame(scans, "scan_id string, ts timestamp, risks array<struct<type:string,confidence:double>>, "
+                                       "source string, filename string, user_action string, action_ts timestamp")
+    batches = [[("a", "fix", at(hour + 10)), ("c", "ignore", at(hour - 10))], [("b", "fix", at(9 * hour)), ("d", "fix", at(8 * hour))],
+               [("a", "dismiss", at(hour + 20)), ("d", "ignore", at(2 * hour)), ("q", "fix", at(0))]]
+    acts = file_stream(spark, tmp_path / "a", "scan_id string, action string, ts timestamp", batches)
+    path = str(tmp_path / "actions")
+    query = acts.writeStream.foreachBatch(jobs.keep_actions(path)).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    jobs.keep_actions(path)(spark.createDataFrame(batches[2], "scan_id string, action string, ts timestamp"), 2)  # a replay
+    got = {r.scan_id: (r.user_action, r.action_ts) for r in jobs.answered_log(log, path).collect()}
+    assert got == {"a": ("dismiss", at(hour + 20)), "b": ("fix", at(9 * hour)), "c": ("ignore", at(hour - 10)),
+                   "d": ("fix", at(8 * hour)), "z": (None, None)}
+
+
+def test_action_join_takes_actions_stamped_before_the_scan(spark, tmp_path):
+    scans = file_stream(spark, tmp_path / "s", "scan_id string, ts timestamp", [[("a", at(1000))], [("z", at(20_000_000))]])
+    acts = file_stream(spark, tmp_path / "a", "scan_id string, action string, ts timestamp", [[("a", "fix", at(10))], [("q", "fix", at(20_000_000))]])
+    rows = run(spark, jobs.action_join(scans, acts), "early", tmp_path / "c").where("scan_id = 'a'").collect()
+    assert [(r.scan_id, r.user_action) for r in rows] == [("a", "fix")]
