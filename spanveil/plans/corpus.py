@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, display, lexicons
 from ..functions.context import context_score
+from ..functions.patterns import LOWER, UPPER
 from ..functions.spans import quoted
 from ..operators import merge, redact, relocate, segments, stats
-from ..operators.detect import detect, explode_findings, find_pii, spread
+from ..operators.detect import detect, explode_findings, find_pii, spread, with_known_names
 from ..operators.detectors import all_candidates, default_detectors
 from ..sources import conversations, html, model
 from . import derived
@@ -296,10 +297,33 @@ def lexicon_lookup(spark, sf_dir):
     words = documents(spark, sf_dir).select(
         "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")
     )
-    hits = words.join(lexicon_table(spark), "term")
+    # The lexicon is fixed and small; on a tiny corpus Spark would else send the corpus to it.
+    hits = words.join(F.broadcast(lexicon_table(spark)), "term")
     return hits.groupBy("lexicon").agg(F.count("*").alias("hits"), F.countDistinct("term").alias("terms"))
 
 
+#: Capitalised words that a document begins with; in SQL and in Spark the same pattern.
+_FIRST_WORD = f"^[{UPPER}][{LOWER}]+"
+_GAZETTEER = f"""gaz AS MATERIALIZED (SELECT DISTINCT lower(regexp_extract(text, {O.lit(_FIRST_WORD)})) AS term FROM documents
+    WHERE regexp_matches(text, {O.lit(_FIRST_WORD)}))"""
+_NAMED = O.finding_ctes("src", names=["?"]).replace("own[1] IN ('?')", "own[1] IN (SELECT term FROM gaz)")
+
+
+@register(
+    "gazetteer_names",
+    f"""WITH {_GAZETTEER}, {DOCS},\n{_NAMED}
+    SELECT id AS doc_id, t AS text, s AS start, e AS "end", conf AS confidence FROM f WHERE type = 'name'""",
+)
+def gazetteer_names(spark, sf_dir):
+    """Names of all documents by a gazetteer table made from the texts: the word each one begins with."""
+    # Read as it is: the texts are needed three times, and the join deals them out anyway.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = docs.select(F.regexp_extract("text", _FIRST_WORD, 0).alias("name"))
+    known = with_known_names(docs, ["doc_id"], names, "name")
+    found = explode_findings(detect(known, known="known_names"), ["doc_id"])
+    return found.where("type = 'name'").select("doc_id", "text", "start", "end", "confidence")
+
+
 # --- display and filters -------------------------------------------------------------------------
 
 _LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in display.DISPLAY_LABELS.items())

@@ -188,3 +188,14 @@ def test_a_gazetteer_is_a_table_of_any_size(spark):
     found = {(r.id, r.text, r.confidence) for r in explode_findings(detect(known, known="known_names"), ["id"]).collect()}
     inline = {(r.id, r.text, r.confidence) for r in explode_findings(detect(texts, given_names=["hodan", "abdi"]), ["id"]).collect()}
     assert found == inline and (1, "Hodan Jama", 0.78) in found and not any(r[0] == 2 for r in found)
+
+
+def test_default_gazetteer_has_the_breadth_of_the_reference(spark):
+    from spanveil.functions.lexicons import DEFAULT_GIVEN_NAMES
+    from spanveil.plans import ORACLES, QUERIES
+
+    assert len(set(DEFAULT_GIVEN_NAMES)) == len(DEFAULT_GIVEN_NAMES) >= 1249
+    texts = [(i, f"so {n} Zqx came") for i, n in enumerate(["Oliver", "Harry", "Mohammed", "Priya", "Piotr"])]
+    found = detect(spark.createDataFrame(texts, "id int, text string")).collect()
+    assert [[(f.type, f.confidence) for f in r.findings] for r in found] == [[("name", 0.78)]] * 5
+    assert "gazetteer_names" in QUERIES and "gazetteer_names" in ORACLES
