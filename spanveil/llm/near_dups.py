@@ -11,6 +11,8 @@ Inside a posting the members are compared block by block in numpy, by the number
 bits, and only a spanning forest of the links leaves the task: never all pairs.  A posting with
 more than ``POSTING`` members is indexed again on three of the six half bytes that are left;
 such a posting has 12 free bits, so at most 4,096 members, however large the group of copies.
+With another number of bits b up to four, all but b bytes and b of the 2 b other half bytes are
+taken, and the second level has at most 2 ** (4 b) members, 65,536.
 
 Equal fingerprints are one node.  Defined cases: a null text counts as empty; a text without
 words has fingerprint zero and is linked like any other; repeated rows are in one component, and
@@ -21,6 +23,7 @@ are not read.  The smallest doc_id names a component; null doc_ids come last.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -36,6 +39,7 @@ BITS = 3
 WORDS = 3
 #: Members of a posting that are compared in one block; a second-level posting has no more.
 POSTING = 4096
+MOST_BITS = 4
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -55,17 +59,17 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(texts: list[bytes]) -> list[pa.Array]:
-    prints = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
-    return [pa.array(prints.view(np.int64))]
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id, text_hash, fp`` of each row."""
 
+    def build(texts: list[bytes]) -> list[pa.Array]:
+        prints = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
+        return [pa.array(prints.view(np.int64))]
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, fp`` of each row."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")
     )
-    return in_small_batches(rows).mapInArrow(per_batch(_fingerprints, ["fp"]), "doc_id long, text_hash long, fp long")
+    return in_small_batches(rows).mapInArrow(per_batch(build, ["fp"]), "doc_id long, text_hash long, fp long")
 
 
 def _masks(base: list[int]) -> list[int]:
@@ -73,13 +77,17 @@ def _masks(base: list[int]) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in base]
 
 
-BYTES = _masks([sum(0xFF << 8 * p for p in kept) for kept in combinations(range(8), 5)])
-_LEFT = [[p for p in range(8) if not (m >> 8 * p) & 0xFF] for m in BYTES]
-#: For each first-level posting, the masks of its second level: its bytes and three half bytes of the others.
-HALVES = [
-    _masks([(m & ((1 << 64) - 1)) | sum(0xF << 4 * h for h in kept) for kept in combinations([2 * p + k for p in left for k in (0, 1)], 3)])
-    for m, left in zip(BYTES, _LEFT, strict=True)
-]
+def index(bits: int) -> tuple[list[int], list[list[int]]]:
+    """Masks of the first level, and for each those of its second level: its bytes and half bytes of the others."""
+    first = _masks([sum(0xFF << 8 * p for p in kept) for kept in combinations(range(8), 8 - bits)])
+    left = [[p for p in range(8) if not (m >> 8 * p) & 0xFF] for m in first]
+    return first, [
+        _masks([(m & ((1 << 64) - 1)) | sum(0xF << 4 * h for h in kept) for kept in combinations([2 * p + k for p in rest for k in (0, 1)], bits)])
+        for m, rest in zip(first, left, strict=True)
+    ]
+
+
+BYTES, HALVES = index(BITS)
 
 
 def forest(members: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
@@ -115,11 +123,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield (*held, np.zeros(1, np.int64))
 
 
-def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def linked(batches: Iterator[pa.RecordBatch], bits: int = BITS, limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """``mapInArrow`` over rows sorted by posting: links, and the members of too large postings.
 
-    A link has ``posting`` -1; a member of a posting above ``POSTING`` has its number.
+    A link has ``posting`` -1; a member of a posting above ``limit`` (``POSTING``) has its number.
     """
+    limit = POSTING if limit is None else limit
 
     def rows(posting, hi, lo):
         return pa.RecordBatch.from_arrays([pa.array(posting, pa.int32()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], names=["posting", "hi", "lo"])
@@ -129,14 +138,14 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(starts, len(fps)))
         twos = starts[sizes == 2]
         a, b = fps[twos], fps[twos + 1]
-        near = (np.bitwise_count(a ^ b) <= BITS) & (a != b)
+        near = (np.bitwise_count(a ^ b) <= bits) & (a != b)
         hi, lo = [np.maximum(a, b)[near]], [np.minimum(a, b)[near]]
         for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             members = np.unique(fps[at : at + size])
-            if len(members) > POSTING:
+            if len(members) > limit:
                 yield rows(np.full(len(members), posting[at], np.int32), members, members)
             else:
-                x, y = forest(members)
+                x, y = forest(members, bits)
                 hi.append(x)
                 lo.append(y)
         hi, lo = np.concatenate(hi), np.concatenate(lo)
@@ -144,34 +153,41 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(np.full(len(hi), -1, np.int32), hi, lo)
 
 
-def _linked(members: DataFrame) -> DataFrame:
+def _linked(members: DataFrame, bits: int, limit: int) -> DataFrame:
     """``members(posting, joint, fp)`` to links, each posting in one task in sorted order."""
     placed = members.repartition("posting", "joint").sortWithinPartitions("posting", "joint", "fp")
-    return placed.mapInArrow(linked, "posting int, hi long, lo long")
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """Links ``hi, lo`` of distinct fingerprints whose components are those of all pairs within ``BITS``."""
-    first = ", ".join(f"struct({k} AS posting, fp & {m}L AS joint)" for k, m in enumerate(BYTES))
-    one = written(_linked(fps.select("fp", F.explode(F.expr(f"array({first})")).alias("p")).select("p.posting", "p.joint", "fp")), "postings")
-    halves = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in masks) + ")" for masks in HALVES) + ")"
+    run = linked if bits == BITS else partial(linked, bits=bits, limit=limit)
+    return placed.mapInArrow(run, "posting int, hi long, lo long")
+
+
+def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links ``hi, lo`` of distinct fingerprints whose components are those of all pairs within ``bits``."""
+    if not 1 <= bits <= MOST_BITS:
+        raise ValueError(f"bits is 1 to {MOST_BITS}: beyond, postings are no longer short")
+    masks, parts = index(bits)
+    each = len(parts[0])
+    first = ", ".join(f"struct({k} AS posting, fp & {m}L AS joint)" for k, m in enumerate(masks))
+    one = written(_linked(fps.select("fp", F.explode(F.expr(f"array({first})")).alias("p")).select("p.posting", "p.joint", "fp"), bits, POSTING), "postings")
+    halves = "array(" + ", ".join("array(" + ", ".join(f"{m}L" for m in ms) + ")" for ms in parts) + ")"
     again = (
         one.where("posting >= 0")
         .select("posting", F.col("hi").alias("fp"), F.posexplode(F.expr(f"element_at({halves}, posting + 1)")).alias("k", "mask"))
-        .select((F.col("posting") * 20 + F.col("k")).alias("posting"), F.expr("fp & mask").alias("joint"), "fp")
+        .select((F.col("posting") * each + F.col("k")).alias("posting"), F.expr("fp & mask").alias("joint"), "fp")
     )
-    return one.where("posting < 0").select("hi", "lo").unionByName(_linked(again).where("posting < 0").select("hi", "lo"))
+    last = _linked(again, bits, 1 << 4 * bits)
+    return one.where("posting < 0").select("hi", "lo").unionByName(last.where("posting < 0").select("hi", "lo"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """One row per document: ``doc_id, text_hash, fingerprint, component_id, first_hash``.
 
     ``first_hash`` tells the texts of the component's first doc_id apart, should it stand for several.
+    Shingles have ``words`` words; fingerprints within ``bits`` (1 to 4) are linked.
     """
-    rows = written(fingerprints(docs), "fingerprints")
+    rows = written(fingerprints(docs, words), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("t"))).alias("best")
     nodes = written(rows.groupBy("fp").agg(best), "nodes")
-    roots = written(components(links(nodes.select("fp"))), "roots")
+    roots = written(components(links(nodes.select("fp"), bits)), "roots")
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
     first = written(placed.groupBy("root").agg(F.min("best").alias("best")), "firsts")
     named = written(
@@ -183,11 +199,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """The documents of which one stands for each component, with all their columns."""
     names = docs.columns
     firsts = (
-        near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
+        near_duplicates(docs, words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
         .select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k1"), F.col("text_hash").alias("k2")).distinct()
     )
     packed = docs.select(

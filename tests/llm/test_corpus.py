@@ -286,3 +286,43 @@ def test_pipeline(spark, tmp_path):
     assert copies == [1029] and [d for d in seen["exact dedup"] if d in (2000, 2001)] == [2000]
     assert set(seen["BPE encoding and decoding"]) == set(seen["mixing sources to target weights"])
     assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == Counter(map(tuple, docs.collect()))
+
+
+def near_copies(seed=3, texts=12):
+    """Texts of 100 to 1,000 random words and copies of each with 0.5, 1, 2, 4 and 8 % of the words replaced."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(texts):
+        base = rng.integers(0, 5000, rng.integers(100, 1000))
+        for part in (0, 0.005, 0.01, 0.02, 0.04, 0.08):
+            copy = base.copy()
+            at = rng.choice(len(copy), round(part * len(copy)), replace=False)
+            copy[at] = rng.integers(5000, 9000, len(at))
+            rows.append((len(rows), " ".join(f"w{w}" for w in copy), "en", f"s{k % 3}"))
+    return rows
+
+
+@pytest.mark.parametrize("words, bits", [(3, 3), (3, 1), (3, 4), (1, 4)])
+def test_planted_near_copies_go_from_the_stage(spark, words, bits):
+    """What stays of planted near copies is one of each component by brute force; at op4's values the stage does the same."""
+    rows = near_copies()
+    prints = [near_dups.fingerprint(r[1].encode(), words) for r in rows]
+    name = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= bits and name[a] != name[b]:
+                low, high = sorted((name[a], name[b]))
+                name = [low if n == high else n for n in name]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in near_dups.without_near_duplicates(df, words, bits).collect()} == set(name)
+    if (words, bits) == (3, 3):
+        assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect()} == set(name)
+        assert len(set(name)) < len({r[1] for r in rows}), "near copies that are no exact copies have gone"
+
+
+def test_near_copies_in_large_postings(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "POSTING", 2)
+    df = spark.createDataFrame([(v,) for v in range(64)], "fp long")
+    for bits in (1, 2, 4):
+        found = near_dups.components(near_dups.links(df, bits)).collect()
+        assert {r.root for r in found} == {0} and len(found) >= 63
