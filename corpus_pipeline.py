@@ -15,9 +15,9 @@ from spanveil.llm.common import table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the cut of 0.3."""
+    """Documents that the operator does not reject, by the threshold of their language."""
     scored = toxicity.scored(docs.select(*docs.columns), table(spark, sf_dir, "labels"), columns=docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return scored.where("NOT rejected").select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -326,3 +326,15 @@ def test_near_copies_in_large_postings(spark, monkeypatch):
     for bits in (1, 2, 4):
         found = near_dups.components(near_dups.links(df, bits)).collect()
         assert {r.root for r in found} == {0} and len(found) >= 63
+
+
+def test_rejected_documents_leave_the_pipeline(spark, monkeypatch):
+    """Thresholds by language decide, on both sides of the cut of 0.3; a null score or language is no reason to go."""
+    rows = [(1, "a", "en", "s"), (2, "b", "en", "s"), (3, "c", "de", "s"), (4, "d", "de", "s"), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    score, threshold = {1: 0.2, 2: 0.05, 3: 0.5, 4: 0.7, 5: 0.0}, {"en": 0.1, "de": 0.6}
+    marks = [(k, int(v >= 0.3), v >= threshold.get(rows[k - 1][2], 0.3)) for k, v in score.items()]
+    marked = df.join(spark.createDataFrame(marks, "doc_id long, predicted int, rejected boolean"), "doc_id")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    monkeypatch.setattr(toxicity, "scored", lambda *_, **__: marked)
+    assert {r.doc_id for r in corpus_pipeline.without_toxic(spark, df, "").collect()} == {2, 3, 5}
