@@ -21,14 +21,17 @@ def normalised(c: str) -> str:
     )
 
 
+def _cuts_out(f: str, text_col: str) -> str:
+    return f"""(length({text_col}) = 0 OR ({f}.start >= 0 AND {f}.start < {f}.end AND {f}.end <= length({text_col})
+        AND substring({text_col}, {f}.start + 1, {f}.end - {f}.start) = {f}.text))"""
+
+
 def valid_offsets(df: DataFrame, secondary: str, text_col: str = "text") -> DataFrame:
     """Drop findings whose offsets do not cut their own text out of the text.
 
     An empty text checks nothing, so its findings stay.
     """
-    keep = f"""filter({secondary}, f -> length({text_col}) = 0 OR (
-        f.start >= 0 AND f.start < f.end AND f.end <= length({text_col})
-        AND substring({text_col}, f.start + 1, f.end - f.start) = f.text))"""
+    keep = f"filter({secondary}, f -> {_cuts_out('f', text_col)})"
     return with_computed(df, secondary, f"coalesce({keep}, CAST(array() AS {SECONDARY_TYPE}))")
 
 
@@ -58,12 +61,12 @@ def merge_findings(
     return with_computed(df, out, merged)
 
 
-def attach_secondary(docs: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def attach_secondary(docs: DataFrame, rows: DataFrame, keys: list[str], order: str, text_col: str = "text") -> DataFrame:
     """Join a table of secondary findings to its texts as one array per text, in order.
 
     ``rows`` has the keys, an order column and type, text, start, end and a confidence of any
-    type.  Offsets are checked against the text later, so an array holds what one source said
-    about one text.
+    type.  Rows whose offsets don't cut their text out of ``text_col`` go before anything is
+    gathered, so an array holds spans of its own text only.
     """
     stated = F.col("confidence").cast("string")
     confidence = (
@@ -74,6 +77,9 @@ def attach_secondary(docs: DataFrame, rows: DataFrame, keys: list[str], order: s
     spans = rows.groupBy(
         *keys, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text"
     ).agg(F.min(item).alias("first"))
+    texts = docs.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text_col).alias("__own"))
+    same = " AND ".join(f"s.`{k}` = __k{i}" for i, k in enumerate(keys))
+    spans = spans.alias("s").join(texts, F.expr(f"{same} AND {_cuts_out('s', '__own')}"), "left_semi")
     arrays = spans.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("first", "start", "end", "text"))).alias("secondary")
     )

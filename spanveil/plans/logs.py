@@ -180,9 +180,10 @@ def log_badges(spark, sf_dir):
 def daily_badges(spark, sf_dir):
     """Badges of each user's day, four shown: the events stand for findings, as texts seldom have five types."""
     kind = F.concat("event_type", F.lit("_"), (F.col("event_id") % 3).cast("string"))
-    days = table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
-        F.array_sort(F.collect_list(F.struct("ts", "event_id", kind.alias("type")))).alias("risks")
-    )
+    # Only where a type is seen first matters, so a day's array holds a row for each type.
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    first = table(spark, sf_dir, "events").groupBy("user_id", day, kind.alias("type")).agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    days = first.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("at", "type"))).alias("risks"))
     return days.select("user_id", "day", F.array_join(display.type_badges(F.col("risks")), ",").alias("badges"))
 
 

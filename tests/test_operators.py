@@ -213,3 +213,29 @@ def test_lexicon_joins_broadcast_the_lexicon(spark):
     for name in ("lexicon_lookup", "known_phrase_filter"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan, name
+
+
+def test_wrong_offsets_are_not_gathered(spark):
+    from spanveil.operators.merge import attach_secondary
+
+    docs = spark.createDataFrame([(1, "ann lee"), (2, ""), (3, None)], "id int, text string")
+    rows = [(1, i, "name", i, i + 3, "zzz", 0.7) for i in range(5000)] + [(1, 9000, "name", 0, 3, "ann", 0.7), (1, 9001, "name", 4, 99, "lee", 0.7)]
+    rows += [(2, 0, "name", 0, 3, "ann", 0.7), (3, 0, "name", 0, 3, "ann", 0.7), (4, 0, "name", 0, 3, "ann", 0.7)]
+    df = spark.createDataFrame(rows, "id int, i int, type string, start int, end int, text string, confidence double")
+    got = {r.id: [f.text for f in r.secondary or []] for r in attach_secondary(docs, df, ["id"], "i").collect()}
+    assert got == {1: ["ann"], 2: ["ann"], 3: []}
+
+
+def test_daily_badges_gather_types_not_events(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spanveil.plans import QUERIES
+
+    events = spark.range(3000).select(
+        F.lit(1).alias("user_id"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"), F.lit("a_b").alias("event_type"), F.col("id").alias("event_id")
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    df = QUERIES["daily_badges"](spark, str(tmp_path))
+    assert [r.badges for r in df.collect()] == ["a b 0,a b 1,a b 2"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(" in plan, "events are cut down to their types before they are collected"
