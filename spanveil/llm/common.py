@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import re
 import tempfile
 import uuid
@@ -144,7 +145,33 @@ def held(key: str, make):
     return _held[key]
 
 
-#: The word pattern of the tokenizer file, for lower-case ASCII without white space.
+#: The splitting pattern and the normalisation of the tokenizer files that are read here (fixed values of their format).
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def word_end_file(path: str) -> dict:
+    """A tokenizer file whose words carry an end mark and whose splitting drops white space; others are refused.
+
+    Both the split into white-space separated strings and ``plain_pieces`` hold only for these.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    good = (
+        model.get("type") == "BPE" and model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix")
+        and not model.get("byte_fallback") and not model.get("ignore_merges") and not model.get("dropout") and not spec.get("decoder")
+        and (spec.get("normalizer") or {}).get("normalizers") == NORMALISED
+        and split[0].get("pattern") == {"Regex": SPLIT_PATTERN} and split[0].get("behavior") == "Removed" and split[0].get("invert")
+        and [s.get("type") for s in split[1:]] == ["ByteLevel"] and not split[1].get("use_regex") and not split[1].get("add_prefix_space")
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
+    )
+    if not good:
+        raise ValueError(f"{path} is no tokenizer file with word ends, a lower-casing normaliser and white space dropped")
+    return spec
+
+
+#: ``SPLIT_PATTERN`` for lower-case ASCII without white space.
 PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 

@@ -8,7 +8,8 @@ per partition, merged in groups until a few are left), never strings by key.  Th
 only how fast a length is found: every length in it comes from the same library.
 
 Defined cases: a null text counts as empty and has no tokens.  Special strings inside a text are
-handled as the library does by default.  Repeated rows give repeated rows; an empty table gives
+handled as the library does by default.  A tokenizer file of another kind, for which the sum
+does not hold, is refused with ``ValueError``.  Repeated rows give repeated rows; an empty table gives
 an empty result; other columns are not read.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, held, in_small_batches, per_batch, plain_pieces, texts_of, written
+from .common import Kept, held, in_small_batches, per_batch, plain_pieces, texts_of, word_end_file, written
 
 FREQUENT = 1 << 15
 #: Counters of one summary, summaries merged at a time, and new strings that a worker's cache holds.
@@ -90,6 +91,7 @@ def library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    word_end_file(path)
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()

@@ -69,6 +69,71 @@ def test_automaton_gives_what_the_library_gives(parts):
     assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == ids
     assert decoded.decode() == library.decode(ids, skip_special_tokens=False)
 
+def plain_automaton(n, merges):
+    """All arcs written out, gadget by gadget."""
+    arcs = {x: set(range(n)) for x in range(n)}
+    for u, v, w in merges:
+        arcs[w] = set(arcs[v])
+        arcs[u].discard(v)
+        for x in arcs:
+            if u in arcs[x]:
+                arcs[x].add(w)
+    return arcs
+
+
+def test_compiled_arcs_are_those_of_the_gadgets():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(40):
+        base = rng.randint(1, 4)
+        tokens, arcs, merges = {k: [k] for k in range(base)}, {x: set(range(base)) for x in range(base)}, []
+        for w in range(base, base + rng.randint(1, 25)):
+            pairs = [(u, v) for u in arcs for v in arcs[u] if tokens[u] + tokens[v] not in tokens.values()]
+            if not pairs:
+                break
+            u, v = rng.choice(pairs)
+            merges.append((u, v, w))
+            tokens[w] = tokens[u] + tokens[v]
+            arcs = plain_automaton(base, merges)
+        automaton = bpe.Automaton(tokens, merges)
+        for x in tokens:
+            found = automaton.follows(np.full(len(tokens), x), np.array(sorted(tokens)))
+            assert {y for y, f in zip(sorted(tokens), found, strict=True) if f} == arcs[x], (merges, x)
+
+
+def test_long_words_and_words_together_give_the_same(library, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 90))).encode() for _ in range(300)] + [b"a" * 3000]
+    automaton = bpe.encoder(tokenizer()).automaton
+    told = [library.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    assert automaton.encode(words) == told
+    monkeypatch.setattr(bpe, "LONGEST", 0)
+    assert automaton.encode(words) == told
+    monkeypatch.setattr(bpe, "LONGEST", 10_000)
+    monkeypatch.setattr(bpe, "TOGETHER", 7)
+    assert automaton.encode(words) == told
+
+
+def test_forgotten_pieces_are_encoded_again(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 2)
+    monkeypatch.setattr(bpe, "KEPT", 3)
+    made = bpe.Encoder(bpe.compiled(tokenizer()))
+    for text in ["one two three", "three été", "J\u030c x", "one <|endoftext|>two", "", "two's 12"] * 2:
+        ids, decoded = made.text(text.encode())
+        told = library.encode(text, add_special_tokens=False).ids
+        assert ids == b"".join(i.to_bytes(4, "little") for i in told) and decoded.decode() == library.decode(told, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("operator", [lambda docs, path: bpe.digested(docs, path), lambda docs, path: token_counts.token_counts(docs, path)])
+def test_other_tokenizer_files_are_refused(docs, operator):
+    with pytest.raises(ValueError, match="word ends"):
+        operator(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
 def plain_licenses(text):
     """The same rules, tried one by one on every text, without keywords or gates."""
