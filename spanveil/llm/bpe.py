@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, in_small_batches, per_batch, word_end_file
+from .common import held, mapped, per_batch, word_end_file
 
 #: New pieces of texts that a worker keeps at a time; longer ones than ``KEPT`` bytes are not kept.
 CACHE, KEPT = 80_000, 256
@@ -383,7 +383,7 @@ def _mapped(docs: DataFrame, path: str, made, columns: str) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = [c.split()[0] for c in columns.split(", ")]
-    return in_small_batches(rows).mapInArrow(per_batch(build, names), f"doc_id long, {columns}")
+    return mapped(rows, per_batch(build, names), f"doc_id long, {columns}", "bpe")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

@@ -20,40 +20,76 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; where none is set (tests), one of our own."""
+    """The cluster's shared checkpoint folder; where none is set, one of our own, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spanveil-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of the scratch folder: computed once, with no lineage before it.
 
-    The table outlives lost executors.  It stays after the query, as a lazy result may still
-    read it; the folder is emptied by whoever owns the cluster's checkpoint folder.
+    The table outlives lost executors.  It stays after a query, whose lazy result may still read
+    it; ``alone`` removes what its result doesn't read.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/spanveil/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the scratch folder, by the file system that it is on."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def alone(spark: SparkSession, make, name: str) -> tuple[DataFrame, str]:
+    """What ``make()`` gives as a written table, and its path; the tables written on the way are removed."""
+    first = len(_made)
+    out = written(make(), name)
+    for path in _made[first:-1]:
+        removed(spark, path)
+    path = _made[-1]
+    del _made[first:]
+    return out, path
+
+
 #: Bytes of an Arrow batch: texts differ by orders of magnitude in length, so rows are no measure.
 BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
+def bytes_in(size: str) -> int:
+    """A size as Spark writes it (``64m``, ``1g``, ``4194304``, ``4mb``) in bytes."""
+    number, unit = re.fullmatch(r"\s*(-?[0-9]+)\s*([a-zA-Z]*)\s*", size).groups()
+    return int(number) << 10 * " kmgtp".index(unit.lower().removesuffix("b")[:1] or " ")
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after lowering its session's Arrow batch size where it is above ``BATCH_BYTES``.
+
+def mapped(df: DataFrame, function, schema, name: str) -> DataFrame:
+    """``df.mapInArrow(function, schema)`` as a written table, made in batches of ``BATCH_BYTES`` at most.
 
     A batch is held several times over, by the executor and by the Python worker of each core.
+    The session's own batch size comes back when the table is there.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    spark = df.sparkSession
-    if int(re.sub(r"\D", "", spark.conf.get(name)) or 0) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-    return df
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_SETTING)
+    lower = not 0 < bytes_in(before) <= BATCH_BYTES
+    if lower:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        return written(df.mapInArrow(function, schema), name)
+    finally:
+        if lower:
+            conf.set(BATCH_SETTING, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

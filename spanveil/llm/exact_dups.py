@@ -24,6 +24,8 @@ from .common import BLANK, written
 
 #: A digest with over one HEAVY-th of all rows is certain to be settled on the map side.
 HEAVY = 1024
+#: Rows that one row of a count is expanded to at a time.
+STRETCH = 4096
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -118,12 +120,13 @@ def exact_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     copies = marked.where(F.col("size").isNotNull() & ~F.expr(_IS_BEST)).select(
         "doc_id", F.col("best_id").alias("keep_id"), F.col("size").alias("group_size"), F.lit(False).alias("kept"), "digest"
     )
-    # Rows that equal the winner in full: their number first, then as many rows, one of them kept.
+    # Rows that equal the winner in full: their number first, then as many rows, one of them kept, in stretches.
     first = (
         marked.where(F.col("size").isNotNull() & F.expr(_IS_BEST))
         .groupBy("digest").agg(F.first("best_id").alias("doc_id"), F.first("size").alias("size"), F.count(F.lit(1)).alias("m"))
-        .select("doc_id", "size", "digest", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("nth"))
-        .select("doc_id", F.col("doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("nth") == 1).alias("kept"), "digest")
+        .select("doc_id", "size", "digest", "m", F.explode(F.expr(f"sequence(0L, (m - 1) div {STRETCH})")).alias("part"))
+        .select("doc_id", "size", "digest", F.explode(F.expr(f"sequence(part * {STRETCH}, least(m, (part + 1) * {STRETCH}) - 1)")).alias("nth"))
+        .select("doc_id", F.col("doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("nth") == 0).alias("kept"), "digest")
     )
     return light.unionByName(copies).unionByName(first).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
@@ -146,11 +149,11 @@ def without_exact_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     )
     light = (
         packed.join(F.broadcast(best.select("digest")), "digest", "left_anti")
-        .withColumn("nth", F.row_number().over(_order())).where("nth = 1").select("row")
+        .withColumn("nth", F.row_number().over(_order().orderBy(F.desc("n_points"), F.col("doc_id").isNull(), "doc_id", F.xxhash64("row")))).where("nth = 1").select("row")
     )
     first = (
         packed.join(F.broadcast(best), "digest").where(_IS_BEST)
-        .groupBy("digest").agg(F.first("row").alias("row")).select("row")
+        .groupBy("digest").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
     )
     return light.unionByName(first).select("row.*")
 

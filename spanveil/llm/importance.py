@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_small_batches, texts_of, written
+from .common import mapped, texts_of, written
 
 ORDER = 1
 BUCKETS = 10_000
@@ -95,7 +95,7 @@ def scanned(rows: DataFrame, order: int, buckets: int, name: str) -> DataFrame:
     """A written table of the features of ``rows`` (with a column ``text``), other columns kept, and of bucket sums."""
     names = [c for c in rows.columns if c != "text"]
     schema = T.StructType([T.StructField(n, rows.schema[n].dataType) for n in names] + _FOUND.fields)
-    return written(in_small_batches(rows).mapInArrow(_scan(order, buckets, names), schema), name)
+    return mapped(rows, _scan(order, buckets, names), schema, name)
 
 
 def bucket_sums(table: DataFrame, buckets: int) -> np.ndarray:

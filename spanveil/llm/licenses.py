@@ -227,7 +227,7 @@ def licenses(docs: DataFrame) -> DataFrame:
         "*", f"coalesce(array_sort(array_distinct(transform(base.hits, h -> element_at({names}, h)))), CAST(array() AS array<string>)) AS of_base",
     )
     return df.selectExpr(
-        "doc_id", "n_words", "coalesce(cast(size(base.hits) AS bigint), 0L) AS n_base",
+        "doc_id", "n_words", "cast(size(coalesce(base.hits, CAST(array() AS array<string>))) AS bigint) AS n_base",
         f"cast({_spaces('base.pieces[0]')} - 1 AS bigint) AS first_word",
         f"cast(n_words - ({_spaces('element_at(base.pieces, -1)')} - 1) - ({_spaces('element_at(base.hits, -1)')} + 1) AS bigint) AS last_word",
         "array_join(of_base, ',') AS base_labels",

@@ -1,18 +1,21 @@
 """Mixing sources to target weights: blocks, multinomial shard counts, index permutations.
 
 The words of a source, its documents in the order of a seeded hash, are packed into blocks of
-``BLOCK`` words.  A source's target is a number of block draws.  Each output shard gets a count
-of draws per source: a multinomial draw that adds up to the source's number.  Draw number j maps
-to block ``permutation(j mod n_blocks)`` of pass ``j div n_blocks``; a source is thus used up
-before any block comes again, and no block comes more often than the cap of two allows.  Blocks
+``BLOCK`` words.  A source's target is a number of block draws, the last of which is cut to the
+words that the target still lacks; so each source's words come within one of its target.  Each
+output shard gets a count of draws per source: a multinomial draw that adds up to the source's
+number.  Draw number j maps to block ``permutation(j mod n_blocks)`` of pass ``j div n_blocks``; a
+source is thus used up before any block comes again, and no block comes more often than the cap of
+two allows.  The permutation is one of the full blocks; a last block that is not full ends a pass.  Blocks
 and draws are then joined by index.
 
 A source may hold any part of the rows: its documents get their places through cells of hashes
 (counted, summed up, numbered inside a cell), and draws are dealt out in runs of ``RUN``.
 
 Defined cases: a null text has no words; a document without words is never drawn; null sources
-form a source that comes last; equal doc_ids are ordered by size.  An empty table gives an empty
-result.
+form a source that comes last; equal doc_ids are ordered by size.  Repeated rows are documents of
+their own; rows with one doc_id, source and size are told apart by a hash of the whole row.  Other
+columns are passed on as they are.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -86,7 +89,10 @@ def places(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> tuple[DataF
     sources = written(
         targets(before.groupBy("src").agg(F.sum("s").alias("source_size"))).selectExpr(
             "*", f"(source_size + {block - 1}) div {block} AS n_blocks",
-        ).selectExpr("*", "CASE WHEN source_size = 0 THEN 0L ELSE cast(round(target * n_blocks / source_size) AS long) END AS draws"),
+        ).selectExpr("*", "cast(round(target) AS long) AS words").selectExpr(
+            "src", "source_size", "target", "n_blocks",
+            f"CASE WHEN source_size = 0 THEN 0L ELSE words div source_size * n_blocks + (words % source_size + {block - 1}) div {block} END AS draws",
+        ),
         "sources",
     )
     return documents, sources
@@ -112,8 +118,11 @@ def permuted(index: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
     return out
 
 
-def draws(sources: DataFrame, output_shards: int = OUTPUT_SHARDS, seed: str = SEED) -> DataFrame:
-    """``src, pass, block, shard, slot``: the blocks that the mix takes, in the order of each shard."""
+def draws(sources: DataFrame, output_shards: int = OUTPUT_SHARDS, seed: str = SEED, block: int = BLOCK) -> DataFrame:
+    """``src, pass, block, shard, slot, most``: the blocks that the mix takes, in the order of each shard.
+
+    ``most`` is the number of words that a draw may take of its block.
+    """
 
     @F.pandas_udf("array<long>")
     def counts(src: pd.Series, n: pd.Series) -> pd.Series:
@@ -134,17 +143,21 @@ def draws(sources: DataFrame, output_shards: int = OUTPUT_SHARDS, seed: str = SE
     # By number, as Spark would take these few rows together before they are expanded.
     n_runs = max(1, min(sources.agg(F.sum(F.expr(f"draws div {RUN} + 1"))).first()[0] or 1, 1 << 17))
     runs = (
-        sources.where("draws > 0").select("src", "n_blocks", F.posexplode(counts("src", "draws")).alias("shard", "k"))
+        sources.where("draws > 0").withColumn("n_full", F.expr(f"source_size div {block}"))
+        # Words of the last draw: what the draws before it in its pass leave of the target.
+        .withColumn("least", F.expr(f"CASE WHEN round(target) % source_size = 0 THEN {block}L ELSE cast((round(target) % source_size - 1) % {block} + 1 AS long) END"))
+        .select("src", "n_blocks", "n_full", "draws", "least", F.posexplode(counts("src", "draws")).alias("shard", "k"))
         .withColumn("first", F.sum("k").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
         .where("k > 0")
-        .select("src", "n_blocks", "shard", "first", "k", F.explode(F.expr(f"sequence(0L, (k - 1) div {RUN}L)")).alias("run"))
+        .select("src", "n_blocks", "n_full", "draws", "least", "shard", "first", "k", F.explode(F.expr(f"sequence(0L, (k - 1) div {RUN}L)")).alias("run"))
         .repartition(n_runs, "src", "shard", "run")
     )
     return (
-        runs.select("src", "n_blocks", "shard", "first", F.explode(F.expr(f"sequence(run * {RUN}L, least(k, (run + 1) * {RUN}L) - 1)")).alias("slot"))
+        runs.select("src", "n_blocks", "n_full", "draws", "least", "shard", "first", F.explode(F.expr(f"sequence(run * {RUN}L, least(k, (run + 1) * {RUN}L) - 1)")).alias("slot"))
         .withColumn("j", F.col("first") + F.col("slot"))
-        .selectExpr("src", "j div n_blocks AS pass", "j % n_blocks AS i", "n_blocks", "shard", "slot")
-        .select("src", "pass", block_of("src", "pass", "i", "n_blocks").alias("block"), "shard", "slot")
+        .selectExpr("src", "j div n_blocks AS pass", "j % n_blocks AS i", "n_full", f"CASE WHEN j = draws - 1 THEN least ELSE {block}L END AS most", "shard", "slot")
+        .withColumn("full", block_of("src", "pass", F.expr("least(i, greatest(n_full - 1, 0L))"), F.expr("greatest(n_full, 1L)")))
+        .selectExpr("src", "pass", "CASE WHEN i < n_full THEN full ELSE i END AS block", "shard", "slot", "most")
     )
 
 
@@ -157,10 +170,10 @@ def pieces(documents: DataFrame, sources: DataFrame, block: int = BLOCK, output_
         "src", "nth", "start", "size", F.explode(F.expr(f"sequence(start div {block}L, (start + size - 1) div {block}L)")).alias("block")
     )
     # Spark can't tell the number of draws from the sources they are expanded from, and would broadcast them.
-    return parts.join(draws(sources, output_shards, seed).hint("merge"), ["src", "block"]).selectExpr(
+    return parts.join(draws(sources, output_shards, seed, block).hint("merge"), ["src", "block"]).selectExpr(
         "src", "nth", "pass", "shard", "slot", f"greatest(0L, block * {block}L - start) AS first_word",
-        f"least(start + size, (block + 1) * {block}L) - greatest(start, block * {block}L) AS n_words",
-    )
+        f"least(start + size, block * {block}L + most) - greatest(start, block * {block}L) AS n_words",
+    ).where("n_words > 0")
 
 
 def taken(docs: DataFrame) -> DataFrame:
@@ -196,7 +209,7 @@ def mixed(docs: DataFrame) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), source_key(F.col("source")).alias("src"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-    ).withColumn("copy", F.row_number().over(Window.partitionBy("k", "src", "size").orderBy(F.xxhash64("row.text"))))
+    ).withColumn("copy", F.row_number().over(Window.partitionBy("k", "src", "size").orderBy(F.xxhash64("row"))))
     words = f"regexp_extract_all(row.text, '{WORD.replace(chr(92), chr(92) * 2)}', 0)"
     text = (
         f"CASE WHEN n = size THEN row.text ELSE transform(array({words}), w -> array_join(flatten(transform(parts, "
@@ -210,7 +223,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 def _oracle() -> str:
     weights = f"[{', '.join(f'{w}.0::DOUBLE' for w in WEIGHTS)}]"
     # One Feistel round after another, each as a query around the last.
-    network = "SELECT *, v >> half AS l0, v & low AS r0 FROM walk WHERE step = 0 OR v >= n_blocks"
+    network = "SELECT *, v >> half AS l0, v & low AS r0 FROM walk WHERE step = 0 OR v >= n_full"
     for k in range(ROUNDS):
         network = f"SELECT *, r{k} AS l{k + 1}, xor(l{k}, (((r{k} * 40503 + keys[{k + 1}]) * 9973) >> 11) & low) AS r{k + 1} FROM ({network})"
     keys = ", ".join(f"('0x' || substr(md5('{SEED}:' || src || ':' || pass || ':{k}'), 1, 7))::BIGINT" for k in range(ROUNDS))
@@ -232,22 +245,28 @@ levelled AS (
   SELECT *, CASE WHEN level < full_at THEN weight * (SELECT level FROM filled WHERE level < full_at ORDER BY full_at, src LIMIT 1) ELSE most END AS target FROM filled),
 sources AS (
   SELECT src, source_size, target, (source_size + {BLOCK - 1}) // {BLOCK} AS n_blocks,
-         CASE WHEN source_size = 0 THEN 0 ELSE round(target * ((source_size + {BLOCK - 1}) // {BLOCK}) / source_size)::BIGINT END AS draws FROM levelled),
-numbered AS (SELECT src, n_blocks, unnest(range(draws)) AS j FROM sources),
+         round(target)::BIGINT AS words FROM levelled WHERE source_size > 0),
+numbered AS (
+  SELECT src, n_blocks, source_size // {BLOCK} AS n_full, unnest(range(words // source_size * n_blocks + (words % source_size + {BLOCK - 1}) // {BLOCK})) AS j,
+         words // source_size * n_blocks + (words % source_size + {BLOCK - 1}) // {BLOCK} - 1 AS last_j,
+         CASE WHEN words % source_size = 0 THEN {BLOCK} ELSE (words % source_size - 1) % {BLOCK} + 1 END AS least_words FROM sources),
+sized_draws AS (SELECT *, CASE WHEN j = last_j THEN least_words ELSE {BLOCK} END AS most FROM numbered),
 walk AS (
-  SELECT src, j // n_blocks AS pass, j, n_blocks, j % n_blocks AS v, 0 AS step, [{keys.replace('pass', '(j // n_blocks)')}] AS keys,
-         greatest(1, (length(bin(greatest(n_blocks, 2) - 1)) + 1) // 2)::INTEGER AS half,
-         (1::BIGINT << greatest(1, (length(bin(greatest(n_blocks, 2) - 1)) + 1) // 2)::INTEGER) - 1 AS low
-  FROM numbered
+  SELECT src, j // n_blocks AS pass, j, n_full, most, j % n_blocks AS v, 0 AS step, [{keys.replace('pass', '(j // n_blocks)')}] AS keys,
+         greatest(1, (length(bin(greatest(n_full, 2) - 1)) + 1) // 2)::INTEGER AS half,
+         (1::BIGINT << greatest(1, (length(bin(greatest(n_full, 2) - 1)) + 1) // 2)::INTEGER) - 1 AS low
+  FROM sized_draws WHERE j % n_blocks < n_full
   UNION ALL
-  SELECT src, pass, j, n_blocks, (l{ROUNDS} << half) | r{ROUNDS}, step + 1, keys, half, low FROM ({network})),
-times AS (SELECT src, v AS block, count(*) AS n FROM walk WHERE step > 0 AND v < n_blocks GROUP BY ALL),
+  SELECT src, pass, j, n_full, most, (l{ROUNDS} << half) | r{ROUNDS}, step + 1, keys, half, low FROM ({network})),
+times AS (
+  SELECT src, v AS block, most FROM walk WHERE step > 0 AND v < n_full
+  UNION ALL SELECT src, n_full, most FROM sized_draws WHERE j % n_blocks = n_full),
 parts AS (SELECT src, nth, start, size, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM placed WHERE size > 0),
 taken AS (
-  SELECT src, nth, sum(n * (least(start + size, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK})))::BIGINT AS taken
+  SELECT src, nth, sum(greatest(0, least(start + size, block * {BLOCK} + most) - greatest(start, block * {BLOCK})))::BIGINT AS taken
   FROM parts JOIN times USING (src, block) GROUP BY ALL)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken
-FROM placed JOIN sources USING (src) LEFT JOIN taken USING (src, nth)
+FROM placed JOIN levelled USING (src) LEFT JOIN taken USING (src, nth)
 """
 
 

@@ -7,8 +7,8 @@ pairs from it would grow with their square.  The index is therefore kept on join
 five positions (56 of them, 40 bits each): a pair shares one exactly if it shares five bytes or
 more, which is the filter itself, and a posting has few members at any corpus size.
 
-Inside a posting the members are compared block by block in numpy, by the number of differing
-bits, and only a spanning forest of the links leaves the task: never all pairs.  A posting with
+Inside a posting the shared bytes of each pair are tallied block by block in numpy, pairs with at
+least the guaranteed number are verified by their differing bits, and only a spanning forest of the links leaves the task: never all pairs.  A posting with
 more than ``POSTING`` members is indexed again on three of the six half bytes that are left;
 such a posting has 12 free bits, so at most 4,096 members, however large the group of copies.
 With another number of bits b up to four, all but b bytes and b of the 2 b other half bytes are
@@ -16,7 +16,7 @@ taken, and the second level has at most 2 ** (4 b) members, 65,536.
 
 Equal fingerprints are one node.  Defined cases: a null text counts as empty; a text without
 words has fingerprint zero and is linked like any other; repeated rows are in one component, and
-exactly one row of a component is ``kept``.  An empty table gives an empty result; other columns
+``without_near_duplicates`` keeps exactly one row of a component (of rows with one doc_id and text, the one with the smallest hash).  An empty table gives an empty result; other columns
 are not read.  The smallest doc_id names a component; null doc_ids come last.
 """
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, per_batch, written
+from .common import mapped, per_batch, written
 from .components import components
 
 BITS = 3
@@ -60,7 +60,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, text_hash, fp`` of each row."""
+    """A written table ``doc_id, text_hash, fp`` of each row."""
 
     def build(texts: list[bytes]) -> list[pa.Array]:
         prints = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, len(texts))
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")
     )
-    return in_small_batches(rows).mapInArrow(per_batch(build, ["fp"]), "doc_id long, text_hash long, fp long")
+    return mapped(rows, per_batch(build, ["fp"]), "doc_id long, text_hash long, fp long", "fingerprints")
 
 
 def _masks(base: list[int]) -> list[int]:
@@ -97,7 +97,10 @@ def forest(members: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
     while len(rest):
         root, todo, rest = rest[0], [rest[0]], rest[1:]
         while todo and len(rest):
-            near = np.bitwise_count(rest ^ todo.pop()) <= bits
+            apart = rest ^ todo.pop()
+            # Of each pair the shared positional bytes are tallied; those with too few of them are not verified.
+            near = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - bits
+            near[near] = np.bitwise_count(apart[near]) <= bits
             if near.any():
                 found, rest = rest[near], rest[~near]
                 todo.extend(found)
@@ -184,7 +187,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     ``first_hash`` tells the texts of the component's first doc_id apart, should it stand for several.
     Shingles have ``words`` words; fingerprints within ``bits`` (1 to 4) are linked.
     """
-    rows = written(fingerprints(docs, words), "fingerprints")
+    rows = fingerprints(docs, words)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("t"))).alias("best")
     nodes = written(rows.groupBy("fp").agg(best), "nodes")
     roots = written(components(links(nodes.select("fp"), bits)), "roots")
@@ -210,5 +213,5 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BIT
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64("text").alias("k2"),
     )
-    once = Window.partitionBy("k1", "k2").orderBy("k2")
+    once = Window.partitionBy("k1", "k2").orderBy(F.xxhash64("row"))
     return packed.join(written(firsts, "firsts-kept"), ["k1", "k2"], "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")

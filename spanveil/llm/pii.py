@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, in_small_batches, per_batch
+from .common import held, mapped, per_batch
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, PER_DOC = 1500, 8
@@ -291,15 +291,57 @@ _FORMS = {
 
 def well_formed(kind: int, text: str) -> bool:
     """The form check of a span that the network adds."""
-    if len(text) > WIDTH or not _FORMS[kind].fullmatch(text):
+    if not _FORMS[kind].fullmatch(text):
         return False
     return {1: _is_ip, 2: _is_card, 3: lambda t: 9 <= len(_digits(t)) <= 15}.get(kind, lambda t: True)(text)
 
 
+def _spans(tag: np.ndarray, share: np.ndarray, n: int) -> list[tuple[int, int, int, float]]:
+    """``(kind, start, end, mean probability)`` of the spans in one window's tags."""
+    out = []
+    for s in np.flatnonzero(tag[:n] % 2 == 1):
+        e = int(s) + 1
+        while e < n and tag[e] == tag[s] + 1:
+            e += 1
+        out.append((int(tag[s]) // 2, int(s), e, float(share[np.arange(s, e), tag[s:e]].mean())))
+    return out
+
+
+def _decoded_whole(tagger: Tagger, codes: np.ndarray, cut: list[tuple[int, int]]) -> dict[tuple[int, int, int], list[float]]:
+    """The spans of the stretches ``cut``, which touch edges of their windows, decoded in windows that hold them.
+
+    Stretches that overlap are one.  Its window is centred on it and widened until no span in the
+    stretch touches an edge, at last to the whole text; so neither length nor place decides.
+    """
+    found: dict[tuple[int, int, int], list[float]] = {}
+    todo, margin = sorted(cut), WIDTH
+    while todo:
+        joined: list[list[int]] = []
+        for s, e in todo:
+            if joined and s <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], e)
+            else:
+                joined.append([s, e])
+        todo = []
+        for s, e in joined:
+            lo, hi = max(0, s - margin), min(len(codes), e + margin)
+            emitted = tagger.emissions(codes[None, lo:hi])
+            spans = [(k, lo + a, lo + b, sure) for k, a, b, sure in _spans(tagger.decode(emitted)[0], tagger.marginals(emitted)[0], hi - lo) if lo + a < e and lo + b > s]
+            at_edge = [(a, b) for _, a, b, _ in spans if (a == lo and lo) or (b == hi and hi < len(codes))]
+            if at_edge:
+                todo.append((min(s, *(a for a, _ in at_edge)), max(e, *(b for _, b in at_edge))))
+            else:
+                for k, a, b, sure in spans:
+                    found.setdefault((k, a, b), []).append(sure)
+        margin *= 2
+    return found
+
+
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """For each text the spans that the network adds to the base spans."""
     out: list[list] = [[] for _ in texts]
     found: list[dict] = [{} for _ in texts]
+    cut: list[list] = [[] for _ in texts]
     jobs = [(k, c, s) for k, t in enumerate(texts) if _HINT.search(t) for c in [classes(t)] for s in windows(c)]
     for at in range(0, len(jobs), 1024):
         part = jobs[at : at + 1024]
@@ -311,16 +353,19 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int
         tags = tagger.decode(e)
         share = tagger.marginals(e)
         for row, (k, codes, start) in enumerate(part):
-            n, tag = min(WIDTH, len(codes) - start), tags[row]
-            for s in np.flatnonzero(tag[:n] % 2 == 1):
-                e_ = s + 1
-                while e_ < n and tag[e_] == tag[s] + 1:
-                    e_ += 1
+            for kind, s, e_, sure in _spans(tags[row], share[row], min(WIDTH, len(codes) - start)):
                 if (s == 0 and start) or (e_ == WIDTH and start + WIDTH < len(codes)):
-                    continue
-                sure = float(share[row, np.arange(s, e_), tag[s:e_]].mean())
-                found[k].setdefault((int(tag[s]) // 2, start + int(s), start + int(e_)), []).append(sure)
+                    cut[k].append((start + s, start + e_))
+                else:
+                    found[k].setdefault((kind, start + s, start + e_), []).append(sure)
     for k, text in enumerate(texts):
+        # A span that is whole in another window needs no wider one.
+        whole = sorted((s, e) for _, s, e in found[k])
+        reach = list(np.maximum.accumulate([e for _, e in whole])) if whole else []
+        inside = lambda s, e: (at := bisect_right(whole, (s, len(text) + 1))) and reach[at - 1] >= e  # noqa: B023, E731
+        if left := [(s, e) for s, e in cut[k] if not inside(s, e)]:
+            for span, sure in _decoded_whole(tagger, classes(text), left).items():
+                found[k].setdefault(span, []).extend(sure)
         if found[k]:
             taken = sorted((s, e) for _, s, e in base[k])
             starts, longest = [s for s, _ in taken], list(np.maximum.accumulate([e for _, e in taken])) if taken else []
@@ -412,6 +457,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-    return in_small_batches(rows).mapInArrow(
-        per_batch(build, names), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    return mapped(
+        rows, per_batch(build, names), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", "pii"
     )

@@ -2,7 +2,8 @@
 
 Each document gets two histograms: its characters by class, and its words by the common words of
 its language (ten of them, and all other words).  The reference of a language is the sum over
-all documents of that language.  A document fails when the Jensen-Shannon distance of a
+all documents of that language, and that of documents without one the sum over all documents; the
+histogram of common words is judged where there is a list of them.  A document fails when the Jensen-Shannon distance of a
 histogram to its language's reference is above a limit, and it is long enough for that
 histogram: ``CHARS_FROM`` word characters, ``WORDS_FROM`` words.  The base rules come first.
 
@@ -10,8 +11,8 @@ Words that stand in a repeated three-word window are counted inside the row: the
 hashed, the hashes sorted with their places, and the places of equal neighbours merged; work
 is n log n in the text.  The only shuffle is the sum of 17 numbers per language.
 
-Defined cases: a null text has no words, and such a document fails.  A document whose language
-is null, unknown or absent has no reference, and the base rules alone decide.  Repeated rows
+Defined cases: a null text has no words, and such a document fails.  A language without a list of
+common words is judged by its characters alone, and so is a null or absent one.  Repeated rows
 give repeated rows; an empty table gives an empty result; other columns are not read.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.spans import quoted, with_computed
 
-from .common import written
+from .common import source_key, written
 
 #: Ten common words of each language that has a reference.
 COMMON = {
@@ -93,14 +94,15 @@ def judged(docs: DataFrame) -> DataFrame:
     """``features`` with ``base_failed, js_chars, js_common, kept``."""
     rows = written(features(docs), "features")
     sums = lambda name, n: "array(" + ", ".join(f"sum({name}[{k}])" for k in range(n)) + ")"
-    # One row for each language of COMMON at most, so the broadcast has a bound of its own.
-    of_lang = (
-        rows.where(F.col("lang").isin(*COMMON)).groupBy(F.col("lang").alias("ref_lang"))
-        .agg(F.expr(sums("chars", 6)).alias("ref_chars"), F.expr(sums("common", 11)).alias("ref_common"))
+    # One row per language found, and one of their sums for documents without a language.
+    of_lang = written(
+        rows.groupBy(F.col("lang").alias("l")).agg(F.expr(sums("chars", 6)).alias("ref_chars"), F.expr(sums("common", 11)).alias("ref_common")), "languages"
     )
-    out = rows.join(F.broadcast(of_lang), F.col("lang") == F.col("ref_lang"), "left").selectExpr(
-        "*", f"CASE WHEN ref_lang IS NOT NULL THEN {divergence('chars', 'ref_chars')} END AS js_chars",
-        f"CASE WHEN ref_lang IS NOT NULL THEN {divergence('common', 'ref_common')} END AS js_common",
+    of_all = of_lang.agg(F.expr(sums("ref_chars", 6)).alias("ref_chars"), F.expr(sums("ref_common", 11)).alias("ref_common"))
+    refs = of_lang.where("l IS NOT NULL").unionByName(of_all.withColumn("l", F.lit(None).cast("string"))).withColumn("ref", source_key(F.col("l")))
+    listed = f"lang IN ({', '.join(map(quoted, COMMON))})"
+    out = rows.withColumn("ref", source_key(F.col("lang"))).join(refs, "ref").selectExpr(
+        "*", f"{divergence('chars', 'ref_chars')} AS js_chars", f"CASE WHEN {listed} THEN {divergence('common', 'ref_common')} END AS js_common",
         "n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed",
     )
     far = (
@@ -146,13 +148,13 @@ g AS (
   FROM f),
 h AS (SELECT *, list_append(ten, len(words) - list_sum(ten)) AS common FROM g),
 ref AS (SELECT lang, [{', '.join(f'sum(chars[{k}])' for k in range(1, 7))}] AS ref_chars, [{', '.join(f'sum(common[{k}])' for k in range(1, 12))}] AS ref_common
-        FROM h WHERE lang IN ({langs}) GROUP BY lang)
+        FROM h GROUP BY GROUPING SETS ((lang), ()) HAVING grouping(lang) = 1 OR lang IS NOT NULL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
             OR coalesce(word_chars >= {CHARS_FROM} AND {js('chars', 'ref_chars')} > {CHARS_LIMIT}, false)
-            OR coalesce(n_words >= {WORDS_FROM} AND {js('common', 'ref_common')} > {WORDS_LIMIT}, false)) AS kept
-FROM h LEFT JOIN ref USING (lang)
+            OR coalesce(h.lang IN ({langs}) AND n_words >= {WORDS_FROM} AND {js('common', 'ref_common')} > {WORDS_LIMIT}, false)) AS kept
+FROM h JOIN ref ON h.lang IS NOT DISTINCT FROM ref.lang
 """
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, held, in_small_batches, per_batch, plain_pieces, texts_of, word_end_file, written
+from .common import Kept, held, mapped, per_batch, plain_pieces, texts_of, word_end_file, written
 
 FREQUENT = 1 << 15
 #: Counters of one summary, summaries merged at a time, and new strings that a worker's cache holds.
@@ -78,7 +78,7 @@ _SUMMARY = "part long, strings binary, numbers binary"
 
 def frequent_strings(docs: DataFrame, n: int = FREQUENT) -> list[bytes]:
     """At most ``n`` strings with the largest counters of a merged summary of all rows."""
-    parts = written(in_small_batches(docs.select(F.col("text").cast("string"))).mapInArrow(summarised, _SUMMARY), "strings")
+    parts = mapped(docs.select(F.col("text").cast("string")), summarised, _SUMMARY, "strings")
     while (left := parts.count()) > FAN:
         parts = written(parts.repartition(-(-left // FAN), "part").mapInArrow(_merged, _SUMMARY), "strings")
     counts: Counter = Counter()
@@ -135,5 +135,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, frequent: int =
         return [pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(map(lookup, t.split())) for t in texts], pa.int64())]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = in_small_batches(rows).mapInArrow(per_batch(build, ["n_bytes", "n_tokens"]), "doc_id long, n_bytes long, n_tokens long")
+    counted = mapped(rows, per_batch(build, ["n_bytes", "n_tokens"]), "doc_id long, n_bytes long, n_tokens long", "token-counts")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
