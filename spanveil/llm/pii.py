@@ -256,11 +256,19 @@ class Tagger:
 
 
 def windows(codes: np.ndarray) -> list[int]:
-    """Starts of the windows that hold a digit or ``@``."""
+    """Starts of the windows that hold a digit or ``@``.
+
+    Places further apart than a window are groups of their own, and a group's windows are laid out
+    from its first place: what stands far before it moves no window.
+    """
     hits = np.flatnonzero((codes == _DIGIT) | (codes == _AT))
-    last = max(0, -(-(len(codes) - WIDTH) // STRIDE))
-    grid = np.unique(np.concatenate([hits // STRIDE - k for k in range(WIDTH // STRIDE)]))
-    return [int(k) * STRIDE for k in np.unique(np.clip(grid, 0, last))] if len(hits) else []
+    if not len(hits):
+        return []
+    new = np.append(True, np.diff(hits) > WIDTH)
+    first = hits[np.maximum.accumulate(np.where(new, np.arange(len(hits)), 0))] - STRIDE
+    grid = first + (hits - first) // STRIDE * STRIDE
+    starts = np.concatenate([grid - k * STRIDE for k in range(WIDTH // STRIDE)])
+    return np.unique(np.clip(starts, 0, max(0, len(codes) - WIDTH))).tolist()
 
 
 def reconciled(found: dict[tuple[int, int, int], list[float]]) -> list[tuple[int, int, int]]:
