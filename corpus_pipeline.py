@@ -3,21 +3,31 @@
 Toxic documents go, one of each group of exact copies and one of each group of near duplicates
 stays, the rest is mixed to target weights (a document that the mix draws from twice is there
 twice, with the words of each pass), and the mix is encoded.
+
+Defined cases: a null text counts as empty; such documents are not toxic, are copies of each
+other, and are never drawn into the mix.  A null source is a source, a null language has the
+common threshold.  Repeated rows and ties are settled by the operators' orders, at last by a hash
+of the whole row, so that runs agree.  Columns beside those of ``documents`` are passed on by all
+stages but the last, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanveil.llm import bpe, exact_dups, mixing, near_dups, toxicity
-from spanveil.llm.common import table, written
+from spanveil.llm.common import alone, removed, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the operator does not reject, by the threshold of their language."""
-    scored = toxicity.scored(docs.select(*docs.columns), table(spark, sf_dir, "labels"), columns=docs.columns)
-    return scored.where("NOT rejected").select(*docs.columns)
+    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"), columns=docs.columns)
+    # By place, as the documents may have columns of the same names as the marks; the last is ``rejected``.
+    numbered = scored.toDF(*(f"c{k}" for k in range(len(scored.columns))))
+    kept = numbered.where(~F.col(numbered.columns[-1])).select(*numbered.columns[: len(docs.columns)])
+    return kept.toDF(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table; those of the stages before are removed from the scratch folder."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = path
+        docs, path = alone(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            removed(spark, before)
     return docs
