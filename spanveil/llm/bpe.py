@@ -38,6 +38,7 @@ import json
 import re
 import uuid
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ from .common import held, mapped, per_batch, word_end_file
 
 #: New pieces of texts that a worker keeps at a time; longer ones than ``KEPT`` bytes are not kept.
 CACHE, KEPT = 80_000, 256
+#: Places of the tables of transitions and arcs that were looked up, as a power of two.
+SEEN = 19
 #: Words that are stepped through together, and the longest of them in symbols; others go alone.
 TOGETHER, LONGEST = 1 << 14, 48
 
@@ -66,6 +69,31 @@ def symbols_of(token: str, end: str) -> list[int]:
     return numbers[:-1] + [numbers[-1] + 256] if last else numbers
 
 
+class Seen:
+    """A table of fixed size with what was looked up last: of keys with one place, the later one stays."""
+
+    def __init__(self, kind, bits: int = SEEN):
+        self.kind, self.bits, self.keys = kind, bits, None
+
+    def __getstate__(self) -> dict:
+        return {"kind": self.kind, "bits": self.bits, "keys": None}
+
+    def of(self, key: np.ndarray, make) -> np.ndarray:
+        """The value of each key; ``make(keys)`` gives those that are not in the table."""
+        if self.keys is None:
+            self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, self.kind)
+        place = (key * 0x9E3779B1 >> 16) & ((1 << self.bits) - 1)
+        out = self.values[place]
+        new = np.flatnonzero(self.keys[place] != key)
+        if len(new):
+            keys = key[new]
+            out[new] = made = make(keys)
+            # One assignment of both: an index that comes twice must not get the key of one and the value of another.
+            at, last = np.unique(place[new][::-1], return_index=True)
+            self.keys[at], self.values[at] = keys[::-1][last], made[::-1][last]
+        return out
+
+
 class Automaton:
     """Transitions of a merge list as flat arrays; ``tokens`` are lists of symbols, ``merges`` pairs of token numbers."""
 
@@ -73,6 +101,10 @@ class Automaton:
         self.size = max(tokens) + 1
         self._gadgets(merges)
         self._goto(tokens)
+        self.steps, self.arcs = Seen(np.int32), Seen(np.bool_)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"steps": Seen(np.int32), "arcs": Seen(np.bool_)}
 
     def _gadgets(self, merges: list[tuple[int, int, int]]) -> None:
         """``merges`` are ``(u, v, w)`` in their order; what each gadget does depends only on later ones for its range's end."""
@@ -135,6 +167,13 @@ class Automaton:
 
     def step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The goto table: the longest suffix of what was read that begins a token."""
+        return self.steps.of(node.astype(np.int64) * ALPHABET + symbol, lambda key: self._step(key // ALPHABET, key % ALPHABET))
+
+    def follows(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether there is an arc x -> y, for arrays of states; state -1 begins a word and has every arc."""
+        return self.arcs.of((x.astype(np.int64) + 1) * self.size + y, lambda key: self._follows(key // self.size - 1, key % self.size))
+
+    def _step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         out = self.first[symbol]
         todo = np.flatnonzero(node)
         node = node[todo].astype(np.int64)
@@ -147,8 +186,7 @@ class Automaton:
             node, todo = node[node > 0], todo[node > 0]
         return out
 
-    def follows(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether there is an arc x -> y, for arrays of states; state -1 begins a word and has every arc."""
+    def _follows(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = np.ones(len(x), bool)
         todo = np.flatnonzero(x >= 0)
         state, number = x[todo].astype(np.int64), self.number[y[todo]].astype(np.int64)
@@ -305,6 +343,9 @@ ASCII_PIECES = re.compile(_ASCII)
 PIECES = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\x80-\xFF]*+[\x80-\xFF][^\x20\x09-\x0D]*|" + _ASCII)
 
 
+_SPACE = re.compile(r"\s").search
+
+
 class Encoder:
     """Texts to ``(ids as little-endian 32-bit integers, decoded text)``.
 
@@ -336,14 +377,35 @@ class Encoder:
             out += [part] if k % 2 else PIECES.findall(part)
         return out
 
-    def words(self, piece: bytes) -> list[bytes]:
-        """The pre-split words of one piece, as the bytes of the normalised text."""
-        if piece.isascii():
-            return [piece.lower()]
-        return [w.translate(BYTES).encode("latin-1") for w, _ in self.split(self.normalise(piece.decode("utf-8", "replace")))]
+    def words(self, pieces: list[bytes]) -> list[list[bytes]]:
+        """The pre-split words of some strings that are not ASCII, as the bytes of the normalised text.
+
+        They are normalised and split together, a new line apart, which joins nothing across; unless
+        one holds white space of its own.
+        """
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        normal = self.normalise("\n".join(texts)).split(" ")
+        if len(normal) != len(texts) or any(map(_SPACE, texts)):
+            return [[w.translate(BYTES).encode("latin-1") for w, _ in self.split(self.normalise(t))] for t in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        ends = list(accumulate(len(t) + 1 for t in normal))
+        k = 0
+        for word, (start, _) in self.split(" ".join(normal)):
+            while start >= ends[k]:
+                k += 1
+            out[k].append(word.translate(BYTES).encode("latin-1"))
+        return out
 
     def encoded(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        split = [[] if p in self.special else self.words(p) for p in pieces]
+        split: list = [[p.lower()] if p.isascii() else None for p in pieces]
+        for k, piece in enumerate(pieces):
+            if piece in self.special:
+                split[k] = []
+        others = [k for k, words in enumerate(split) if words is None]
+        for at in range(0, len(others), 1024):
+            part = others[at : at + 1024]
+            for k, words in zip(part, self.words([pieces[k] for k in part]), strict=True):
+                split[k] = words
         distinct = list({w for words in split for w in words})
         made = dict(zip(distinct, map(self.made, self.automaton.encode(distinct)), strict=True))
         out = []
