@@ -9,8 +9,9 @@ of (s, e], the depth there that is divisible by the largest power of two.
 
 Sequences are inserted in batches.  In each round every sequence that is left finds its exit node
 by fat binary search: of the depths (a, b] that are open it looks up the key of the two-fattest one
-among the handles; a hit moves a to the extent of the node found, a miss moves b below.  As many
-look-ups as the longest sequence has binary digits are enough.  A comparison within the exit
+among the handles; a hit moves a to the extent of the node found, a miss moves b below.  Depths come
+in the order of their powers of two, so six steps in a row ask for some of 63 depths that are known
+beforehand: their keys are joined with the handles at once.  A comparison within the exit
 node's depths gives the place where the sequence leaves the trie.  There the node is split, and of all
 sequences that leave at one place with one next turn, one, chosen by a hash, is put in as a leaf;
 the others go on from there in the next round.  A random leaf takes off a share of the sequences
@@ -35,13 +36,15 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 from .running import running
 
 GROUP, HEADS = 5, 9
+#: Depths that a sequence looks up in one join are fewer than this power of two.
+FAN = 64
 #: Turns of a conversation that one row of a joined table stands for, and ids in one stretch of a list.
 STRETCH, IDS = 4096, 4096
 
@@ -85,10 +88,9 @@ def keyed(turns: DataFrame) -> DataFrame:
     return running(rows, "id", [F.asc("d")], ["bytes"], ["k1", "k2"], "prefixes")
 
 
-def two_fattest(s: str, e: str) -> Column:
-    """The depth in (s, e] that is divisible by the largest power of two."""
-    low = f"cast(length(bin({s} ^ {e})) - 1 AS int)"
-    return F.expr(f"shiftleft(shiftright({e}, {low}), {low})")
+#: The depth in (s, e] that is divisible by the largest power of two.
+_FAT = "shiftleft(shiftright({e}, cast(length(bin({s} ^ {e})) - 1 AS int)), cast(length(bin({s} ^ {e})) - 1 AS int))"
+_NODE_FOUND = "struct<f:bigint,rep:bigint,s:bigint,e:bigint,x1:bigint,x2:bigint>"
 
 
 def _at(rows: DataFrame, paths: DataFrame, who: str, depth: str, names: tuple[str, str]) -> DataFrame:
@@ -102,39 +104,57 @@ NODE = ["rep", "s", "e", "k1", "k2", "f", "f1", "f2", "g1", "g2", "p1", "p2"]
 
 def described(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """Nodes from ``rep, s, e``: their handle ``f``, and the keys of extent, handle, first depth and parent."""
-    places = edges.withColumn("f", two_fattest("s", "e")).select(
+    places = edges.withColumn("f", F.expr(_FAT.format(s="s", e="e"))).select(
         "rep", "s", "e", "f", F.explode(F.expr("array(struct('p' AS w, s AS at), struct('g' AS w, s + 1 AS at), struct('f' AS w, f AS at), struct('k' AS w, e AS at))")).alias("x")
     ).select("rep", "s", "e", "f", "x.w", "x.at")
     found = _at(places, paths, "rep", "at", ("x1", "x2")).groupBy("rep", "s", "e", "f")
     return found.agg(*(F.coalesce(F.max(F.when(F.col("w") == w, F.col(f"x{i}"))), F.lit(0).cast("long")).alias(f"{w}{i}") for w in "kfgp" for i in (1, 2))).select(*NODE)
 
 
-def located(active: DataFrame, nodes: DataFrame, paths: DataFrame, steps: int) -> DataFrame:
+def searched(rows: DataFrame, nodes: DataFrame, paths: DataFrame, unit: int) -> DataFrame:
+    """The steps of the search at depths that are multiples of ``unit``.
+
+    ``rows`` have the open depths (lo, hi] and the last node found, ``b``.  Of the depths that these
+    steps can ask for, fewer than ``FAN``, the keys are looked up in one join; the steps themselves
+    then run inside the row.
+    """
+    open_rows = rows.where(f"hi div {unit} > lo div {unit}").select("id", "lo", "hi", F.expr(f"hi div {unit * FAN}").alias("part"))
+    keys = paths.where(F.col("d") % unit == 0).select("id", F.expr(f"d div {unit * FAN}").alias("part"), "d", "k1", "k2")
+    asked = open_rows.join(keys, ["id", "part"]).where("d > lo AND d <= hi").select("id", "d", "k1", "k2")
+    handles = nodes.where(F.col("f") % unit == 0).select(F.col("f").alias("d"), F.col("f1").alias("k1"), F.col("f2").alias("k2"), F.struct("f", "rep", "s", "e", F.col("k1").alias("x1"), F.col("k2").alias("x2")).alias("node"))
+    hits = asked.join(handles, ["d", "k1", "k2"]).groupBy("id").agg(F.collect_list("node").alias("hits"))
+    step = f"""CASE WHEN acc.lo >= acc.hi OR acc.f % {unit} <> 0 THEN acc
+        ELSE transform(array(get(filter(hits, h -> h.f = acc.f), 0)), h -> CASE WHEN h IS NOT NULL
+            THEN named_struct('lo', h.e, 'hi', acc.hi, 'f', {_FAT.format(s='h.e', e='acc.hi')}, 'b', h)
+            ELSE named_struct('lo', acc.lo, 'hi', acc.f - 1, 'f', {_FAT.format(s='acc.lo', e='(acc.f - 1)')}, 'b', acc.b) END)[0] END"""
+    start = f"named_struct('lo', lo, 'hi', hi, 'f', {_FAT.format(s='lo', e='hi')}, 'b', b)"
+    found = F.expr(f"CASE WHEN hi div {unit} > lo div {unit} THEN aggregate(sequence(1, {FAN.bit_length()}), {start}, (acc, i) -> {step}) ELSE {start} END")
+    hits = rows.join(hits, "id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(f"array<{_NODE_FOUND}>")))
+    return hits.select("id", "length", "a", found.alias("x")).select("id", "length", "a", "x.lo", "x.hi", "x.b")
+
+
+def located(active: DataFrame, nodes: DataFrame, paths: DataFrame, longest: int) -> DataFrame:
     """Where each of ``id, length, a`` leaves the trie: ``exit_rep, exit_s, exit_e`` (null at a node) and ``p``."""
-    handles = nodes.select(F.col("f").alias("h_f"), F.col("f1").alias("h1"), F.col("f2").alias("h2"), *(F.col(c).alias(f"h_{c}") for c in ("rep", "s", "e", "k1", "k2")))
-    rows = active.selectExpr("id", "length", "a", "a AS lo", "length AS hi", *(f"CAST(NULL AS long) AS b_{c}" for c in ("rep", "s", "e", "f", "k1", "k2")))
-    for _ in range(steps):
-        rows = _at(rows.withColumn("f", F.when(F.col("lo") < F.col("hi"), two_fattest("lo", "hi"))), paths, "id", "f", ("q1", "q2"))
-        rows = rows.join(handles, (F.col("f") == F.col("h_f")) & (F.col("q1") == F.col("h1")) & (F.col("q2") == F.col("h2")), "left")
-        hit = F.col("h_rep").isNotNull()
-        rows = rows.select(
-            "id", "length", "a", F.when(hit, F.col("h_e")).otherwise(F.col("lo")).alias("lo"), F.when(hit | F.col("f").isNull(), F.col("hi")).otherwise(F.col("f") - 1).alias("hi"),
-            *(F.when(hit, F.col(f"h_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in ("rep", "s", "e", "k1", "k2", "f")),
-        )
+    rows = active.selectExpr("id", "length", "a", "a AS lo", "length AS hi", f"CAST(NULL AS {_NODE_FOUND}) AS b")
+    units = [1]
+    while units[-1] * FAN <= longest:
+        units.append(units[-1] * FAN)
+    for unit in reversed(units):
+        rows = searched(rows, nodes, paths, unit)
     # The last node found is passed by, if its extent is a prefix too; else it is the exit node.
-    rows = _at(rows, paths, "id", "b_e", ("q1", "q2"))
-    passed = F.col("b_e").isNull() | ((F.col("q1") == F.col("b_k1")) & (F.col("q2") == F.col("b_k2")))
-    rows = rows.withColumn("passed", F.coalesce(passed, F.lit(False))).withColumn("at", F.when(F.col("passed"), F.coalesce("b_e", "a")).otherwise(F.col("b_s")))
+    rows = _at(rows.withColumn("b_e", F.col("b.e")), paths, "id", "b_e", ("q1", "q2"))
+    passed = F.col("b").isNull() | ((F.col("q1") == F.col("b.x1")) & (F.col("q2") == F.col("b.x2")))
+    rows = rows.withColumn("passed", F.coalesce(passed, F.lit(False))).withColumn("at", F.when(F.col("passed"), F.coalesce("b.e", "a")).otherwise(F.col("b.s")))
     # Where it is passed by, the exit node is the child with the next turn, if there is one.
     rows = _at(rows.drop("q1", "q2").withColumn("next", F.when(F.col("passed"), F.col("at") + 1)), paths, "id", "next", ("q1", "q2"))
     child = nodes.select(F.col("s").alias("c_s"), F.col("g1").alias("c1"), F.col("g2").alias("c2"), F.col("rep").alias("c_rep"), F.col("e").alias("c_e"))
     rows = rows.join(child, (F.col("at") == F.col("c_s")) & (F.col("q1") == F.col("c1")) & (F.col("q2") == F.col("c2")), "left").selectExpr(
-        "id", "length", "at", "CASE WHEN passed THEN c_rep ELSE b_rep END AS exit_rep", "CASE WHEN passed THEN c_s ELSE b_s END AS exit_s",
-        "CASE WHEN passed THEN c_e ELSE b_e END AS exit_e", "CASE WHEN passed THEN at + 1 ELSE b_f END AS least",
+        "id", "length", "at", "CASE WHEN passed THEN c_rep ELSE b.rep END AS exit_rep", "CASE WHEN passed THEN c_s ELSE b.s END AS exit_s",
+        "CASE WHEN passed THEN c_e ELSE b.e END AS exit_e", "CASE WHEN passed THEN at + 1 ELSE b.f END AS least",
     )
     rows = written(rows, "exits")
     # The prefixes of both sequences, at the depths of the exit node that are not known to be equal.
-    inside = rows.where("exit_rep IS NOT NULL").select("id", "exit_rep", "least", F.expr("least(exit_e - 1, length)").alias("most"))
+    inside = rows.where("exit_rep IS NOT NULL").select("id", "exit_rep", "least", F.expr("least(exit_e - 1, length)").alias("most")).where("least < most")
     mine = inside.join(paths, "id").where("d > least AND d <= most").select("id", "exit_rep", "d", "k1", "k2")
     theirs = paths.select(F.col("id").alias("exit_rep"), "d", "k1", "k2")
     shared = mine.join(theirs, ["exit_rep", "d", "k1", "k2"]).groupBy("id").agg(F.max("d").alias("same"))
@@ -143,26 +163,29 @@ def located(active: DataFrame, nodes: DataFrame, paths: DataFrame, steps: int) -
 
 def compacted(sequences: DataFrame, paths: DataFrame) -> DataFrame:
     """The compacted nodes (``NODE``) of all sequences ``id, length``, without the root."""
-    steps = (sequences.agg(F.max("length")).first()[0] or 0).bit_length()
-    nodes, places = None, written(sequences.where("length > 0").select("id", "length", F.lit(0).cast("long").alias("p")), "left")
-    while not places.isEmpty():
+    longest = sequences.agg(F.max("length")).first()[0] or 0
+    left = written(sequences.where("length > 0").select("id", "length", F.lit(0).cast("long").alias("p")), "left")
+    nodes = described(left.limit(0).selectExpr("id AS rep", "p AS s", "length AS e"), paths)
+    pieces, cut = nodes.select("rep", "s", "e"), nodes.select("rep", "s", "e")
+    while not left.isEmpty():
         # One of those that leave at one place with one next turn becomes a leaf.
-        ahead = _at(places.withColumn("next", F.col("p") + 1), paths, "id", "next", ("g1", "g2"))
+        ahead = _at(left.withColumn("next", F.col("p") + 1), paths, "id", "next", ("g1", "g2"))
         chosen = ahead.groupBy("p", "g1", "g2").agg(F.min_by(F.struct("id", "length"), F.struct(F.xxhash64("id"), "id")).alias("one"))
         leaves = written(chosen.select(F.col("one.id").alias("rep"), F.col("p").alias("s"), F.col("one.length").alias("e")), "leaves")
-        new = described(leaves, paths)
-        nodes = written(new if nodes is None else nodes.unionByName(new), "nodes")
-        active = places.join(leaves.select(F.col("rep").alias("id")), "id", "left_anti").select("id", "length", F.col("p").alias("a"))
-        found = written(located(written(active, "active"), nodes, paths, steps), "located")
+        whole = nodes.join(cut, ["rep", "s", "e"], "left_anti").select(*NODE)
+        nodes = written(whole.unionByName(described(pieces.unionByName(leaves), paths)), "nodes")
+        active = left.join(leaves.select(F.col("rep").alias("id")), "id", "left_anti").select("id", "length", F.col("p").alias("a"))
+        found = written(located(active, nodes, paths, longest), "located")
+        # A node is cut where sequences leave it, at any number of places.
         cuts = found.where("exit_rep IS NOT NULL").select(F.col("exit_rep").alias("rep"), F.col("exit_s").alias("s"), F.col("exit_e").alias("e"), F.col("p").alias("cut")).distinct()
-        split = cuts.groupBy("rep", "s", "e").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
-        pieces = split.select("rep", F.explode(F.expr("transform(concat(cuts, array(e)), (c, i) -> struct(if(i = 0, s, cuts[i - 1]) AS s, c AS e))")).alias("x")).select("rep", "x.s", "x.e")
-        whole = nodes.join(split.select("rep", "s", "e"), ["rep", "s", "e"], "left_anti").select(*NODE)
-        nodes = written(whole.unionByName(described(pieces, paths)), "nodes")
-        places = written(found.where("p < length").select("id", "length", "p"), "left")
-    if nodes is None:
-        return described(places.select(F.col("id").alias("rep"), F.col("p").alias("s"), F.col("length").alias("e")), paths)
-    return nodes
+        cut = cuts.select("rep", "s", "e").distinct()
+        ends = cuts.unionByName(cut.withColumn("cut", F.col("e")))
+        above = F.lag("cut").over(Window.partitionBy("rep", "s", "e").orderBy("cut"))
+        pieces = ends.select("rep", F.coalesce(above, "s").alias("from"), F.col("cut").alias("to")).select("rep", F.col("from").alias("s"), F.col("to").alias("e"))
+        left = written(found.where("p < length").select("id", "length", "p"), "left")
+    # What the last round cut has no more leaves to come.
+    whole = nodes.join(cut, ["rep", "s", "e"], "left_anti").select(*NODE)
+    return written(whole.unionByName(described(pieces, paths)), "nodes")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
