@@ -331,9 +331,10 @@ _LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in display.DISPLAY_LABELS.i
 
 @register(
     "severity_filter",
-    f"""{MIXED} SELECT id, type, s AS start, {O.SEVERITY} AS severity,
+    f"""{MIXED}, top AS (SELECT *, max(conf) OVER (PARTITION BY id) AS highest FROM f)
+    SELECT id, type, s AS start, {O.SEVERITY} AS severity,
         CASE WHEN conf >= 0.85 THEN 'high' WHEN conf >= 0.6 THEN 'medium' ELSE 'low' END AS severity3
-    FROM f WHERE conf > 0.5 AND id IN (SELECT id FROM f WHERE conf >= 0.97)""",
+    FROM top WHERE conf > 0.5 AND highest >= 0.97""",
 )
 def severity_filter(spark, sf_dir):
     found = detect(derived_text(spark, sf_dir, "mixed"))
@@ -627,6 +628,33 @@ def page_segments(spark, sf_dir):
     return html.html_segments(pages(spark, sf_dir), "page_id")
 
 
+_BROKEN = """html || CASE page_id % 9 WHEN 0 THEN '<script>var a = "07700 900123";' WHEN 1 THEN '<p>seen &copy &amp &lt;b&gt; &notit; &#8364;&#x41 &#150; &bogus; end'
+    WHEN 2 THEN '<style>p { } </p> mail a@b.org' WHEN 3 THEN '<!-- not closed <p>mail a@b.org' WHEN 4 THEN '<textarea>mail a@b.org</p>'
+    WHEN 5 THEN '<p title="a>b">left <div class="cut' WHEN 6 THEN '<title>in <b>bold</b> &amp; on</title>after' WHEN 7 THEN '<noscript><p>no</noscript>yes<iframe>no'
+    ELSE '<!-->shown<!-- a --!>too<script src="x>y">no</script >last <3 & more' END"""
+_RAW_PARTS = "|".join(f"<{x}(?:[\\s/](?:[^''\">]|\"[^\"]*\"|''[^'']*'')*)?>.*?(?:</{x}(?:[\\s/][^>]*)?>|$)" for x in html.SKIPPED)
+
+
+@register(
+    "broken_page_segments",
+    # Markup goes in two steps, as the parts of a title are text; the references used are stated one by one.
+    f"""WITH b AS (SELECT page_id, {_BROKEN} AS html FROM pages),
+    c AS (SELECT page_id, regexp_replace(html, '(?is)<!---?>|<!--.*?(?:--!?>|$)|{_RAW_PARTS}', chr(57344), 'g') AS html FROM b),
+    d AS (SELECT page_id, CASE WHEN page_id % 9 = 6 THEN replace(replace(html, '<b>bold', chr(57345) || 'b>bold'), '</b> &amp; on', chr(57345) || '/b> &amp; on') ELSE html END AS html FROM c),
+    h AS (SELECT page_id, string_split(regexp_replace(html, '(?is)<[a-z/!?](?:[^''">]|"[^"]*"|''[^'']*'')*(?:>|$)|<[a-z/!?][^>]*(?:>|$)', chr(57344), 'g'), chr(57344)) AS g FROM d),
+    n AS (SELECT page_id, i, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(g[i],
+            '&copy;', '©'), '&copy', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&notit;', '¬it;'), '&#8364;', '€'), '&#x41', 'A'), '&#150;', '–'), '&amp;', '&'), '&amp', '&') AS text
+        FROM (SELECT page_id, g, unnest(range(1, len(g) + 1)) AS i FROM h) WHERE length(g[i]) > 0)
+    SELECT page_id, row_number() OVER w - 1 AS seg_no, (coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS start,
+        (sum(length(text)) OVER (w ROWS UNBOUNDED PRECEDING))::INT AS "end", replace(text, chr(57345), '<') AS text
+    FROM n WINDOW w AS (PARTITION BY page_id ORDER BY i)""",
+)
+def broken_page_segments(spark, sf_dir):
+    """Pages with one kind of broken markup each, as browsers read them."""
+    given = spread(table(spark, sf_dir, "pages")).selectExpr("page_id", f"{_BROKEN} AS html")
+    return html.html_segments(given, "page_id")
+
+
 @register(
     "page_text_findings",
     f"""WITH {_SEGMENTS}, src AS MATERIALIZED (SELECT page_id AS id, string_agg(text, '' ORDER BY seg_no) AS text FROM seg GROUP BY page_id),
