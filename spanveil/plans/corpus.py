@@ -9,7 +9,7 @@ from ..functions import checks, display, lexicons
 from ..functions.context import context_score
 from ..functions.patterns import LOWER, UPPER
 from ..functions.spans import quoted
-from ..operators import merge, redact, relocate, segments, stats
+from ..operators import merge, redact, relocate, risklog, segments, stats
 from ..operators.detect import detect, explode_findings, find_pii, spread, with_known_names
 from ..operators.detectors import all_candidates, default_detectors
 from ..sources import conversations, html, model
@@ -512,9 +512,7 @@ def relocate_first(spark, sf_dir):
     return rows.select("id", "f.type", "f.text", "f.start", "f.end")
 
 
-@register(
-    "redact_after_edit",
-    f"""{CONTACT}, {_EDITED},
+_AFTER_EDIT = f"""{CONTACT}, {_EDITED},
     o AS MATERIALIZED (SELECT f.id, type, t, CASE WHEN text = new THEN s ELSE strpos(new, t) - 1 END::INT AS place,
         row_number() OVER (PARTITION BY f.id ORDER BY s) AS i FROM f JOIN ed ON ed.id = f.id
         WHERE text = new OR strpos(new, t) > 0),
@@ -522,14 +520,41 @@ def relocate_first(spark, sf_dir):
     h0 AS (SELECT * FROM p WHERE false),
     {", ".join(f'''h{i} AS MATERIALIZED (SELECT * FROM h{i - 1} UNION ALL SELECT * FROM p x WHERE i = {i} AND NOT EXISTS (
         SELECT 1 FROM h{i - 1} k WHERE k.id = x.id AND NOT (x.e <= k.s OR x.s >= k.e)))''' for i in range(1, 13))},
-    live AS (SELECT id, new AS text FROM ed), {O.redacted_cte('live', 'h12', True)} SELECT id, redacted FROM red""",
-)
+    live AS (SELECT id, new AS text FROM ed), {O.redacted_cte('live', 'h12', True)}"""
+
+
+@register("redact_after_edit", f"{_AFTER_EDIT} SELECT id, redacted FROM red")
 def redact_after_edit(spark, sf_dir):
     """Redact everything in the edited text: relocate, number, splice."""
     moved = relocate.relocate_first(edited(spark, sf_dir), "findings", "text", "new_text")
     return redact.redact(moved, "new_text", "moved").select("id", "redacted")
 
 
+_WHEN = "TIMESTAMP '2024-03-01 08:00:00' + CAST(id AS int) * INTERVAL '1' SECOND"
+
+
+@register(
+    "redact_all_actions",
+    f"""{_AFTER_EDIT},
+    found AS (SELECT id, count(*) AS n, list(type ORDER BY s) AS types FROM f GROUP BY id)
+    SELECT 'scan_' || md5(id::VARCHAR) AS scan_id, array_to_string(types, ';') AS types, redacted, 'fix' AS user_action,
+        strftime(TIMESTAMP '2024-03-01 08:00:00' + to_seconds(id::BIGINT), '%Y-%m-%d %H:%M:%S') AS action_ts
+    FROM red JOIN found USING (id)""",
+)
+def redact_all_actions(spark, sf_dir):
+    """Redact everything in edited texts, and the actions of it on the scans' log entries."""
+    scans = edited(spark, sf_dir).select(
+        risklog.scan_id(F.col("id")).alias("scan_id"), "text", "findings", "new_text", F.expr(_WHEN).alias("ts"),
+        F.lit("typing").alias("source"), F.lit(None).cast("string").alias("filename"),
+    )
+    fixed = redact.redact_all(scans)
+    log = risklog.update_actions(risklog.risk_log(scans), fixed.select("scan_id", F.col("user_action").alias("action"), F.col("action_ts").alias("ts")))
+    return log.join(fixed.select("scan_id", "redacted"), "scan_id").select(
+        "scan_id", F.array_join(F.transform("risks", lambda r: r["type"]), ";").alias("types"), "redacted", "user_action",
+        F.date_format("action_ts", "yyyy-MM-dd HH:mm:ss").alias("action_ts"),
+    )
+
+
 @register(
     "relocate_one",
     f"""{CONTACT}, {_EDITED}, l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC) = 1),

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import versions
 from ..functions.display import risk_level
 from ..operators.alerts import ANSWER_MS, QUIET_MS
 from ..operators.detect import detect, explode_findings
+from ..operators.redact import redact_all
 from ..operators.risklog import update_actions
 from ..operators.stats import scan_counts
 from .ordered import ordered_by_event_time
 
 # Late-data policy: rows more than this behind the newest event are dropped.
 WATERMARK = "10 minutes"
-STATS_SCHEMA = "domain string, total long, high_risk long, medium_risk long, batch long"
+STATS_SCHEMA = "domain string, total long, high_risk long, medium_risk long"
+REDACTED_SCHEMA = "scan_id string, redacted string, user_action string, action_ts timestamp"
 ACTIONS_SCHEMA = "scan_id string, action string, ts timestamp, batch long"
 
 
@@ -184,33 +187,56 @@ def answered_log(log: DataFrame, path: str) -> DataFrame:
 
 
 def upsert_stats(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` writer that keeps the newest totals of all domains in one of two slots.
+    """A ``foreachBatch`` writer that keeps the newest totals of all domains.
 
-    Batch n takes the totals that batch n - 1 left in the other slot, replaces those of its own
-    domains, and overwrites its slot.  A replayed batch does the same again, so totals are counted
-    once, and storage is two rows for each domain.
+    Batch n takes the totals of the newest version before it, replaces those of its own domains, and
+    writes a version of its own; readers see it when its pointer is there, and the one before until
+    then.  A replayed batch does the same again, so totals are counted once.  Two versions are kept.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, slot = batch.sparkSession, f"{path}/slot={number % 2}"
-        fresh = batch.select("domain", "total", "high_risk", "medium_risk", F.lit(number).cast("long").alias("batch"))
-        if number:
-            kept = spark.read.schema(STATS_SCHEMA).parquet(f"{path}/slot={(number - 1) % 2}")
-            kept = kept.join(fresh.select("domain"), "domain", "left_anti").withColumn("batch", F.lit(number).cast("long"))
-            fresh = fresh.unionByName(kept.select(*fresh.columns))
-        fresh.write.mode("overwrite").parquet(slot)
+        spark = batch.sparkSession
+        fresh = batch.select("domain", "total", "high_risk", "medium_risk")
+        before = versions.read_current(spark, path, "totals", STATS_SCHEMA, below=number)
+        kept = before.join(fresh.select("domain"), "domain", "left_anti").select(*fresh.columns)
+        versions.commit(spark, path, number, {"totals": fresh.unionByName(kept)})
+        versions.forget(spark, path, "totals")
 
     return write
 
 
 def read_stats(spark, path: str) -> DataFrame:
     """Newest totals per domain from what ``upsert_stats`` wrote."""
-    fields = F.struct("total", "high_risk", "medium_risk")
-    rows = spark.read.schema(STATS_SCHEMA).parquet(path).groupBy("domain").agg(F.max_by(fields, "batch").alias("t"))
-    return rows.select("domain", "t.*")
+    return versions.read_current(spark, path, "totals", STATS_SCHEMA)
 
 
 def clear_stats(spark, path: str) -> None:
-    """Totals of nothing, in both slots; goes with clearing the log."""
-    for slot in (0, 1):
-        spark.createDataFrame([], STATS_SCHEMA).write.mode("overwrite").parquet(f"{path}/slot={slot}")
+    """Totals of nothing; goes with clearing the log."""
+    versions.commit(spark, path, 0, {"totals": spark.createDataFrame([], STATS_SCHEMA)}, fresh=True)
+
+
+def redact_all_writer(path: str, **options) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer of redacted texts and of the ``fix`` actions that go with them.
+
+    Batches hold ``scan_id, text, findings, new_text, ts``: what was found, the text as it is now,
+    and when all of it was to be redacted.  A batch is worked on once; its texts and its actions
+    appear together, and a replayed batch takes the place of its first version.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        versions.commit(spark, path, number, {
+            "texts": redact_all(batch, **options),
+            "actions": lambda done: spark.read.schema(REDACTED_SCHEMA).parquet(done["texts"]).selectExpr("scan_id", "user_action AS action", "action_ts AS ts"),
+        })
+
+    return write
+
+
+def redacted_texts(spark, path: str) -> DataFrame:
+    return versions.read_all(spark, path, "texts", REDACTED_SCHEMA)
+
+
+def fixed_log(log: DataFrame, path: str) -> DataFrame:
+    """The log with the ``fix`` actions that ``redact_all_writer`` wrote."""
+    return update_actions(log, versions.read_all(log.sparkSession, path, "actions", "scan_id string, action string, ts timestamp"))

@@ -4,9 +4,12 @@ import datetime as dt
 import os
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
+from spanveil import versions
 from spanveil.operators import alerts
+from spanveil.operators.detect import detect
 from spanveil.streaming import jobs
 
 START = dt.datetime(2024, 1, 1)
@@ -227,3 +230,66 @@ def test_action_join_takes_actions_stamped_before_the_scan(spark, tmp_path):
     acts = file_stream(spark, tmp_path / "a", "scan_id string, action string, ts timestamp", [[("a", "fix", at(10))], [("q", "fix", at(20_000_000))]])
     rows = run(spark, jobs.action_join(scans, acts), "early", tmp_path / "c").where("scan_id = 'a'").collect()
     assert [(r.scan_id, r.user_action) for r in rows] == [("a", "fix")]
+
+
+STATS = "domain string, total long, high_risk long, medium_risk long"
+
+
+@pytest.mark.parametrize("step", ["data", "pointer", "forget"])
+def test_statistics_survive_a_kill_at_any_write(spark, tmp_path, monkeypatch, step):
+    """A writer that ends between two writes leaves the old totals or the new ones, and a replay the new ones."""
+    path = str(tmp_path / "stats")
+    write = jobs.upsert_stats(path)
+    old, new = {("a", 1, 1, 0), ("b", 2, 0, 2)}, {("a", 5, 4, 1), ("b", 2, 0, 2)}
+    write(spark.createDataFrame([("a", 1, 1, 0), ("b", 2, 0, 2)], STATS), 0)
+    batch = spark.createDataFrame([("a", 5, 4, 1)], STATS)
+
+    def killed(*_, **__):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:
+        if step == "data":
+            patch.setattr(versions, "commit", killed)
+        else:
+            patch.setattr(versions, "_point" if step == "pointer" else "forget", killed)
+        with pytest.raises(RuntimeError, match="killed"):
+            write(batch, 1)
+    assert {tuple(r) for r in jobs.read_stats(spark, path).collect()} == (new if step == "forget" else old)
+    write(batch, 1)
+    assert {tuple(r) for r in jobs.read_stats(spark, path).collect()} == new
+
+
+def test_old_versions_of_statistics_are_removed(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    write = jobs.upsert_stats(path)
+    for number in range(6):
+        write(spark.createDataFrame([(f"d{number}", number, 0, 0)], STATS), number)
+    assert jobs.read_stats(spark, path).count() == 6
+    assert len(list((tmp_path / "stats" / "totals").iterdir())) == 2
+    assert len(list((tmp_path / "stats" / "pointers").glob("part-*.json"))) == 2
+    jobs.clear_stats(spark, path)
+    write(spark.createDataFrame([("z", 1, 0, 0)], STATS), 6)
+    assert [r.domain for r in jobs.read_stats(spark, path).collect()] == ["z"]
+
+
+def test_redact_all_writes_texts_and_actions_together(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "fixed")
+    rows = [("s1", "mail a@b.org and 07700 900123", "so mail a@b.org or 07700 900123 x", at(1)), ("s2", "nothing", "nothing", at(2)), ("s3", "c@d.org", "gone", at(3))]
+    found = detect(spark.createDataFrame(rows, "scan_id string, text string, new_text string, ts timestamp"))
+    write = jobs.redact_all_writer(path)
+    write(found, 0)
+    told = {("s1", "so mail [EMAIL_1] or [PHONE_1]    x", "fix"), ("s3", "gone", "fix")}
+    texts = lambda: {(r.scan_id, r.redacted, r.user_action) for r in jobs.redacted_texts(spark, path).collect()}
+    assert {(i, " ".join(t.split()), a) for i, t, a in texts()} == {(i, " ".join(t.split()), a) for i, t, a in told}
+    with monkeypatch.context() as patch:
+        patch.setattr(versions, "_point", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            write(found, 1)
+    assert len(texts()) == 2
+    # Replays of both batches write nothing twice.
+    for number in (0, 0, 1, 1):
+        write(found.where("scan_id <> 's3'") if number else found, number)
+    assert jobs.redacted_texts(spark, path).count() == 3
+    log = spark.createDataFrame([(i, at(0), [("email", 0.9)], "paste", None, None, None) for i in ("s1", "s2", "s3")], "scan_id string, ts timestamp, risks "
+                                "array<struct<type:string,confidence:double>>, source string, filename string, user_action string, action_ts timestamp")
+    assert {(r.scan_id, r.user_action) for r in jobs.fixed_log(log, path).collect()} == {("s1", "fix"), ("s2", None), ("s3", "fix")}
