@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import normalise_newlines, with_computed, with_starts
@@ -12,9 +12,12 @@ from .carry import running_sum
 from .detect import detect
 
 BIN = 1024
-# A part's own characters, and the characters it sees of its neighbours.
+# A part's own characters.
 PART_CHARS = 1 << 20
-HALO_CHARS = 10_000
+# Characters that no pass can have inside a match: matches and their conflicts never cross one.
+BREAK = r"[!?;\"'()\[\]{}<>=*&^$#~|\\`]"
+# At least the widest context window of a pass.
+HALO_CHARS = 128
 
 
 def segment_offsets(df: DataFrame, key: str, order: str, text_col: str, chunk_size: int = 1024) -> DataFrame:
@@ -25,35 +28,77 @@ def segment_offsets(df: DataFrame, key: str, order: str, text_col: str, chunk_si
     return df.withColumn("end", F.col("start") + F.length(text_col))
 
 
+def _part_bounds(placed: DataFrame, key: str, part_chars: int, halo_chars: int) -> DataFrame:
+    """Parts ``key, part, lo, hi``: their own segments' stretch, widened to a break and a context window.
+
+    A part owns the segments that start in its stretch of ``part_chars`` characters.  On either
+    side it goes on to the next break, however far that is, and ``halo_chars`` beyond.
+    """
+    # A segment's first break and the one after its last, by place in the whole text.
+    first = F.regexp_instr("segment", F.lit(BREAK))
+    last = F.when(first > 0, F.length(F.regexp_extract("segment", rf"(?s)\A.*({BREAK})", 0)))
+    marked = placed.select(
+        key, "seg_no", "start", "end", F.floor(F.col("start") / part_chars).alias("part"),
+        F.when(first > 0, F.col("start") + first).alias("first_break"), (F.col("start") + last).alias("last_break"),
+    )
+    own = marked.groupBy(key, "part").agg(
+        F.min("start").alias("a"), F.max("end").alias("b"), F.min("first_break").alias("first_break"), F.max("last_break").alias("last_break")
+    )
+    # One row per part: the last break of the parts before it, the first one of the parts after it.
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(key).orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    return own.select(
+        key, "part", "a", "b",
+        F.greatest(F.lit(0), F.coalesce(F.max("last_break").over(before), F.lit(0)) - halo_chars).alias("lo"),
+        (F.coalesce(F.min("first_break").over(after), F.max("b").over(Window.partitionBy(key))) + halo_chars).alias("hi"),
+    )
+
+
+def _long_parts(placed: DataFrame, key: str, part_chars: int, halo_chars: int) -> DataFrame:
+    """``key, part, s``: the segments of each part of long texts, cut to the stretch that the part sees."""
+    bounds = _part_bounds(placed, key, part_chars, halo_chars)
+    # Bins of part_chars characters bring parts and segments together; a pair is taken in its first bin.
+    seen = bounds.withColumn("bin", F.explode(F.expr(f"sequence(lo div {part_chars}, greatest(lo, hi - 1) div {part_chars})")))
+    lies = placed.select(
+        key, "seg_no", F.col("start").alias("s0"), F.col("end").alias("s1"),
+        F.explode(F.expr(f"sequence(start div {part_chars}, greatest(start, end - 1) div {part_chars})")).alias("bin"),
+    )
+    pairs = (
+        seen.join(lies, [key, "bin"]).where(f"bin = greatest(s0, lo) div {part_chars} AND (s0 < hi AND s1 > lo OR s0 div {part_chars} = part)")
+        .selectExpr(f"`{key}`", "part", "seg_no", "s0", f"s0 div {part_chars} = part AS own", "greatest(lo - s0, 0) AS cut", "least(s1, greatest(hi, b)) - s0 AS until")
+    )
+    cut = pairs.join(placed.select(key, "seg_no", "segment"), [key, "seg_no"]).select(
+        key, "part", "seg_no", "own", F.when(F.col("own"), 0).otherwise(F.col("cut")).cast("int").alias("cut"),
+        F.expr("CASE WHEN own THEN segment ELSE substring(segment, cast(cut AS int) + 1, cast(greatest(until - cut, 0) AS int)) END").alias("segment"),
+    )
+    return cut.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("seg_no", "segment", "own", "cut"))).alias("s"))
+
+
 def joined_parts(
     df: DataFrame, key: str, order: str, text_col: str, *, part_chars: int = PART_CHARS, halo_chars: int = HALO_CHARS
 ) -> DataFrame:
     """Join the ordered segments of each key into texts: key, part, text, segments.
 
     ``order`` is an ordinal from 0.  A key of at most ``part_chars`` characters is one text.  A
-    longer one is cut into parts at segment borders; each part also carries, on either side,
-    the neighbouring segments that hold the next ``halo_chars`` characters, however many they
-    are.  A match of up to that length less its context windows is seen whole, with its whole
-    context, by the part that owns the segment it starts in (``segments.own``).
+    longer one is cut into parts at segment borders.  Each part also carries what it must see of its
+    neighbours: up to the next character that can't be inside a match, and ``halo_chars`` (a context window) beyond.
+    A match, and a chain of matches that rule each other out, lie between two such characters; so
+    the part that owns the segment where a finding starts (``segments.own``) finds what the whole
+    text would give, however long matches are.  Passes of one's own must keep to ``BREAK`` too.
     """
-    placed = segment_offsets(
-        df.select(key, F.col(order).alias("seg_no"), F.col(text_col).alias("segment")), key, "seg_no", "segment"
-    )
-    own = F.floor(F.col("start") / part_chars)
-    # Parts whose stretch, widened by the halo, the segment touches; an own segment is in its part.
-    first = F.greatest(F.lit(0), F.floor((F.col("start") - halo_chars) / part_chars))
-    last = F.floor((F.col("end") + halo_chars) / part_chars)
-    rows = placed.select(
-        key, "seg_no", "segment", own.alias("home"), F.explode(F.sequence(first, last)).alias("part")
-    ).withColumn("own", F.col("home") == F.col("part"))
-    grouped = (
-        rows.groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("seg_no", "segment", "own"))).alias("s"), F.max("own").alias("real"))
-        .where("real")
+    rows = df.select(key, F.col(order).alias("seg_no"), normalise_newlines(F.col(text_col)).alias("segment"))
+    total = rows.groupBy(key).agg(F.sum(F.length("segment")).alias("__total"))
+    rows = rows.join(total, key)
+    whole = (
+        rows.where(F.col("__total") <= part_chars).groupBy(key)
+        .agg(F.array_sort(F.collect_list(F.struct("seg_no", "segment", F.lit(True).alias("own"), F.lit(0).alias("cut")))).alias("s"))
+        .select(key, F.lit(0).cast("long").alias("part"), "s")
     )
+    placed = segment_offsets(rows.where(F.col("__total") > part_chars).drop("__total"), key, "seg_no", "segment")
+    grouped = whole.unionByName(_long_parts(placed, key, part_chars, halo_chars))
     grouped = with_starts(grouped.withColumn("__segments", F.expr("transform(s, x -> x.segment)")), "__segments", "__starts")
     segments = """transform(s, (x, i) -> named_struct('seg_no', x.seg_no, 'start', __starts[i],
-        'end', __starts[i] + length(x.segment), 'own', x.own))"""
+        'end', __starts[i] + length(x.segment), 'own', x.own, 'cut', x.cut))"""
     return grouped.select(
         key, "part", F.expr("array_join(__segments, '')").alias("text"), F.expr(segments).alias("segments")
     )
@@ -84,8 +129,8 @@ def segment_findings(df: DataFrame, key: str, order: str, text_col: str, **optio
     rows = placed.select(key, F.explode_outer("placed").alias("p")).where("p.s.own")
     return rows.select(
         key, F.col("p.s.seg_no").alias("start_seg"), F.col("p.e.seg_no").alias("end_seg"),
-        "p.f.type", "p.f.text", (F.col("p.f.start") - F.col("p.s.start")).alias("start"),
-        (F.col("p.f.end") - F.col("p.e.start")).alias("end"), "p.f.confidence", "p.f.severity",
+        "p.f.type", "p.f.text", (F.col("p.f.start") - F.col("p.s.start") + F.col("p.s.cut")).alias("start"),
+        (F.col("p.f.end") - F.col("p.e.start") + F.col("p.e.cut")).alias("end"), "p.f.confidence", "p.f.severity",
     )
 
 

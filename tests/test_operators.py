@@ -195,6 +195,45 @@ def test_parts_lose_no_finding(spark):
     assert any(f[0] == 9 and "passport" in f[3] for f in found[0])
 
 
+def test_matches_longer_than_any_part_are_found(spark):
+    """50,000 characters inside one IBAN, a run of 9,000 words before a street, chains of claims over borders."""
+    iban = "GB29 NWBK" + " " * 50_000 + "6016 1331 9268 19"
+    address = "5 High" + " word" * 9000 + " Street, London"
+    chain = " ".join("4111 1111 1111 1111 07700 900123" for _ in range(400))
+    texts = [f"pay! {iban} now; {address} then", f"note: {chain}", "x " * 200 + f"passport{' ' * 50}123456789! {iban}" + " y" * 300]
+    rows = [(k, i, t[at : at + 700]) for k, t in enumerate(texts) for i, at in enumerate(range(0, len(t), 700))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(4)
+    found = [
+        sorted(map(tuple, segments.segment_findings(turns, "conv_id", "turn", "text", part_chars=size).collect()))
+        for size in (1 << 20, 20_000, 3000)
+    ]
+    assert {"iban", "address", "passport", "card_number"} <= {r[3] for r in found[0]}
+    assert found[1] == found[0] and found[2] == found[0]
+
+
+def test_a_part_takes_only_the_stretch_it_needs(spark):
+    turns = spark.createDataFrame([(1, 0, "a" * 50_000 + "! "), (1, 1, "mail a@b.com! "), (1, 2, "! " + "b" * 50_000)], "conv_id long, turn long, text string")
+    parts = segments.joined_parts(turns, "conv_id", "turn", "text", part_chars=100).collect()
+    sizes = sorted(len(r.text) for r in parts)
+    assert len(sizes) == 2 and sizes[0] <= 50_300 and sum(sizes) <= 100_600
+
+
+def test_no_match_holds_a_break(spark):
+    """What parts are cut by: no pass has one of these characters inside a match."""
+    import random
+    import re
+
+    from spanveil.operators.detect import explode_findings
+
+    rng = random.Random(3)
+    pieces = ["12-34-56", "12345678", "GB29 NWBK 6016 1331 9268 19", "NI AB 12 34 56 C", "5 High Street", "London", "a.b", "@", "c.org", "Mr", "John", "Smith", "Account:", "+44",
+              "7700", "900123", "10.0.0.1", "12/03/1990", "March", " ", "\n", "\t", ",", ".", "-", "/", ":", "_", "%", *"!?;\"'()[]{}<>=*&^$#~|\\`", "123456789", "passport", "SW1A 1AA", "JOHN SMITH"]
+    texts = [(k, "".join(rng.choice(pieces) + rng.choice(["", " ", ""]) for _ in range(60))) for k in range(400)]
+    found = explode_findings(detect(spark.createDataFrame(texts, "id int, text string"), resolve_overlaps=False), ["id"]).collect()
+    assert len({r.type for r in found}) >= 8
+    assert not [r.text for r in found if re.search(segments.BREAK, r.text)]
+
+
 def test_exactly_one_entry_gets_the_action(spark):
     risks = "array(named_struct('type', 'email', 'confidence', 0.9D))"
     log = spark.sql(f"""SELECT scan_id, timestamp_seconds(ts) AS ts, {risks} AS risks, 'file' AS source, name AS filename,
