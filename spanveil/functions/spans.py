@@ -45,6 +45,19 @@ def push(item: str) -> str:
 GATHERED = "flatten(acc.out || array(acc.buf))"
 
 
+def count_while(array: str, holds: str) -> str:
+    """SQL for the number of leading elements ``__x`` of an array for which ``holds`` is true, by halving.
+
+    ``holds`` must be true up to some element and false from there on.
+    """
+    middle = "(__h.lo + __h.hi) div 2"
+    return f"""aggregate(sequence(1, length(bin(size({array})))), named_struct('lo', 0L, 'hi', CAST(size({array}) AS bigint)),
+        (__h, __i) -> CASE WHEN __h.lo >= __h.hi THEN __h
+            WHEN transform(array(get({array}, CAST({middle} AS int))), __x -> {holds})[0] THEN named_struct('lo', {middle} + 1, 'hi', __h.hi)
+            ELSE named_struct('lo', __h.lo, 'hi', {middle}) END,
+        __h -> CAST(__h.lo AS int))"""
+
+
 def one_of(x: str, terms) -> str:
     return f"{x} IN ({', '.join(quoted(t) for t in terms)})"
 

@@ -5,27 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import with_computed
+from ..functions.spans import count_while, with_computed
+from .resolve import CLAIMS_TYPE, overlapped
 
-_MOVED = "named_struct('start', {at}, 'end', {at} + length(f.text), 'type', f.type, 'text', f.text)"
 MOVED_TYPE = "array<struct<start:int,end:int,type:string,text:string>>"
+# Findings that share one copy of the text that is left, and one sorting of the places taken.
+GROUP = 256
+
+
+def _grouped(findings: str) -> str:
+    """SQL for the findings in groups of ``GROUP``, in order."""
+    return f"""transform(sequence(0, (size({findings}) - 1) div {GROUP}), g -> slice({findings}, g * {GROUP} + 1, {GROUP}))"""
 
 
 def relocate_ordered(df: DataFrame, findings: str, new_text: str, out: str = "moved") -> DataFrame:
     """Look for each finding from the end of the previous one on, left to right.
 
-    The result is null as soon as one finding is missing.
+    The result is null as soon as one finding is missing.  A group of findings looks through the
+    text from where the last group ended, so finding the way to a place costs no more than a group.
+    The text that is left is no part of a state, which would be copied at each step.
     """
-    hit = f"locate(f.text, {new_text}, acc.pos + 1)"
-    moved = _MOVED.format(at=f"({hit} - 1)")
-    body = f"""aggregate(
-        array_sort({findings}),
+    moved = "named_struct('start', acc.pos + h - 1, 'end', acc.pos + h - 1 + length(f.text), 'type', f.type, 'text', f.text)"
+    group = f"""transform(array(substring({new_text}, acc.pos + 1)), rest -> aggregate(fs,
         named_struct('pos', 0, 'found', true, 'moved', CAST(array() AS {MOVED_TYPE})),
-        (acc, f) -> CASE WHEN acc.found AND {hit} > 0
-            THEN named_struct('pos', {hit} - 1 + length(f.text), 'found', true,
-                              'moved', acc.moved || array({moved}))
-            ELSE named_struct('pos', acc.pos, 'found', false, 'moved', acc.moved) END,
-        acc -> CASE WHEN acc.found THEN acc.moved END)"""
+        (inner, f) -> CASE WHEN inner.found THEN transform(array(locate(f.text, rest, inner.pos + 1)), h -> CASE WHEN h > 0
+                THEN named_struct('pos', h - 1 + length(f.text), 'found', true, 'moved', inner.moved || array({moved}))
+                ELSE named_struct('pos', inner.pos, 'found', false, 'moved', inner.moved) END)[0]
+            ELSE inner END))[0]"""
+    body = f"""CASE WHEN size({findings}) = 0 THEN CAST(array() AS {MOVED_TYPE}) ELSE transform(array(array_sort({findings})), sorted -> aggregate(
+        {_grouped('sorted')},
+        named_struct('pos', 0, 'found', true, 'groups', CAST(array() AS array<{MOVED_TYPE}>)),
+        (acc, fs) -> CASE WHEN acc.found
+            THEN transform(array({group}), g -> named_struct('pos', acc.pos + g.pos, 'found', g.found, 'groups', acc.groups || array(g.moved)))[0]
+            ELSE acc END,
+        acc -> CASE WHEN acc.found THEN flatten(acc.groups) END))[0] END"""
     return with_computed(df, out, body)
 
 
@@ -36,19 +49,32 @@ def relocate_first(
     """Look for the first occurrence of each finding; missing ones are dropped.
 
     An unchanged text keeps its findings.  Findings that land on text already taken by an
-    earlier one are left out and counted in ``collapsed``.
+    earlier one are left out and counted in ``collapsed``.  Each distinct text is looked for once, from
+    the beginning: that costs the number of distinct texts times the places of their first occurrences.
+    Places taken are a sorted array, brought up to date once a group of findings.
     """
-    same = _MOVED.format(at="f.start")
-    moved = _MOVED.format(at=f"(locate(f.text, {new_text}) - 1)")
+    same = "named_struct('start', f.start, 'end', f.start + length(f.text), 'type', f.type, 'text', f.text)"
+    needles = f"array_sort(array_distinct(transform({findings}, f -> f.text)))"
+    places = f"transform({needles}, n -> named_struct('text', n, 'at', locate(n, {new_text}) - 1))"
+    at = f"get(__places, {count_while('__places', '__x.text < f.text')}).at"
+    moved = f"""transform(filter(transform(array_sort({findings}), f -> named_struct('f', f, 'at', {at})), m -> m.at >= 0),
+        m -> named_struct('start', m.at, 'end', m.at + length(m.f.text), 'type', m.f.type, 'text', m.f.text))"""
+    taken = f"(exists(inner, k -> f.end > k.start AND f.start < k.end) OR {overlapped('acc.claims', 'f.start', 'f.end')})"
     body = f"""CASE WHEN {old_text} = {new_text} THEN transform({findings}, f -> {same})
+        WHEN size(__moved) = 0 THEN CAST(array() AS {MOVED_TYPE})
         ELSE aggregate(
-            transform(filter(array_sort({findings}), f -> locate(f.text, {new_text}) > 0), f -> {moved}),
-            CAST(array() AS {MOVED_TYPE}),
-            (kept, f) -> CASE WHEN exists(kept, k -> NOT (f.end <= k.start OR f.start >= k.end))
-                THEN kept ELSE kept || array(f) END,
-            kept -> array_sort(kept)) END"""
-    present = f"""size(filter({findings}, f -> {old_text} = {new_text} OR locate(f.text, {new_text}) > 0))"""
-    return with_computed(df, out, body).withColumn(collapsed, F.expr(f"{present} - size({out})"))
+            {_grouped('__moved')},
+            named_struct('claims', CAST(array() AS {CLAIMS_TYPE}), 'groups', CAST(array() AS array<{MOVED_TYPE}>)),
+            (acc, fs) -> transform(
+                array(aggregate(fs, CAST(array() AS {MOVED_TYPE}), (inner, f) -> CASE WHEN {taken} THEN inner ELSE inner || array(f) END)),
+                kept -> named_struct(
+                    'claims', array_sort(acc.claims || transform(kept, f -> named_struct('s', f.start, 'e', f.end))),
+                    'groups', acc.groups || array(kept)))[0],
+            acc -> array_sort(flatten(acc.groups))) END"""
+    present = f"CASE WHEN {old_text} = {new_text} THEN size({findings}) ELSE size(__moved) END"
+    df = with_computed(df, "__places", f"CASE WHEN {old_text} = {new_text} THEN array() ELSE {places} END")
+    df = with_computed(df, "__moved", f"CASE WHEN {old_text} = {new_text} THEN CAST(array() AS {MOVED_TYPE}) ELSE {moved} END")
+    return with_computed(df, out, body).withColumn(collapsed, F.expr(f"{present} - size({out})")).drop("__places", "__moved")
 
 
 def relocate_one(df: DataFrame, finding: str, new_text: str, out: str = "moved") -> DataFrame:

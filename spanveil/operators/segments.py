@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import normalise_newlines, with_computed, with_starts
+from ..functions.spans import count_while, normalise_newlines, with_computed, with_starts
 from .carry import running_sum
 from .detect import detect
 
@@ -173,7 +173,23 @@ def raw_offset(raw_text: str, position: str) -> str:
     # Piece i ends, in normalised text, before the (i + 1)th pair; count the pairs passed.
     passed = f"""aggregate(slice({pairs}, 1, size({pairs}) - 1),
         named_struct('pos', 0, 'n', 0),
-        (acc, p) -> named_struct('pos', acc.pos + length(p) + 1,
-            'n', acc.n + CASE WHEN acc.pos + length(p) + 1 <= {position} THEN 1 ELSE 0 END),
-        acc -> acc.n)"""
+        (__acc, __piece) -> named_struct('pos', __acc.pos + length(__piece) + 1,
+            'n', __acc.n + CASE WHEN __acc.pos + length(__piece) + 1 <= {position} THEN 1 ELSE 0 END),
+        __acc -> __acc.n)"""
     return f"({position} + {passed})"
+
+
+def with_raw_offsets(df: DataFrame, raw_col: str, findings: str = "findings") -> DataFrame:
+    """Add ``raw_start`` and ``raw_end`` to each finding of a newline-normalised text.
+
+    The places of the ``\\r\\n`` pairs are worked out once per text, and each offset looks up, by
+    halving, how many of them are before it.
+    """
+    df = with_starts(df.withColumn("__pieces", F.split(F.coalesce(F.col(raw_col), F.lit("")), "\r\n")), "__pieces", "__starts")
+    # Piece i begins, in normalised text, i characters later than in the joined pieces: after its pair.
+    df = with_computed(df, "__pairs", "transform(slice(__starts, 2, size(__starts)), (s, i) -> s + i + 1)")
+    raw = lambda p: f"{p} + {count_while('__pairs', f'__x <= {p}')}"
+    # The end of a span belongs to its last character.
+    fields = "'start', f.start, 'end', f.end, 'type', f.type, 'text', f.text, 'confidence', f.confidence, 'severity', f.severity"
+    made = f"transform({findings}, f -> named_struct({fields}, 'raw_start', {raw('f.start')}, 'raw_end', {raw('(f.end - 1)')} + 1))"
+    return with_computed(df, findings, made).drop("__pieces", "__starts", "__pairs")

@@ -708,5 +708,5 @@ _CRLF = "replace(replace(text, '; ', chr(13) || chr(10)), ' ', CASE WHEN id % 2
 def raw_offsets(spark, sf_dir):
     raw = derived_text(spark, sf_dir, "contact").selectExpr("id", f"{_CRLF} AS raw")
     found = detect(raw.withColumn("text", F.col("raw")), detectors=detectors(*CONTACT_RANKS))
-    rows = found.select("id", "raw", F.explode_outer("findings").alias("f")).where("f is not null")
-    return rows.select("id", "f.type", "f.start", F.expr(segments.raw_offset("raw", "f.start")).alias("raw_start"))
+    rows = segments.with_raw_offsets(found, "raw").select("id", F.explode_outer("findings").alias("f")).where("f is not null")
+    return rows.select("id", "f.type", "f.start", "f.raw_start")

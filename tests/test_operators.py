@@ -278,3 +278,86 @@ def test_daily_badges_gather_types_not_events(spark, tmp_path):
     assert [r.badges for r in df.collect()] == ["a b 0,a b 1,a b 2"]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "min(" in plan, "events are cut down to their types before they are collected"
+
+
+def plain_resolve(candidates):
+    """Passes in order; a candidate that overlaps one kept goes; claims beforehand stay."""
+    kept = []
+    for c in sorted(candidates, key=lambda c: (c[1], c[2])):
+        if c[1] == 0 or all(c[3] <= k[2] or c[0] >= k[3] for k in kept):
+            kept.append(c)
+    return sorted(kept)
+
+
+def test_resolution_by_plain_greedy_choice(spark):
+    import random
+
+    from spanveil.operators.detectors import CANDIDATE_TYPE
+    from spanveil.operators.resolve import resolve
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(300):
+        made, used = [], set()
+        for _ in range(rng.randint(0, 30)):
+            start, rank = rng.randint(0, 60), rng.randint(0 if k % 3 == 0 else 1, 6)
+            end = start + rng.randint(1, 12)
+            # A pass's own matches are apart.
+            if rank and any((rank, p) in used for p in range(start - 2, end + 2)):
+                continue
+            used |= {(rank, p) for p in range(start, end)}
+            made.append((start, rank, start + (rng.randint(0, min(2, end - start - 1)) if rank else 0), end, "t", f"x{start}", 0.5))
+        rows.append((k, made))
+    df = spark.createDataFrame(rows, f"id int, c {CANDIDATE_TYPE}")
+    found = {r.id: [tuple(c) for c in r.kept] for r in df.select("id", F.expr(f"{resolve('c')} AS kept")).collect()}
+    for k, made in rows:
+        assert sorted(found[k]) == plain_resolve(made), made
+
+
+def seconds(make, size):
+    """The best of three runs on one row with ``size`` findings, after the first, which compiles."""
+    import time
+
+    run = make(size)
+    run()
+    times = []
+    for _ in range(3):
+        begun = time.perf_counter()
+        run()
+        times.append(time.perf_counter() - begun)
+    return min(times)
+
+
+def test_long_chains_and_long_edits_cost_little_more_than_their_length(spark):
+    """Twice the findings take far less than four times as long, where pairs would."""
+    from spanveil.operators.detectors import CANDIDATE_TYPE
+    from spanveil.operators.resolve import resolve
+
+    def chain(n):
+        rows = [(10 * i, i % 25 + 1, 10 * i, 10 * i + 13, "t", "x", 0.5) for i in range(n)]
+        df = spark.createDataFrame([(1, rows)], f"id int, c {CANDIDATE_TYPE}").cache()
+        return lambda: df.select(F.expr(f"size({resolve('c')})")).collect()
+
+    def edit(n):
+        text, found = "", []
+        for i in range(n):
+            word = f"u{i}@m{i % 97}.org"
+            found.append((len(text) + 4, len(text) + 4 + len(word), "email", word))
+            text += f"see {word} ok "
+        df = spark.createDataFrame([(1, "edited " + text, found)], "id int, new string, f array<struct<start:int,end:int,type:string,text:string>>").cache()
+        return lambda: relocate.relocate_ordered(df, "f", "new").select(F.size("moved")).collect()
+
+    for make in (chain, edit):
+        assert seconds(make, 20_000) < 3.2 * seconds(make, 10_000) + 0.2
+
+
+def test_raw_offsets_of_any_text(spark):
+    import random
+
+    rng = random.Random(4)
+    raws = ["".join(rng.choice(["\r\n", "\r", "\n", "a", "é", "🙂", " mail a@b.org "]) for _ in range(60)) for _ in range(60)]
+    df = detect(spark.createDataFrame([(k, r, r) for k, r in enumerate(raws)], "id int, p string, text string"))
+    for r in segments.with_raw_offsets(df, "p").collect():
+        for f in r.findings:
+            assert raws[r.id][f.raw_start : f.raw_end] == f.text
+            assert f.raw_start == df.sparkSession.createDataFrame([(raws[r.id], f.start)], "p string, q int").selectExpr(segments.raw_offset("p", "q")).first()[0] if f.start < 12 else True
