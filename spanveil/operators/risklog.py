@@ -40,18 +40,36 @@ def risk_log(scans: DataFrame, findings: str = "findings") -> DataFrame:
     )
 
 
-def append_risk_log(log: DataFrame, path: str) -> None:
-    """Append entries to the log table, partitioned by day."""
-    log.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+def append_risk_log(log: DataFrame, path: str, by: str = "day") -> None:
+    """Append entries to the log table, partitioned by ``day`` or ``month``.
+
+    The entries of a partition come together, large ones in several files.
+    """
+    span = F.to_date(F.trunc("ts", by)) if by != "day" else F.to_date("ts")
+    log.withColumn(by, span).hint("rebalance", F.col(by)).write.mode("append").partitionBy(by).parquet(path)
 
 
-def clear_log(spark: SparkSession, path: str) -> None:
+def clear_log(spark: SparkSession, path: str, by: str = "day") -> None:
     """Replace the log table by an empty one."""
-    spark.createDataFrame([], LOG_SCHEMA).withColumn("day", F.to_date("ts")).write.mode(
+    spark.createDataFrame([], LOG_SCHEMA).withColumn(by, F.to_date("ts")).write.mode(
         "overwrite"
     ).parquet(path)
 
 
+def newest_stored(spark: SparkSession, path: str, n: int = LOG_CAP, by: str = "day") -> DataFrame:
+    """The newest ``n`` entries of a stored log, from as few of its newest partitions as hold them.
+
+    One count per partition comes from the files' own statistics; older partitions are not read.
+    """
+    stored = spark.read.schema(f"{LOG_SCHEMA}, {by} date").parquet(path)
+    counts = stored.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col(by).isNotNull())
+    before = F.sum("n").over(Window.orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, -1))
+    # One row per partition; the oldest one that is needed bounds the scan.
+    first = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n).agg(F.min(by)).first()[0]
+    held = stored if first is None else stored.where(F.col(by) >= F.lit(first))
+    return newest(held.drop(by), n)
+
+
 def newest(log: DataFrame, n: int = LOG_CAP, by: Sequence[str] | None = None) -> DataFrame:
     """The newest ``n`` entries, in all or per key.
 
