@@ -23,7 +23,7 @@ state here.  No place is looked at again.  Many words are stepped through at onc
 each at a time.  Decoding emits the labels of the arcs.
 
 Splitting into words (normalisation, the pattern, special strings) is done by the tokenizer
-file's own steps; for ASCII they are one pattern.  They never cross white space, so a worker keeps
+file's own steps; for ASCII and Latin letters they are one pattern.  They never cross white space, so a worker keeps
 the result of each distinct piece in a bounded cache, and steps through the new ones of many texts together.
 
 Defined cases: a null text counts as empty; an empty text has no tokens and decodes to an empty
@@ -337,10 +337,14 @@ class Generations:
         return whole
 
 
-#: White space ends a string.  A string with a byte beyond ASCII is one match, others are split as the tokenizer file does.
-_ASCII = rb"'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]|[A-Za-z]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9\x80-\xFF]+"
-ASCII_PIECES = re.compile(_ASCII)
-PIECES = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\x80-\xFF]*+[\x80-\xFF][^\x20\x09-\x0D]*|" + _ASCII)
+#: What is neither ASCII nor a plain Latin letter: of U+00C0 to U+024F all are letters that the normaliser only
+#: lower-cases, but for two signs and U+0130.  Bytes of a text without these are ASCII or parts of letters.
+_OTHER = re.compile(rb"[\xC2\xCA-\xFF]|\xC3[\x97\xB7]|\xC4\xB0|\xC9[\x90-\xBF]")
+#: White space ends a string.  Such texts are split as the tokenizer file does; of others a string beyond ASCII is one match.
+_WORDS = rb"'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]|[A-Za-z\x80-\xFF]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9\x80-\xFF]+"
+LATIN_PIECES = re.compile(_WORDS)
+PIECES = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\x80-\xFF]*+[\x80-\xFF][^\x20\x09-\x0D]*|" + _WORDS)
+_ONE_WORD = re.compile(rb"[A-Za-z\x80-\xFF]+").fullmatch
 
 
 _SPACE = re.compile(r"\s").search
@@ -369,9 +373,9 @@ class Encoder:
         return b"".join([packed[i] for i in ids]), b"".join([labels[i] for i in ids])
 
     def pieces(self, raw: bytes) -> list[bytes]:
-        """What a text is looked up by: ASCII words, strings with other characters, special strings."""
+        """What a text is looked up by: words, strings with characters beyond Latin letters, special strings."""
         if self.specials is None or not self.specials.search(raw):
-            return (ASCII_PIECES if raw.isascii() else PIECES).findall(raw)
+            return (PIECES if _OTHER.search(raw) else LATIN_PIECES).findall(raw)
         out: list[bytes] = []
         for k, part in enumerate(self.specials.split(raw)):
             out += [part] if k % 2 else PIECES.findall(part)
@@ -397,7 +401,9 @@ class Encoder:
         return out
 
     def encoded(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        split: list = [[p.lower()] if p.isascii() else None for p in pieces]
+        split: list = [
+            [p.lower()] if p.isascii() else [p.decode().lower().encode()] if _ONE_WORD(p) and not _OTHER.search(p) else None for p in pieces
+        ]
         for k, piece in enumerate(pieces):
             if piece in self.special:
                 split[k] = []

@@ -129,6 +129,19 @@ def test_forgotten_pieces_are_encoded_again(library, monkeypatch):
         assert ids == b"".join(i.to_bytes(4, "little") for i in told) and decoded.decode() == library.decode(told, skip_special_tokens=False)
 
 
+def test_latin_letters_are_split_and_lowered_as_the_library_does(library):
+    import random
+
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0xA0, 0x260)]
+    texts = [f"a{c}b {c}{c} 1{c}x {c}." for c in letters] + ["".join(rng.choice([*letters, "a", "Z", " ", "'s", ".", "7", "\u0301"]) for _ in range(12)) for _ in range(3000)]
+    made = bpe.Encoder(bpe.compiled(tokenizer()))
+    for text, (ids, decoded) in zip(texts, made.texts([t.encode() for t in texts]), strict=True):
+        told = library.encode(text, add_special_tokens=False).ids
+        assert ids == b"".join(i.to_bytes(4, "little") for i in told), text
+        assert decoded.decode() == library.decode(told, skip_special_tokens=False)
+
+
 @pytest.mark.parametrize("operator", [lambda docs, path: bpe.digested(docs, path), lambda docs, path: token_counts.token_counts(docs, path)])
 def test_other_tokenizer_files_are_refused(docs, operator):
     with pytest.raises(ValueError, match="word ends"):
