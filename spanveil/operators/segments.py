@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import count_while, normalise_newlines, with_computed, with_starts
-from .carry import running_sum
+from .carry import last_before, running_sum
 from .detect import detect
 
-BIN = 1024
 # A part's own characters.
 PART_CHARS = 1 << 20
 # Characters that no pass can have inside a match: matches and their conflicts never cross one.
@@ -134,27 +133,24 @@ def segment_findings(df: DataFrame, key: str, order: str, text_col: str, **optio
     )
 
 
-def findings_to_segments(findings: DataFrame, segments: DataFrame, key: str, seg: str = "seg_no") -> DataFrame:
+def findings_to_segments(findings: DataFrame, segments: DataFrame, key: str, seg: str = "seg_no", chunk_chars: int = 1 << 16) -> DataFrame:
     """Map a findings table onto a segments table by offsets.
 
-    The start belongs to the first segment that ends after it, the end to the first that ends
-    at or after it.  Segments are spread over position bins and each end point looks into its
-    own bin only, so one key never pairs all its findings with all its segments.
+    The start belongs to the segment of its character, the end to that of the last one.  Segments
+    and points lie in one order of places, and each point takes the last segment that began before
+    it.  That is done in chunks of places, so no key is sorted in one task.
     """
-    bins = segments.where(F.col("end") > F.col("start")).select(
-        key, F.col(seg).alias("seg"), F.col("start").alias("s0"), F.col("end").alias("s1"),
-        F.explode(
-            F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))
-        ).alias("bin"),
+    begins = segments.where(F.col("end") > F.col("start")).select(
+        key, F.col("start").cast("long").alias("__at"), F.lit(0).alias("__kind"), F.struct(F.col(seg).alias("seg"), F.col("start").alias("base")).alias("__seg"),
     )
 
-    def locate(rows: DataFrame, point: Column, name: str) -> DataFrame:
-        # ``point`` is the position of a character, which exactly one segment holds.
-        at = rows.withColumn("__at", point).withColumn("bin", F.floor(F.col("__at") / BIN))
-        hit = at.join(bins, [key, "bin"]).where("s0 <= __at AND __at < s1")
-        return hit.withColumn(f"{name}_seg", F.col("seg")).withColumn(f"{name}_base", F.col("s0")).drop(
-            "bin", "seg", "s0", "s1", "__at"
-        )
+    def locate(rows: DataFrame, place: Column, name: str) -> DataFrame:
+        names = rows.columns
+        points = rows.select(key, place.cast("long").alias("__at"), F.lit(1).alias("__kind"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+        both = begins.unionByName(points, allowMissingColumns=True)
+        chunk = F.floor(F.col("__at") / chunk_chars)
+        found = last_before(both, [key], ["__at", "__kind"], chunk, {"__held": F.col("__seg")}).where("__kind = 1 AND __held IS NOT NULL")
+        return found.select("__row.*", F.col("__held.seg").alias(f"{name}_seg"), F.col("__held.base").alias(f"{name}_base"))
 
     placed = locate(locate(findings, F.col("start"), "start"), F.col("end") - 1, "end")
     return (
@@ -164,6 +160,19 @@ def findings_to_segments(findings: DataFrame, segments: DataFrame, key: str, seg
     )
 
 
+def in_segments(df: DataFrame, segments: str, findings: str = "findings") -> DataFrame:
+    """Add to each finding the numbers of the segments it starts and ends in, and its offsets there, inside the row.
+
+    ``segments`` is an array of ``(start, end, ...)`` without empty ones, in the order of the text.
+    """
+    first, last = count_while(segments, "__x.end <= f.start"), count_while(segments, "__x.end < f.end")
+    fields = "'start', f.start, 'end', f.end, 'type', f.type, 'text', f.text, 'confidence', f.confidence, 'severity', f.severity"
+    made = f"""transform(transform({findings}, f -> named_struct('f', f, 'a', {first}, 'b', {last})), p -> transform(array(p.f), f -> named_struct({fields},
+        'start_seg', CAST(p.a AS bigint), 'end_seg', CAST(p.b AS bigint),
+        'local_start', f.start - get({segments}, p.a).start, 'local_end', f.end - get({segments}, p.b).start))[0])"""
+    return with_computed(df, findings, made)
+
+
 def raw_offset(raw_text: str, position: str) -> str:
     """SQL turning an offset in newline-normalised text into one in the raw text.
 

@@ -680,19 +680,28 @@ def broken_page_segments(spark, sf_dir):
     return html.html_segments(given, "page_id")
 
 
-@register(
-    "page_text_findings",
-    f"""WITH {_SEGMENTS}, src AS MATERIALIZED (SELECT page_id AS id, string_agg(text, '' ORDER BY seg_no) AS text FROM seg GROUP BY page_id),
+_PAGE_TEXT_FINDINGS = f"""WITH {_SEGMENTS}, src AS MATERIALIZED (SELECT page_id AS id, string_agg(text, '' ORDER BY seg_no) AS text FROM seg GROUP BY page_id),
     {O.finding_ctes('src')}
     SELECT f.id AS page_id, type, t AS text, s AS start, e AS "end", conf AS confidence, x.seg_no::BIGINT AS start_seg, y.seg_no::BIGINT AS end_seg,
         s - x.start AS local_start, e - y.start AS local_end
     FROM f JOIN seg x ON x.page_id = f.id AND x.start <= s AND s < x.start + length(x.text)
-        JOIN seg y ON y.page_id = f.id AND y.start < e AND e <= y.start + length(y.text)""",
-)
+        JOIN seg y ON y.page_id = f.id AND y.start < e AND e <= y.start + length(y.text)"""
+
+
+@register("page_text_findings", _PAGE_TEXT_FINDINGS)
 def page_text_findings(spark, sf_dir):
+    """Findings of pages with the text nodes they start and end in, all inside the row."""
+    found = segments.in_segments(detect(html.page_text(pages(spark, sf_dir))), "nodes")
+    rows = found.select("page_id", F.explode_outer("findings").alias("f")).where("f IS NOT NULL")
+    return rows.select("page_id", "f.type", "f.text", "f.start", "f.end", "f.confidence", "f.start_seg", "f.end_seg", "f.local_start", "f.local_end")
+
+
+@register("page_findings_by_place", _PAGE_TEXT_FINDINGS)
+def page_findings_by_place(spark, sf_dir):
+    """The same from two tables, findings and segments, in one order of places."""
     given = pages(spark, sf_dir)
     found = find_pii(html.page_text(given), ["page_id"]).drop("severity")
-    return segments.findings_to_segments(found, html.html_segments(given, "page_id"), "page_id")
+    return segments.findings_to_segments(found, html.html_segments(given, "page_id"), "page_id", chunk_chars=512)
 
 
 _CRLF = "replace(replace(text, '; ', chr(13) || chr(10)), ' ', CASE WHEN id % 2 = 0 THEN chr(13) ELSE ' ' END)"
