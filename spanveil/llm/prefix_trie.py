@@ -118,18 +118,18 @@ def searched(rows: DataFrame, nodes: DataFrame, paths: DataFrame, unit: int) ->
     steps can ask for, fewer than ``FAN``, the keys are looked up in one join; the steps themselves
     then run inside the row.
     """
-    open_rows = rows.where(f"hi div {unit} > lo div {unit}").select("id", "lo", "hi", F.expr(f"hi div {unit * FAN}").alias("part"))
-    keys = paths.where(F.col("d") % unit == 0).select("id", F.expr(f"d div {unit * FAN}").alias("part"), "d", "k1", "k2")
-    asked = open_rows.join(keys, ["id", "part"]).where("d > lo AND d <= hi").select("id", "d", "k1", "k2")
-    handles = nodes.where(F.col("f") % unit == 0).select(F.col("f").alias("d"), F.col("f1").alias("k1"), F.col("f2").alias("k2"), F.struct("f", "rep", "s", "e", F.col("k1").alias("x1"), F.col("k2").alias("x2")).alias("node"))
-    hits = asked.join(handles, ["d", "k1", "k2"]).groupBy("id").agg(F.collect_list("node").alias("hits"))
+    keys = paths.where(F.col("d") % unit == 0).select(F.col("id").alias("p_id"), F.expr(f"d div {unit * FAN}").alias("p_part"), F.col("d").alias("p_d"), "k1", "k2")
+    handles = nodes.where(F.col("f") % unit == 0).select(F.col("f").alias("h_f"), F.col("f1").alias("h1"), F.col("f2").alias("h2"), F.struct("f", "rep", "s", "e", F.col("k1").alias("x1"), F.col("k2").alias("x2")).alias("node"))
+    asked = rows.join(keys, F.expr(f"id = p_id AND hi div {unit * FAN} = p_part AND p_d > lo AND p_d <= hi AND hi div {unit} > lo div {unit}"), "left")
+    hits = asked.join(handles, F.expr("p_d = h_f AND k1 = h1 AND k2 = h2"), "left").groupBy("id").agg(
+        *(F.first(c).alias(c) for c in ("length", "a", "lo", "hi", "b")), F.collect_list("node").alias("hits")
+    )
     step = f"""CASE WHEN acc.lo >= acc.hi OR acc.f % {unit} <> 0 THEN acc
         ELSE transform(array(get(filter(hits, h -> h.f = acc.f), 0)), h -> CASE WHEN h IS NOT NULL
             THEN named_struct('lo', h.e, 'hi', acc.hi, 'f', {_FAT.format(s='h.e', e='acc.hi')}, 'b', h)
             ELSE named_struct('lo', acc.lo, 'hi', acc.f - 1, 'f', {_FAT.format(s='acc.lo', e='(acc.f - 1)')}, 'b', acc.b) END)[0] END"""
     start = f"named_struct('lo', lo, 'hi', hi, 'f', {_FAT.format(s='lo', e='hi')}, 'b', b)"
     found = F.expr(f"CASE WHEN hi div {unit} > lo div {unit} THEN aggregate(sequence(1, {FAN.bit_length()}), {start}, (acc, i) -> {step}) ELSE {start} END")
-    hits = rows.join(hits, "id", "left").withColumn("hits", F.coalesce("hits", F.array().cast(f"array<{_NODE_FOUND}>")))
     return hits.select("id", "length", "a", found.alias("x")).select("id", "length", "a", "x.lo", "x.hi", "x.b")
 
 
@@ -151,14 +151,19 @@ def located(active: DataFrame, nodes: DataFrame, paths: DataFrame, longest: int)
     rows = rows.join(child, (F.col("at") == F.col("c_s")) & (F.col("q1") == F.col("c1")) & (F.col("q2") == F.col("c2")), "left").selectExpr(
         "id", "length", "at", "CASE WHEN passed THEN c_rep ELSE b.rep END AS exit_rep", "CASE WHEN passed THEN c_s ELSE b.s END AS exit_s",
         "CASE WHEN passed THEN c_e ELSE b.e END AS exit_e", "CASE WHEN passed THEN at + 1 ELSE b.f END AS least",
-    )
+    ).withColumn("most", F.expr("least(exit_e - 1, length)"))
     rows = written(rows, "exits")
     # The prefixes of both sequences, at the depths of the exit node that are not known to be equal.
-    inside = rows.where("exit_rep IS NOT NULL").select("id", "exit_rep", "least", F.expr("least(exit_e - 1, length)").alias("most")).where("least < most")
-    mine = inside.join(paths, "id").where("d > least AND d <= most").select("id", "exit_rep", "d", "k1", "k2")
-    theirs = paths.select(F.col("id").alias("exit_rep"), "d", "k1", "k2")
-    shared = mine.join(theirs, ["exit_rep", "d", "k1", "k2"]).groupBy("id").agg(F.max("d").alias("same"))
-    return rows.join(shared, "id", "left").selectExpr("id", "length", "exit_rep", "exit_s", "exit_e", "CASE WHEN exit_rep IS NULL THEN at ELSE coalesce(same, least) END AS p")
+    mine = paths.select(F.col("id").alias("m_id"), F.col("d").alias("m_d"), F.col("k1").alias("m1"), F.col("k2").alias("m2"))
+    theirs = paths.select(F.col("id").alias("t_id"), F.col("d").alias("t_d"), F.col("k1").alias("t1"), F.col("k2").alias("t2"))
+    open_ones = rows.where("exit_rep IS NOT NULL AND least < most")
+    shared = (
+        open_ones.join(mine, F.expr("id = m_id AND m_d > least AND m_d <= most"))
+        .join(theirs, F.expr("exit_rep = t_id AND m_d = t_d AND m1 = t1 AND m2 = t2"), "left")
+        .groupBy("id").agg(*(F.first(c).alias(c) for c in ("length", "exit_rep", "exit_s", "exit_e")), F.coalesce(F.max("t_d"), F.first("least")).alias("p"))
+    )
+    others = rows.where("NOT (exit_rep IS NOT NULL AND least < most)").selectExpr("id", "length", "exit_rep", "exit_s", "exit_e", "CASE WHEN exit_rep IS NULL THEN at ELSE least END AS p")
+    return shared.unionByName(others)
 
 
 def compacted(sequences: DataFrame, paths: DataFrame) -> DataFrame:
@@ -166,7 +171,7 @@ def compacted(sequences: DataFrame, paths: DataFrame) -> DataFrame:
     longest = sequences.agg(F.max("length")).first()[0] or 0
     left = written(sequences.where("length > 0").select("id", "length", F.lit(0).cast("long").alias("p")), "left")
     nodes = described(left.limit(0).selectExpr("id AS rep", "p AS s", "length AS e"), paths)
-    pieces, cut = nodes.select("rep", "s", "e"), nodes.select("rep", "s", "e")
+    pieces = cut = nodes.select("rep", "s", "e")
     while not left.isEmpty():
         # One of those that leave at one place with one next turn becomes a leaf.
         ahead = _at(left.withColumn("next", F.col("p") + 1), paths, "id", "next", ("g1", "g2"))
@@ -176,13 +181,16 @@ def compacted(sequences: DataFrame, paths: DataFrame) -> DataFrame:
         nodes = written(whole.unionByName(described(pieces.unionByName(leaves), paths)), "nodes")
         active = left.join(leaves.select(F.col("rep").alias("id")), "id", "left_anti").select("id", "length", F.col("p").alias("a"))
         found = written(located(active, nodes, paths, longest), "located")
-        # A node is cut where sequences leave it, at any number of places.
+        # A node is cut where sequences leave it, at any number of places; its last piece ends where it did.
         cuts = found.where("exit_rep IS NOT NULL").select(F.col("exit_rep").alias("rep"), F.col("exit_s").alias("s"), F.col("exit_e").alias("e"), F.col("p").alias("cut")).distinct()
-        cut = cuts.select("rep", "s", "e").distinct()
-        ends = cuts.unionByName(cut.withColumn("cut", F.col("e")))
-        above = F.lag("cut").over(Window.partitionBy("rep", "s", "e").orderBy("cut"))
-        pieces = ends.select("rep", F.coalesce(above, "s").alias("from"), F.col("cut").alias("to")).select("rep", F.col("from").alias("s"), F.col("to").alias("e"))
-        left = written(found.where("p < length").select("id", "length", "p"), "left")
+        above = Window.partitionBy("rep", "s", "e").orderBy("cut")
+        parts = cuts.select(
+            "rep", "s", "e", "cut", F.coalesce(F.lag("cut").over(above), "s").alias("from"), F.lead("cut").over(above).isNull().alias("last")
+        ).select("rep", "s", "e", "last", F.explode(F.expr("CASE WHEN last THEN array(struct(from AS a, cut AS b), struct(cut AS a, e AS b)) ELSE array(struct(from AS a, cut AS b)) END")).alias("x"))
+        parts = written(parts.select("rep", "s", "e", "x.a", "x.b"), "cuts")
+        cut = parts.where("b = e").select("rep", "s", "e")
+        pieces = parts.select("rep", F.col("a").alias("s"), F.col("b").alias("e"))
+        left = found.where("p < length").select("id", "length", "p")
     # What the last round cut has no more leaves to come.
     whole = nodes.join(cut, ["rep", "s", "e"], "left_anti").select(*NODE)
     return written(whole.unionByName(described(pieces, paths)), "nodes")
