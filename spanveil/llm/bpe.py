@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, mapped, per_batch, word_end_file
+from .common import held, mapped, per_batch, returned, word_end_file
 
 #: New pieces of texts that a worker keeps at a time; longer ones than ``KEPT`` bytes are not kept.
 CACHE, KEPT = 80_000, 256
@@ -445,6 +445,7 @@ def encoder(path: str) -> Encoder:
 def _mapped(docs: DataFrame, path: str, made, columns: str) -> DataFrame:
     """``doc_id`` and ``columns``, which ``made`` builds from the pairs of some texts."""
     shared, key = docs.sparkSession.sparkContext.broadcast(compiled(path)), f"bpe:{uuid.uuid4().hex}"
+    returned()
 
     def build(texts: list[bytes]) -> list[pa.Array]:
         return made(held(key, lambda: Encoder(shared.value)).texts(texts))

@@ -60,6 +60,8 @@ def alone(spark: SparkSession, make, name: str) -> tuple[DataFrame, str]:
         removed(spark, path)
     path = _made[-1]
     del _made[first:]
+    # What a stage held on the driver (a sample, a compiled tokenizer) is of no use to the next.
+    returned()
     return out, path
 
 
