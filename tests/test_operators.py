@@ -361,3 +361,11 @@ def test_raw_offsets_of_any_text(spark):
         for f in r.findings:
             assert raws[r.id][f.raw_start : f.raw_end] == f.text
             assert f.raw_start == df.sparkSession.createDataFrame([(raws[r.id], f.start)], "p string, q int").selectExpr(segments.raw_offset("p", "q")).first()[0] if f.start < 12 else True
+
+
+def test_selective_redaction_broadcasts_no_findings(spark, tmp_path):
+    from spanveil.plans import QUERIES
+
+    spark.sql("SELECT id AS o_orderkey FROM range(40)").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = QUERIES["redact_selective"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
