@@ -369,3 +369,18 @@ def test_selective_redaction_broadcasts_no_findings(spark, tmp_path):
     spark.sql("SELECT id AS o_orderkey FROM range(40)").write.parquet(f"{tmp_path}/orders.parquet")
     plan = QUERIES["redact_selective"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def 
+
+def test_candidates_and_findings_come_from_one_detection(spark):
+    df = spark.createDataFrame([(1, "Account number: 12-34-56 12345678, NHS: 943 476 5919"), (2, "nothing"), (3, None)], "id long, text string")
+    both = detect(df, every="every")
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= detect(df)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+    rows = {r.id: r for r in both.collect()}
+    apart = {r.id: r for r in detect(df, resolve_overlaps=False, out="every").collect()}
+    alone = {r.id: r for r in detect(df).collect()}
+    assert len(rows[1].every) > len(rows[1].findings) > 0
+    for key in rows:
+        assert rows[key].every == apart[key].every and rows[key].findings == alone[key].findings
