@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
         top = tempfile.mkdtemp(prefix="spanveil-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/spanveil/{name}-{uuid.uuid4().hex}"
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a folder of its own and read from it, for several readers of what is dear to compute."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
