@@ -371,8 +371,6 @@ def test_selective_redaction_broadcasts_no_findings(spark, tmp_path):
     assert "Broadcast" not in plan
 
 
-def 
-
 def test_candidates_and_findings_come_from_one_detection(spark):
     df = spark.createDataFrame([(1, "Account number: 12-34-56 12345678, NHS: 943 476 5919"), (2, "nothing"), (3, None)], "id long, text string")
     both = detect(df, every="every")
