@@ -1,8 +1,12 @@
 """Example texts per detector: what is found, and with which confidence."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from spanveil.functions import patterns, spans
 from spanveil.operators.detect import detect
 from spanveil.operators.detectors import Detector, default_detectors
 
@@ -199,3 +203,32 @@ def test_default_gazetteer_has_the_breadth_of_the_reference(spark):
     found = detect(spark.createDataFrame(texts, "id int, text string")).collect()
     assert [[(f.type, f.confidence) for f in r.findings] for r in found] == [[("name", 0.78)]] * 5
     assert "gazetteer_names" in QUERIES and "gazetteer_names" in ORACLES
+
+
+def test_few_and_many_matches_are_placed_alike(spark):
+    """Up to FEW matches are placed by the pieces around them, the first few written out; windows meet other matches and both ends."""
+    texts = [" ".join(f"é{'w' * (k % 7)}{k:02d}" for k in range(n)) + tail for n in range(spans.FEW + 3) for tail in ("", " \U0001f600 end")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for before, after in ((0, 0), (9, 0), (0, 5), (200, 200)):
+        found = df.selectExpr("text", f"{spans.matches('text', '[0-9]{2}', before, after)} AS m", f"{spans._many_matches('text', '[0-9]{2}', before, after)} AS general")
+        for row in found.collect():
+            expected = [
+                (x.start(), x.end(), x[0], row.text[max(0, x.start() - before) : x.start()], row.text[x.end() : x.end() + after])
+                for x in re.finditer("[0-9]{2}", row.text)
+            ]
+            assert [tuple(x) for x in row.m] == [tuple(x) for x in row.general] == expected
+
+
+def test_email_start_is_tested_once_for_each_letter(spark):
+    """A letter behind a letter is no start, which one look-behind tells; the starts are those of the three tests one by one."""
+    plain = (
+        r"(?:(?=\w)(?:(?<![\w.%+\-])|(?<=[.%+\-])(?<=(?:\A|[^\w.%+\-])[.%+\-]{1,40})|(?<=[.%+\-]{41}))"
+        r"|\G(?:(?=\w)(?<!\w)|(?=[.%+\-])(?<=\w)))" + patterns.EMAIL[patterns.EMAIL.index(r"[\w.%+\-]++@") :]
+    )
+    assert patterns.EMAIL.startswith(r"(?:(?=\w)(?<!\w)(?:")
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(["a", "b1", ".", "-", "@", "@x.com", " ", "é", "." * 41]) for _ in range(24)) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    both = [f"regexp_extract_all(text, {spans.quoted(p)}, 0)" for p in (patterns.EMAIL, plain)]
+    assert df.where(f"size({both[0]}) > 0").count() > 1000
+    assert df.where(f"{both[0]} <> {both[1]}").count() == 0
