@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,3 +233,24 @@ def test_email_start_is_tested_once_for_each_letter(spark):
     both = [f"regexp_extract_all(text, {spans.quoted(p)}, 0)" for p in (patterns.EMAIL, plain)]
     assert df.where(f"size({both[0]}) > 0").count() > 1000
     assert df.where(f"{both[0]} <> {both[1]}").count() == 0
+
+
+def test_email_words_without_an_at_sign_cost_no_look_behind(spark):
+    """A word that no ``@`` follows within 64 characters is left before the look-behinds, which prose tried one after another; runs around 64 characters are found as before."""
+    plain = (
+        r"(?:(?=\w)(?<!\w)(?:(?<![.%+\-])|(?<=(?:\A|[^\w.%+\-])[.%+\-]{1,40})|(?<=[.%+\-]{41}))"
+        r"|\G(?:(?=\w)(?<!\w)|(?=[.%+\-])(?<=\w)))" + patterns.EMAIL[patterns.EMAIL.index(r"[\w.%+\-]++@") :]
+    )
+    runs = [lead + "a" * n + mid + "b" * k for lead in ("", " ", "-", "." * 45, "é%") for n in (1, 31, 62, 63, 64, 65, 130) for mid in ("", "-", "..") for k in (0, 1, 2, 33)]
+    texts = [run + end for run in runs for end in ("@x.com", " @x.com", "@x.com.y@z.org", "é@x.com")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    new, old = (f"regexp_extract_all(text, {spans.quoted(p)}, 0)" for p in (patterns.EMAIL, plain))
+    assert df.where(f"size({new}) > 0").count() > 500 and df.where(f"{new} <> {old}").count() == 0
+
+    def seconds(pattern):
+        words = spark.range(8).select(F.concat(F.repeat(F.lit("word "), 1_000_000), F.col("id").cast("string"), F.lit("@")).alias("t"))
+        started = time.perf_counter()
+        assert words.agg(F.sum(F.regexp_count("t", F.lit(pattern)))).first()[0] == 0
+        return time.perf_counter() - started
+
+    assert min(seconds(patterns.EMAIL) for _ in range(3)) < 0.7 * min(seconds(plain) for _ in range(3))
